@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from .common import documents
 from .exact_dedup import exact_dedup
+from .html_text import extract_pages
 from .jaccard_join import jaccard_components
 from .packing import pack_documents
+from .pii import detect
 from .sharding import shard_documents
 from .toxicity import classify
 
@@ -18,6 +20,10 @@ def op3_exact_dedup(spark, sf_dir):
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op4_pii(spark, sf_dir):
+    return detect(documents(spark, sf_dir))
+
+
 def op5_packing(spark, sf_dir):
     return pack_documents(documents(spark, sf_dir))
 
@@ -26,6 +32,10 @@ def op6_toxicity(spark, sf_dir):
     return classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op7_html_extraction(spark, sf_dir):
+    return extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op8_sharding(spark, sf_dir):
     return shard_documents(documents(spark, sf_dir))
 
@@ -50,5 +60,5 @@ g AS (SELECT n, count(*) AS group_size, first(doc_id ORDER BY length(x) DESC, do
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t.n) AS text_sha256 FROM t JOIN g ON t.n = g.n
 """
 
-QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op3_exact_dedup": op3_exact_dedup, "op5_packing": op5_packing, "op6_toxicity": op6_toxicity, "op8_sharding": op8_sharding}
+QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op3_exact_dedup": op3_exact_dedup, "op4_pii": op4_pii, "op5_packing": op5_packing, "op6_toxicity": op6_toxicity, "op7_html_extraction": op7_html_extraction, "op8_sharding": op8_sharding}
 ORACLE_SQL = {"op1_ngram_jaccard": OP1_SQL, "op3_exact_dedup": OP3_SQL}
