@@ -9,8 +9,10 @@ equal lengths. Rows then look up their place by their number among the pieces of
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +23,7 @@ from .common import Scratch
 
 CAPACITY = 4096
 END_ID = 1
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000  # of texts' words, and as many again of their letters
 CELL_ROWS = 200_000
 _STATE: dict = {}
 
@@ -39,13 +41,58 @@ def _encoder(path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        _STATE.update(path=path, tok=Tokenizer.from_file(path), cache={"": b""})
+        tok = Tokenizer.from_file(path)
+        ends = np.zeros(tok.get_vocab_size(), bool)
+        for piece, k in tok.get_vocab().items():
+            ends[k] = piece.endswith("</w>")
+        _STATE.update(path=path, tok=tok, ends=ends, cache={"": b""}, letters={"": b""})
     return _STATE["tok"], _STATE["cache"]
 
 
+#: Letters of Latin alphabets whose lower case is one letter, then marks; the tokenizer takes the two apart as well.
+_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-^`{-~–—“”„«»…¿¡]*)")
+
+
+def _learn(words: list[str]) -> None:
+    """Put words into the cache. Runs of letters are encoded together in one string: each is one run for the
+    tokenizer, and its last id is one that ends a word."""
+    tok, cache, letters = _STATE["tok"], _STATE["cache"], _STATE["letters"]
+    parts, new, other = [], {}, []
+    for w in words:
+        m = _SIMPLE.fullmatch(w)
+        if m is None:
+            other.append(w)
+            continue
+        low = m[1].lower()
+        parts.append((w, low, m[2]))
+        if low not in letters:
+            new[low] = None
+        if m[2] and m[2] not in letters:
+            letters[m[2]] = np.array(tok.encode(m[2], add_special_tokens=False).ids, "<u4").tobytes()
+    for lot in batched(new, 5000):
+        ids = np.array(tok.encode(" ".join(lot), add_special_tokens=False).ids, "<u4")
+        cuts = np.flatnonzero(_STATE["ends"][ids]) + 1
+        if len(cuts) != len(lot) or cuts[-1] != len(ids):
+            for w in lot:
+                letters[w] = np.array(tok.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+            continue
+        raw = ids.tobytes()
+        at = 0
+        for w, c in zip(lot, (4 * cuts).tolist(), strict=True):
+            letters[w] = raw[at:c]
+            at = c
+    for w, low, marks in parts:
+        cache[w] = letters[low] + letters[marks] if marks else letters[low]
+    for e, w in zip(tok.encode_batch(other, add_special_tokens=False), other, strict=True):
+        cache[w] = np.array(e.ids, "<u4").tobytes()
+    if len(letters) > CACHE_WORDS:
+        letters.clear()
+        letters[""] = b""
+
+
 def encode_texts(texts: list[str], path: str) -> list[bytes]:
     """Ids of each whole text as little-endian unsigned 32-bit bytes, without the end id."""
-    tok, cache = _encoder(path)
+    _, cache = _encoder(path)
     out = []
     for text in texts:
         words = text.replace("\n", " ").split(" ")
@@ -55,8 +102,7 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
                 cache.clear()
                 cache[""] = b""
                 missing = [w for w in dict.fromkeys(words) if w not in cache]
-            for e, w in zip(tok.encode_batch(missing, add_special_tokens=False), missing, strict=True):
-                cache[w] = np.array(e.ids, "<u4").tobytes()
+            _learn(missing)
         out.append(b"".join(map(cache.__getitem__, words)))
     return out
 
