@@ -6,6 +6,7 @@ from .common import documents
 from .exact_dedup import exact_dedup
 from .html_text import extract_pages
 from .jaccard_join import jaccard_components
+from .lm_scoring import score_documents
 from .packing import pack_documents
 from .pii import detect
 from .sharding import shard_documents
@@ -16,6 +17,10 @@ def op1_ngram_jaccard(spark, sf_dir):
     return jaccard_components(documents(spark, sf_dir)).drop("n_links")
 
 
+def op2_lm_scoring(spark, sf_dir):
+    return score_documents(documents(spark, sf_dir))
+
+
 def op3_exact_dedup(spark, sf_dir):
     return exact_dedup(documents(spark, sf_dir))
 
@@ -60,5 +65,5 @@ g AS (SELECT n, count(*) AS group_size, first(doc_id ORDER BY length(x) DESC, do
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t.n) AS text_sha256 FROM t JOIN g ON t.n = g.n
 """
 
-QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op3_exact_dedup": op3_exact_dedup, "op4_pii": op4_pii, "op5_packing": op5_packing, "op6_toxicity": op6_toxicity, "op7_html_extraction": op7_html_extraction, "op8_sharding": op8_sharding}
+QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op2_lm_scoring": op2_lm_scoring, "op3_exact_dedup": op3_exact_dedup, "op4_pii": op4_pii, "op5_packing": op5_packing, "op6_toxicity": op6_toxicity, "op7_html_extraction": op7_html_extraction, "op8_sharding": op8_sharding}
 ORACLE_SQL = {"op1_ngram_jaccard": OP1_SQL, "op3_exact_dedup": OP3_SQL}
