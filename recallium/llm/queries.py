@@ -7,9 +7,11 @@ from .exact_dedup import exact_dedup
 from .html_text import extract_pages
 from .jaccard_join import jaccard_components
 from .lm_scoring import score_documents
+from .media import media_column
 from .packing import pack_documents
 from .pii import detect
 from .sharding import shard_documents
+from .sp_sampling import sampled_encodings
 from .toxicity import classify
 
 
@@ -45,6 +47,14 @@ def op8_sharding(spark, sf_dir):
     return shard_documents(documents(spark, sf_dir))
 
 
+def op9_media_columns(spark, sf_dir):
+    return media_column(documents(spark, sf_dir))
+
+
+def op10_sentencepiece(spark, sf_dir):
+    return sampled_encodings(documents(spark, sf_dir))
+
+
 OP1_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS l FROM documents),
@@ -65,5 +75,5 @@ g AS (SELECT n, count(*) AS group_size, first(doc_id ORDER BY length(x) DESC, do
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t.n) AS text_sha256 FROM t JOIN g ON t.n = g.n
 """
 
-QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op2_lm_scoring": op2_lm_scoring, "op3_exact_dedup": op3_exact_dedup, "op4_pii": op4_pii, "op5_packing": op5_packing, "op6_toxicity": op6_toxicity, "op7_html_extraction": op7_html_extraction, "op8_sharding": op8_sharding}
+QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op2_lm_scoring": op2_lm_scoring, "op3_exact_dedup": op3_exact_dedup, "op4_pii": op4_pii, "op5_packing": op5_packing, "op6_toxicity": op6_toxicity, "op7_html_extraction": op7_html_extraction, "op8_sharding": op8_sharding, "op9_media_columns": op9_media_columns, "op10_sentencepiece": op10_sentencepiece}
 ORACLE_SQL = {"op1_ngram_jaccard": OP1_SQL, "op3_exact_dedup": OP3_SQL}
