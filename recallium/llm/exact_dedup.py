@@ -74,13 +74,8 @@ def row_key(i: str, t: str):
     return F.concat_ws("/", F.coalesce(F.col(i).cast("string"), F.lit("null")), F.md5(F.encode(F.col(t), "UTF-8")))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per distinct (id, text): id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
-
-    Equal texts (white space deleted) form a group; the row with the most code points in its original text, then the
-    smallest id, stays (a null id sorts last). Null texts count as empty; an empty table gives no rows; extra columns
-    are ignored.
-    """
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``exact_dedup`` with the row key ``rk``."""
     scratch = Scratch(docs.sparkSession, "dedup")
     names = scratch.cut(block_names(docs, id_col, text_col, block_bytes, scratch))
     src = docs.select(F.col(id_col).alias(id_col), text_of(text_col).alias("_t"))
@@ -90,4 +85,24 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     best = scratch.cut(best)
     scratch.drop(names)
     return rows.join(best, ["level", "name"]).select(
-        F.col(id_col), F.col("best.k").alias("keep_id"), "group_size", (F.col("rk") == F.col("best.r")).alias("kept"), "text_sha256")
+        F.col(id_col), F.col("best.k").alias("keep_id"), "group_size", (F.col("rk") == F.col("best.r")).alias("kept"), "text_sha256", "rk")
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Per distinct (id, text): id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
+
+    Equal texts (white space deleted) form a group; the row with the most code points in its original text, then the
+    smallest id, stays (a null id sorts last). Null texts count as empty; an empty table gives no rows; extra columns
+    are ignored.
+    """
+    return exact_groups(docs, id_col, text_col, block_bytes).drop("rk")
+
+
+def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns; of rows repeated with id and text, one stays."""
+    keyed = docs.withColumn("_dedup_t", text_of(text_col)).withColumn("_dedup_rk", row_key(id_col, "_dedup_t"))
+    gone = exact_groups(docs, id_col, text_col).filter("not kept").select(F.col("rk").alias("_dedup_rk"))
+    left = keyed.join(gone, "_dedup_rk", "left_anti")
+    if not keyed.groupBy("_dedup_rk").count().filter("count > 1").isEmpty():
+        left = left.dropDuplicates(["_dedup_rk"])
+    return left.select(*docs.columns)
