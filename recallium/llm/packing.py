@@ -23,7 +23,7 @@ from .common import Scratch
 
 CAPACITY = 4096
 END_ID = 1
-CACHE_WORDS = 400_000  # of texts' words, and as many again of their letters
+CACHE_UNITS = 900_000
 CELL_ROWS = 200_000
 _STATE: dict = {}
 
@@ -34,9 +34,14 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Texts of these characters split into the tokenizer's units by ``_UNIT``; others go to the tokenizer whole.
+_PLAIN = re.compile(r"[ -~\n\tÀ-ÖØ-öø-ÿ–—“”‘’…¿¡«»]*+")
+#: Fixed by the tokenizer: its own pattern, for lower-case text of those characters.
+_UNIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
+
+
 def _encoder(path: str):
-    """The tokenizer and this worker's cache of words; a word's ids do not depend on its neighbours, since the
-    tokenizer's own pattern never crosses white space."""
+    """The tokenizer and this worker's cache of units; a unit's ids do not depend on its neighbours."""
     if _STATE.get("path") != path:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -45,66 +50,43 @@ def _encoder(path: str):
         ends = np.zeros(tok.get_vocab_size(), bool)
         for piece, k in tok.get_vocab().items():
             ends[k] = piece.endswith("</w>")
-        _STATE.update(path=path, tok=tok, ends=ends, cache={"": b""}, letters={"": b""})
+        _STATE.update(path=path, tok=tok, ends=ends, cache={})
     return _STATE["tok"], _STATE["cache"]
 
 
-#: Letters of Latin alphabets whose lower case is one letter, then marks; the tokenizer takes the two apart as well.
-_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-^`{-~–—“”„«»…¿¡]*)")
-
-
-def _learn(words: list[str]) -> None:
-    """Put words into the cache. Runs of letters are encoded together in one string: each is one run for the
-    tokenizer, and its last id is one that ends a word."""
-    tok, cache, letters = _STATE["tok"], _STATE["cache"], _STATE["letters"]
-    parts, new, other = [], {}, []
-    for w in words:
-        m = _SIMPLE.fullmatch(w)
-        if m is None:
-            other.append(w)
-            continue
-        low = m[1].lower()
-        parts.append((w, low, m[2]))
-        if low not in letters:
-            new[low] = None
-        if m[2] and m[2] not in letters:
-            letters[m[2]] = np.array(tok.encode(m[2], add_special_tokens=False).ids, "<u4").tobytes()
-    for lot in batched(new, 5000):
+def _learn(units: list[str]) -> None:
+    """Put units into the cache. Runs of letters are encoded together, one string for many: the last id of each is one
+    that ends a word."""
+    tok, cache = _STATE["tok"], _STATE["cache"]
+    runs = [u for u in units if u.isalpha()]
+    single = [u for u in units if not u.isalpha()]
+    for lot in batched(runs, 200):
         ids = np.array(tok.encode(" ".join(lot), add_special_tokens=False).ids, "<u4")
         cuts = np.flatnonzero(_STATE["ends"][ids]) + 1
         if len(cuts) != len(lot) or cuts[-1] != len(ids):
-            for w in lot:
-                letters[w] = np.array(tok.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+            single += lot
             continue
         raw = ids.tobytes()
         at = 0
-        for w, c in zip(lot, (4 * cuts).tolist(), strict=True):
-            letters[w] = raw[at:c]
+        for u, c in zip(lot, (4 * cuts).tolist(), strict=True):
+            cache[u] = raw[at:c]
             at = c
-    for w, low, marks in parts:
-        cache[w] = letters[low] + letters[marks] if marks else letters[low]
-    for e, w in zip(tok.encode_batch(other, add_special_tokens=False), other, strict=True):
-        cache[w] = np.array(e.ids, "<u4").tobytes()
-    if len(letters) > CACHE_WORDS:
-        letters.clear()
-        letters[""] = b""
+    for u in single:
+        cache[u] = np.array(tok.encode(u, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def encode_texts(texts: list[str], path: str) -> list[bytes]:
     """Ids of each whole text as little-endian unsigned 32-bit bytes, without the end id."""
-    _, cache = _encoder(path)
-    out = []
-    for text in texts:
-        words = text.replace("\n", " ").split(" ")
-        missing = [w for w in dict.fromkeys(words) if w not in cache]
-        if missing:
-            if len(cache) + len(missing) > CACHE_WORDS:
-                cache.clear()
-                cache[""] = b""
-                missing = [w for w in dict.fromkeys(words) if w not in cache]
-            _learn(missing)
-        out.append(b"".join(map(cache.__getitem__, words)))
-    return out
+    tok, cache = _encoder(path)
+    units = [_UNIT.findall(t.lower()) if "<|" not in t and _PLAIN.fullmatch(t) else None for t in texts]
+    met: set[str] = set()
+    met.update(*(u for u in units if u is not None))
+    if len(cache) + len(missing := met.difference(cache)) > CACHE_UNITS:
+        cache.clear()
+        missing = met
+    _learn(sorted(missing))
+    get = cache.__getitem__
+    return [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if u is None else b"".join(map(get, u)) for t, u in zip(texts, units, strict=True)]
 
 
 def token_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
@@ -113,19 +95,21 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, ca
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = encode_texts([t or "" for t in b.column(1).to_pylist()], tokenizer)
-            rows, piece, start, length, crc = [], [], [], [], []
-            for k, raw in enumerate(ids):
-                raw += end
-                for p, at in enumerate(range(0, len(raw), 4 * capacity)):
-                    part = raw[at : at + 4 * capacity]
-                    rows.append(k)
-                    piece.append(p)
-                    start.append(at // 4)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int32())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["_id", "piece", "start", "length", "ids_crc32"])
+        for whole in batches:
+            for lot in range(0, whole.num_rows, 1024):
+                b = whole.slice(lot, 1024)
+                ids = encode_texts([t or "" for t in b.column(1).to_pylist()], tokenizer)
+                rows, piece, start, length, crc = [], [], [], [], []
+                for k, raw in enumerate(ids):
+                    raw += end
+                    for p, at in enumerate(range(0, len(raw), 4 * capacity)):
+                        part = raw[at : at + 4 * capacity]
+                        rows.append(k)
+                        piece.append(p)
+                        start.append(at // 4)
+                        length.append(len(part) // 4)
+                        crc.append(zlib.crc32(part))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int32())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).mapInArrow(run, f"_id {kind}, piece int, start long, length long, ids_crc32 long")
 
