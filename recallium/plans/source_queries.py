@@ -117,7 +117,7 @@ def conversation_transcripts(spark, d):
     return I.transcripts(table(spark, d, "conversations")).select("conv_id", "content")
 
 
-@query(r"SELECT page_id, replace(replace(trim(regexp_replace(regexp_extract(html, '<title>(.*?)</title>', 1), '\s+', ' ', 'g')), '&quot;', '"'), '&amp;', '&') AS title, regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1) AS host FROM pages")
+@query(r"""SELECT page_id, replace(replace(trim(regexp_replace(regexp_extract(html, '<title>(.*?)</title>', 1), '\s+', ' ', 'g')), '&quot;', '"'), '&amp;', '&') AS title, regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1) AS host FROM pages""")
 def web_clip_titles(spark, d):
     return C.web_clips(table(spark, d, "pages")).select("page_id", "title", C.page_host(F.col("url")).alias("host"))
 
