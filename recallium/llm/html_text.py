@@ -38,8 +38,10 @@ _ATTR = re.compile(r"""(class|id|role|style|aria-hidden|hidden)(?:\s*=\s*(?:"([^
 
 
 def _hint(name: str, attrs: str, in_main: bool) -> str:
-    """``bad``, ``main`` or nothing: what an element says of itself."""
-    if name in PLAIN_BAD or (name == "header" and not in_main):
+    """``bad``, ``main``, ``header`` (of an article: only its headings count) or nothing: what an element says of itself."""
+    if name == "header":
+        return "header" if in_main else "bad"
+    if name in PLAIN_BAD:
         return "bad"
     hint = "main" if name in ("article", "main") else ""
     for m in _ATTR.finditer(attrs) if attrs else ():
@@ -73,9 +75,10 @@ def blocks(html: str) -> list[dict]:
         joined = " ".join(unescape("".join(text)).split())
         text.clear()
         if joined:
-            bad = any(h == "bad" for _, h, _ in stack)
+            heading = any(n in ("h1", "h2", "h3", "h4", "h5", "h6") for n, _, _ in stack)
+            bad = any(h == "bad" or (h == "header" and not heading) for _, h, _ in stack)
             main = [c for _, h, c in stack if h == "main"]
-            out.append({"text": joined, "links": link_chars, "bad": bad, "in": main[-1] if main else 0, "heading": any(n in ("h1", "h2", "h3", "h4", "h5", "h6") for n, _, _ in stack)})
+            out.append({"text": joined, "links": link_chars, "bad": bad, "in": main[-1] if main else 0, "heading": heading})
         link_chars = 0
 
     def add(piece: str) -> None:
