@@ -286,8 +286,10 @@ def sample_texts(lat: Lattices, texts: list[str], keys: np.ndarray, k: int) -> l
         begin = np.concatenate([[0], np.cumsum(per)])
         of = np.repeat(np.arange(len(texts)), per)
         logc = np.log(chance[arcs])
-        c = np.cumsum(logc)
-        before = c - logc - np.concatenate([[0], c])[begin[:-1]][of]  # log-chance of the pieces before
+        c = np.empty(len(arcs))
+        for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):  # text by text: a row's sums depend on nothing else
+            np.cumsum(logc[a:b], out=c[a:b])
+        before = c - logc  # log-chance of the pieces before
         start = np.where(s > 0, pos, 0) if s else np.zeros(len(texts), np.int64)
         place = np.arange(len(arcs)) - begin[:-1][of]
         left = 1.0 - chance[arcs]
