@@ -204,32 +204,51 @@ def best_fit(left: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...],
     return full + [(c, n) for runs in bins.values() for c, n in runs]
 
 
+#: Settings tried in turn until one meets the least possible number: slack of a pattern, share of the fitted repeats.
+TRIES = [(4, 1.0), (0, 1.0), (1, 0.5), (0, 0.5), (0, 0.25), (0, 0.1)]
+
+
 def packing_plan(hist: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """(content, repeats) of all sequences: fitted patterns rounded down, then the rest best fit."""
+    """(content, repeats) of all sequences: fitted patterns rounded down, then the rest best fit. Of a few settings the
+    one with the fewest sequences counts; all work on the histogram, so this costs the same at any size."""
     left = {k: v for k, v in hist.items() if v}
-    out = [((capacity,), left.pop(capacity))] if capacity in left else []
-    if left:
-        lengths = np.array(sorted(left))
-        counts = np.array([left[k] for k in lengths])
-        pats = patterns(lengths, counts, capacity)
-        if pats:
-            target = np.zeros(capacity + 1)
-            target[lengths] = counts
-            x = fit_repeats(pats, target)
-            for k in np.argsort(-x, kind="stable"):
-                n = int(x[k] + 1e-6)
-                if n < 1:
-                    break
-                need: dict[int, int] = {}
-                for size in pats[k]:
-                    need[size] = need.get(size, 0) + 1
-                n = min([n, *(left[s] // m for s, m in need.items())])
-                if n:
-                    for s, m in need.items():
-                        left[s] -= n * m
-                    out.append((pats[k], n))
-        out += best_fit({k: v for k, v in left.items() if v}, capacity)
-    return out
+    full = [((capacity,), left.pop(capacity))] if capacity in left else []
+    if not left:
+        return full
+    least = -(-sum(k * v for k, v in left.items()) // capacity)
+    best, fewest = None, 0
+    for slack, share in TRIES:
+        plan = _fitted_plan(dict(left), capacity, slack, share)
+        n = sum(r for _, r in plan)
+        if best is None or n < fewest:
+            best, fewest = plan, n
+        if fewest <= least:
+            break
+    return full + best
+
+
+def _fitted_plan(left: dict[int, int], capacity: int, slack: int, share: float) -> list[tuple[tuple[int, ...], int]]:
+    out = []
+    lengths = np.array(sorted(left))
+    counts = np.array([left[k] for k in lengths])
+    pats = patterns(lengths, counts, capacity, slack)
+    if pats:
+        target = np.zeros(capacity + 1)
+        target[lengths] = counts
+        x = fit_repeats(pats, target)
+        for k in np.argsort(-x, kind="stable"):
+            n = int(x[k] * share + 1e-6)
+            if n < 1:
+                break
+            need: dict[int, int] = {}
+            for size in pats[k]:
+                need[size] = need.get(size, 0) + 1
+            n = min([n, *(left[s] // m for s, m in need.items())])
+            if n:
+                for s, m in need.items():
+                    left[s] -= n * m
+                out.append((pats[k], n))
+    return out + best_fit({k: v for k, v in left.items() if v}, capacity)
 
 
 def _places(plan: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
