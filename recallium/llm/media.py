@@ -207,7 +207,6 @@ def encode_payloads(payloads: list[bytes]) -> list[bytes]:
         at += n
     begin = total[:-1, None] + np.concatenate([np.zeros((len(per), 1), np.int64), np.cumsum(per, 1)[:, :2]], 1)
     scans: list[list[bytes]] = [[] for _ in payloads]
-    done: dict[tuple, tuple] = {}
     for comp, *band in SCRIPT:
         lens = per[:, comp]
         rows = np.concatenate([np.arange(b, b + n) for b, n in zip(begin[:, comp], lens, strict=True)])
@@ -228,7 +227,6 @@ def encode_payloads(payloads: list[bytes]) -> list[bytes]:
         for k, e in enumerate(stop.tolist()):
             scans[k].append(head + data[prev:e])
             prev = e
-    del done
     files = []
     for k, (w, h) in enumerate(shapes):
         frame = _segment(0xC2, bytes([8]) + (16 * h).to_bytes(2, "big") + (16 * w).to_bytes(2, "big") + bytes([3, 1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0]))
