@@ -28,6 +28,7 @@ from .lm_scoring import default_vocabulary
 
 LOT_CHARS = 1 << 19
 UNITS_KEPT = 200_000
+LONGEST_UNIT = 40  # longer units, and those with characters outside the vocabulary, are tabled one by one, with rescaling
 MARK = "▁"
 _STATE: dict = {}
 
@@ -51,6 +52,13 @@ class Lattices:
             if sp.is_byte(k):
                 self.byte[int(sp.id_to_piece(k)[1:-1], 16)] = k
         self.heads = {p[:j]: None for p in self.piece for j in range(1, len(p) + 1)} | self.piece  # a head of a piece; its id and weight if it is one
+        self.single = {p for p in self.piece if len(p) == 1}
+        number = {h: k for k, h in enumerate(["", *sorted(self.heads)])}
+        edges = sorted((number[h[:-1]] << 21 | ord(h[-1]), number[h]) for h in self.heads)
+        self.trie_key, self.trie_next = np.array([e[0] for e in edges], np.int64), np.array([e[1] for e in edges], np.int64)
+        self.trie_piece, self.trie_weight = np.full(len(number), -1, np.int64), np.zeros(len(number))
+        for p, (k, w) in self.piece.items():
+            self.trie_piece[number[p]], self.trie_weight[number[p]] = k, w
         pairs = {(a, b) for p in self.piece for a, b in zip(p, p[1:], strict=False)}
         chars = sorted({ord(c) for pair in pairs for c in pair})
         self.group = np.zeros(max(chars) + 2, np.int32)  # 0: stands beside no other character in any piece
@@ -83,11 +91,72 @@ class Lattices:
         cuts = (np.flatnonzero(~self.beside[g[:-1], g[1:]]) + 1).tolist()
         return [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
 
-    def root(self, unit: str) -> int:
-        got = self.units.get(unit)
-        if got is None:
-            got = self.units[unit] = self._add(unit)
-        return got
+    def roots(self, units: list[list[str]]) -> np.ndarray:
+        """The first node of each unit, texts one after another; tables of new units are made together."""
+        new: set[str] = set()
+        new.update(*units)
+        new = new.difference(self.units)
+        common, odd = [], []
+        for u in sorted(new):  # the way a unit is taken depends on the unit alone
+            (common if len(u) <= LONGEST_UNIT and self.single.issuperset(u) else odd).append(u)
+        for u in odd:
+            self.units[u] = self._add(u)
+        if common:
+            self.tables()
+            self._add_together(common)
+        get = self.units.__getitem__
+        return np.array([get(u) for text in units for u in text], np.int64)
+
+    def _add_together(self, units: list[str]) -> None:
+        """Tables of many units by array operations: pieces by a walk down the trie from all places at once, masses
+        from the units' ends backwards."""
+        lens = np.array([len(u) for u in units])
+        begin = np.concatenate([[0], np.cumsum(lens)])
+        code = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).astype(np.int64)
+        n = len(code)
+        end = np.repeat(begin[1:], lens)
+        pos, state = np.arange(n), np.zeros(n, np.int64)
+        got: list[tuple[np.ndarray, ...]] = []
+        depth = 0
+        while len(pos):
+            inside = pos + depth < end[pos]
+            pos, state = pos[inside], state[inside]
+            key = state << 21 | code[pos + depth]
+            k = np.minimum(np.searchsorted(self.trie_key, key), len(self.trie_key) - 1)
+            ok = self.trie_key[k] == key
+            pos, state = pos[ok], self.trie_next[k[ok]]
+            depth += 1
+            has = self.trie_piece[state] >= 0
+            got.append((pos[has], np.full(int(has.sum()), depth), state[has]))
+        src, size, node = (np.concatenate(c) for c in zip(*got, strict=True))
+        far = end[src] - src  # places to the unit's end
+        order = np.lexsort((src, far))
+        src, dst, node, far = src[order], (src + size)[order], node[order], far[order]
+        w, last = self.trie_weight[node], dst == end[src]
+        beta, mass = np.zeros(n + 1), np.empty(len(src))
+        cuts = np.searchsorted(far, np.arange(1, int(far[-1]) + 2))
+        for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            m = mass[x:y] = w[x:y] * np.where(last[x:y], 1.0, beta[dst[x:y]])
+            at = np.flatnonzero(np.concatenate([[True], src[x + 1 : y] != src[x : y - 1]]))
+            beta[src[x:y][at]] = np.add.reduceat(m, at)
+        chance = mass / beta[src]
+        order = np.lexsort((dst, -chance, src))
+        src, dst, node, chance, last = src[order], dst[order], node[order], chance[order], last[order]
+        st, base, m0 = self.store, self.n_nodes, self.n_arcs
+        m1 = m0 + len(src)
+        while base + n + 1 > len(st["first"]):
+            st["first"] = np.concatenate([st["first"], np.zeros_like(st["first"])])
+        while m1 > len(st["next"]):
+            for k in ("next", "piece", "chance", "node"):
+                st[k] = np.concatenate([st[k], np.zeros_like(st[k])])
+        st["first"][base : base + n + 1] = m0 + np.searchsorted(src, np.arange(n + 1))
+        st["next"][m0:m1] = np.where(last, -1, base + dst)
+        st["piece"][m0:m1] = self.trie_piece[node]
+        st["chance"][m0:m1] = chance
+        st["node"][m0:m1] = base + src
+        self.n_nodes, self.n_arcs = base + n, m1
+        for u, x in zip(units, begin[:-1].tolist(), strict=True):
+            self.units[u] = base + x
 
     def _add(self, s: str) -> int:
         n = len(s)
@@ -232,7 +301,7 @@ def sample_texts(lat: Lattices, texts: list[str], keys: np.ndarray, k: int) -> l
     norm = [MARK + t.replace(" ", MARK) if t else "" for t in texts]
     units = [lat.split(t) if t else [] for t in norm]
     n_units = np.array([len(u) for u in units])
-    roots = np.array([lat.root(x) for u in units for x in u], np.int64)
+    roots = lat.roots(units)
     lens = np.array([len(x) for u in units for x in u], np.int64)
     first, _, piece, chance, node_of = lat.tables()
     doc = np.repeat(np.arange(len(texts)), n_units)
