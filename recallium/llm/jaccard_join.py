@@ -17,6 +17,10 @@ components are compared, and only if sizes and positions allow a link. A pair is
 (one bit or two per shingle: as many bits as differ, so many shingles differ at least), then compared exactly, over
 whole sets, which are made from the texts again for the documents that got this far.
 Any pair that is skipped is either impossible or already in one component, so components are exact.
+
+Numbers of links are a job of their own (``jaccard_links``). All links of a class are inside its component, so each
+component's whole sets are dealt in blocks, each two blocks meet in one task, and there all pairs are compared at once
+by a product of 0/1 matrices. Only counts leave the task.
 """
 
 from __future__ import annotations
@@ -39,6 +43,8 @@ LARGEST_LIGHT = 16  # subsets are never listed for sets above this size
 SCAN_COST = 4.0  # of an entry of a list, in subsets listed
 LOT_BYTES = 2 << 20  # of text that is hashed in one go
 LONG_WORD = 512
+LINK_SETS, LINK_SHINGLES = 512, 1 << 20  # of a block of sets whose links are counted, about
+LINK_COLUMNS = 8192  # of the matrices, at once
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -375,14 +381,43 @@ def _verify(num: int, den: int):
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """Per row: id, ``n_shingles``, ``component_id`` (the least id linked directly or through others), ``n_links`` of its class.
+    """Per row: id, ``n_shingles``, ``component_id`` (the least id linked directly or through others).
 
     Null, empty and blank texts have no shingles and are linked with nothing. Ids are whole numbers; a null id is
     linked with nothing and has a null component. Rows that repeat an id get the component of their own text's class
     (one id with different texts joins those classes where it stands for them). An empty table gives no rows; extra columns are ignored.
-    ``n_links`` counts the links of the row's class found by comparison (links inside a class or a component that
-    needed no comparison are not counted).
     """
+    _, _, rows, classes = _labelled(docs, id_col, text_col, n, num, den)
+    return _by_row(rows, classes.select("fa", "fb", "component_id"), id_col)
+
+
+def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
+    """``jaccard_components`` with ``n_links``: the number of other classes (texts with another set of shingles) that the
+    row's class links with directly, each counted once, inside its component too.
+
+    Rows with a null id take no part; they have no links and are nobody's.
+    """
+    scratch, src, rows, classes = _labelled(docs, id_col, text_col, n, num, den)
+    groups = classes.groupBy("comp").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("total")).filter("k > 1")
+    groups = groups.selectExpr("comp", f"cast(greatest(ceil(k / {LINK_SETS}), ceil(total / {LINK_SHINGLES})) as int) as m")
+    members = scratch.cut(classes.join(groups, "comp").selectExpr("fa", "fb", "node", "comp", "m", "cast(pmod(xxhash64(fa, fb), m) as int) as b"))
+    sets = src.join(members.selectExpr("node as id").distinct(), "id", "left_semi").mapInArrow(_packed_classes(n), "fa long, fb long, s binary").dropDuplicates(["fa", "fb"])
+    whole = scratch.cut(members.join(sets, ["fa", "fb"]).select("comp", "fa", "fb", "m", "b", "s"))
+    dealt = whole.withColumn("o", F.explode(F.expr("sequence(0, m - 1)"))).selectExpr("comp", "least(b, o) as i", "greatest(b, o) as j", "b", "fa", "fb", "s")
+    dealt = dealt.repartition(shuffle_width(docs.sparkSession), "comp", "i", "j").sortWithinPartitions("comp", "i", "j")
+    counts = scratch.cut(dealt.mapInArrow(_count_links(num, den), "fa long, fb long, n_links long").groupBy("fa", "fb").agg(F.sum("n_links").alias("n_links")))
+    scratch.drop(members, whole)
+    return _by_row(rows, classes.join(counts, ["fa", "fb"], "left").selectExpr("fa", "fb", "component_id", "coalesce(n_links, 0) as n_links"), id_col)
+
+
+def _by_row(rows: DataFrame, by_class: DataFrame, id_col: str) -> DataFrame:
+    out = rows.select("id", "fa", "fb", F.col("n").alias("n_shingles")).join(by_class, ["fa", "fb"], "left")
+    links = [F.when(F.col("id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).alias("n_links")] if "n_links" in by_class.columns else []
+    return out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"), *links)
+
+
+def _labelled(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int) -> tuple[Scratch, DataFrame, DataFrame, DataFrame]:
+    """The scratch tables' keeper, (id, text), a row per document with its class, and a row per class (fa, fb): ``node``, ``n``, ``comp``, ``component_id``."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -394,7 +429,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     x = light_boundary({-1 - r.bin: r.n for r in bins if r.bin < 0}, num, den)
     shared = spark.sparkContext.broadcast((x, np.minimum(weight, 2**31 - 1).astype(np.int32)))
     rows = scratch.cut(src.mapInArrow(_sets(n, shared, num, den), "id long, fa long, fb long, n long, keys array<long>, pos array<int>, bits binary"))
-    classes = scratch.cut(rows.filter("id is not null and n > 0").groupBy("fa", "fb").agg(F.min(F.expr("if(keys is null, null, id)")).alias("node"), F.min("id").alias("least")))
+    classes = scratch.cut(rows.filter("id is not null and n > 0").groupBy("fa", "fb").agg(F.min(F.expr("if(keys is null, null, id)")).alias("node"), F.min("id").alias("least"), F.max("n").alias("n")))
     # Each task entered a class once; its entries by different tasks are one class.
     copies = scratch.cut(rows.filter("keys is not null").select("fa", "fb", "id").join(classes, ["fa", "fb"]).filter("id <> node").selectExpr("greatest(id, node) u", "least(id, node) v"))
 
@@ -431,7 +466,6 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     left = scratch.cut(left.mapInArrow(_partnered(num, den), "key long, sp long, node long, comp long"))
     across = by_key(left.join(info.select("node", "bits"), "node").select("key", "sp", "node", "comp", "bits")).mapInArrow(_across(num, den), "u long, v long").distinct()
     more = links(across.join(near, ["u", "v"], "left_anti"))
-    every = found.unionByName(more)
     if more.isEmpty():
         comp = first
     else:  # the new links join whole components
@@ -440,13 +474,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         again = connected_components(joined, scratch).selectExpr("node comp", "comp final")
         comp = scratch.cut(label.join(again, "comp", "left").selectExpr("node", "coalesce(final, comp) comp"))
     scratch.drop(lists)
-    degree = every.selectExpr("explode(array(u, v)) as node").groupBy("node").count()
     labelled = classes.join(comp, "node", "left").withColumn("comp", F.expr("coalesce(comp, node)"))
     least = labelled.groupBy("comp").agg(F.min("least").alias("component_id"))
-    by_class = labelled.join(least, "comp").join(degree, "node", "left").select("fa", "fb", "component_id", F.coalesce("count", F.lit(0)).alias("n_links"))
-    by_class = scratch.cut(by_class)
-    return rows.select("id", "fa", "fb", F.col("n").alias("n_shingles")).join(by_class, ["fa", "fb"], "left").select(
-        F.col("id").alias(id_col), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return scratch, src, rows, scratch.cut(labelled.join(least, "comp").select("fa", "fb", "node", "n", "comp", "component_id"))
 
 
 def _packed(n: int):
@@ -457,3 +487,86 @@ def _packed(n: int):
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in shingle_sets(b.column(1), n)], pa.binary())], ["node", "s"])
 
     return run
+
+
+def _class_of(s: np.ndarray) -> tuple[int, int]:
+    d = xxhash.xxh3_128_digest(s.tobytes())
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+
+
+def _packed_classes(n: int):
+    """The sets of texts, each with its class."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lot in range(0, whole.num_rows, 512):
+                sets = list(shingle_sets(whole.slice(lot, 512).column(1), n))
+                names = [_class_of(s) for s in sets]
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in names], pa.int64()), pa.array([b for _, b in names], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["fa", "fb", "s"])
+
+    return run
+
+
+def links_within(sets: list[np.ndarray], first: np.ndarray | None, num: int, den: int) -> np.ndarray:
+    """Per set, its links with the others; where ``first`` marks the sets of one of two blocks, with those of the other block."""
+    lengths = np.array([len(s) for s in sets], np.int64)
+    out = np.zeros(len(sets), np.int64)
+    left = np.arange(len(sets)) if first is None else np.flatnonzero(first)
+    right = left if first is None else np.flatnonzero(~first)
+    if not len(left) or not len(right):
+        return out
+    row = np.repeat(np.arange(len(sets)), lengths)
+    found, col = np.unique(np.concatenate(sets), return_inverse=True)
+    if first is None:
+        shared = np.bincount(col, minlength=len(found)) > 1
+    else:
+        at_first = first[row]
+        shared = (np.bincount(col[at_first], minlength=len(found)) > 0) & (np.bincount(col[~at_first], minlength=len(found)) > 0)
+    keep = shared[col]
+    row, col = row[keep], (np.cumsum(shared) - 1)[col[keep]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    common = np.zeros((len(left), len(right)))
+    for at in range(0, int(shared.sum()), LINK_COLUMNS):
+        lo, hi = np.searchsorted(col, [at, at + LINK_COLUMNS])
+        has = np.zeros((len(sets), min(LINK_COLUMNS, int(shared.sum()) - at)), np.float32)
+        has[row[lo:hi], col[lo:hi] - at] = 1
+        common += has[left] @ has[right].T
+    link = common >= least_overlap(lengths[left][:, None], lengths[right][None, :], num, den)
+    if first is None:
+        np.fill_diagonal(link, False)
+        return link.sum(1)
+    out[left], out[right] = link.sum(1), link.sum(0)
+    return out
+
+
+def _count_links(num: int, den: int):
+    """Of rows (comp, i, j, b, fa, fb, s) sorted by the first three: links of the sets of blocks i and j with each other."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []  # one pair of blocks
+
+        def count() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held)
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t["s"]]
+            n = links_within(sets, None if key[1] == key[2] else t["b"].to_numpy() == key[1], num, den)
+            some = pa.array(n > 0)
+            return pa.RecordBatch.from_arrays([t["fa"].combine_chunks().filter(some), t["fb"].combine_chunks().filter(some), pa.array(n[n > 0])], ["fa", "fb", "n_links"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            k = np.stack([b.column(c).to_numpy() for c in range(3)])
+            cuts = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(0)) + 1).tolist(), b.num_rows]
+            ready = []
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                now = tuple(k[:, lo].tolist())
+                if held and now != key:
+                    ready.append(count())
+                    held.clear()
+                key = now
+                held.append(b.slice(lo, hi - lo))
+            if ready:
+                yield from pa.Table.from_batches(ready).combine_chunks().to_batches()
+        if held:
+            yield count()
+
+    return run

@@ -5,7 +5,7 @@ from __future__ import annotations
 from .common import documents
 from .exact_dedup import exact_dedup
 from .html_text import extract_pages
-from .jaccard_join import jaccard_components
+from .jaccard_join import jaccard_components, jaccard_links
 from .lm_scoring import score_documents
 from .media import media_column
 from .packing import pack_documents
@@ -16,7 +16,11 @@ from .toxicity import classify
 
 
 def op1_ngram_jaccard(spark, sf_dir):
-    return jaccard_components(documents(spark, sf_dir)).drop("n_links")
+    return jaccard_components(documents(spark, sf_dir))
+
+
+def op1_ngram_jaccard_links(spark, sf_dir):
+    return jaccard_links(documents(spark, sf_dir))
 
 
 def op2_lm_scoring(spark, sf_dir):
@@ -69,11 +73,27 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(m, d.doc
 FROM documents d LEFT JOIN sz ON sz.doc_id = d.doc_id LEFT JOIN (SELECT x, min(y) AS m FROM reach GROUP BY x) g ON g.x = d.doc_id
 """
 
+OP1_LINKS_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS l FROM documents),
+sh AS MATERIALIZED (
+  SELECT DISTINCT doc_id, s FROM (
+    SELECT doc_id, unnest([array_to_string(l[i:i + 3], ' ') for i in range(1, greatest(len(l) - 3, 1) + 1)]) AS s FROM w WHERE len(l) > 0)),
+sz AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+hit AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+link AS MATERIALIZED (SELECT x, y, c = p.n AND c = q.n AS same FROM hit JOIN sz p ON p.doc_id = x JOIN sz q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)),
+reach(x, y) AS (SELECT x, y FROM link UNION SELECT r.x, l.y FROM reach r JOIN link l ON l.x = r.y),
+class AS (SELECT d.doc_id, least(d.doc_id, coalesce(min(y), d.doc_id)) AS k FROM documents d LEFT JOIN link ON x = d.doc_id AND same GROUP BY d.doc_id),
+degree AS (SELECT x, count(DISTINCT k) AS n_links FROM link JOIN class ON class.doc_id = y WHERE NOT same GROUP BY x)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id, coalesce(n_links, 0) AS n_links
+FROM documents d LEFT JOIN sz ON sz.doc_id = d.doc_id LEFT JOIN (SELECT x, min(y) AS m FROM reach GROUP BY x) g ON g.x = d.doc_id LEFT JOIN degree ON degree.x = d.doc_id
+"""
+
 OP3_SQL = r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS x, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS n FROM documents),
 g AS (SELECT n, count(*) AS group_size, first(doc_id ORDER BY length(x) DESC, doc_id) AS keep_id FROM t GROUP BY n)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t.n) AS text_sha256 FROM t JOIN g ON t.n = g.n
 """
 
-QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op2_lm_scoring": op2_lm_scoring, "op3_exact_dedup": op3_exact_dedup, "op4_pii": op4_pii, "op5_packing": op5_packing, "op6_toxicity": op6_toxicity, "op7_html_extraction": op7_html_extraction, "op8_sharding": op8_sharding, "op9_media_columns": op9_media_columns, "op10_sentencepiece": op10_sentencepiece}
-ORACLE_SQL = {"op1_ngram_jaccard": OP1_SQL, "op3_exact_dedup": OP3_SQL}
+QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op1_ngram_jaccard_links": op1_ngram_jaccard_links, "op2_lm_scoring": op2_lm_scoring, "op3_exact_dedup": op3_exact_dedup, "op4_pii": op4_pii, "op5_packing": op5_packing, "op6_toxicity": op6_toxicity, "op7_html_extraction": op7_html_extraction, "op8_sharding": op8_sharding, "op9_media_columns": op9_media_columns, "op10_sentencepiece": op10_sentencepiece}
+ORACLE_SQL = {"op1_ngram_jaccard": OP1_SQL, "op1_ngram_jaccard_links": OP1_LINKS_SQL, "op3_exact_dedup": OP3_SQL}
