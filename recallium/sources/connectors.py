@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import re
+from collections import Counter
 from html.parser import HTMLParser
 from typing import Any
 from urllib.parse import urlsplit
@@ -20,66 +21,78 @@ _BLOCKS = {"h1", "h2", "h3", "h4", "p", "li", "blockquote", "pre"}
 EXPORTS = {"application/vnd.google-apps.document": "text/plain", "application/vnd.google-apps.spreadsheet": "text/csv", "application/vnd.google-apps.presentation": "text/plain"}
 
 
+_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+
+
 class _Clip(HTMLParser):
-    """Text of the blocks of an article, else of main, else of the body."""
+    """Text of the blocks of an article, else of main, else of the body; of one without blocks, its whole text.
+
+    An end tag closes all that was opened since its start tag. Text of a block that goes on after an inner block is a
+    block of its own, so each text is given once and in order.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.skip, self.open, self.stack = 0, None, []
+        self.stack: list[str] = []
+        self.count: Counter[str] = Counter()  # of open elements by name
+        self.skip = self.blocks = 0  # open elements to leave out, open blocks
+        self.open: list[str] = []
         self.found: dict[str, list[str]] = {"article": [], "main": [], "body": []}
-        self.inside = {"article": 0, "main": 0}
-        self.title, self.in_title, self.date = "", False, None
+        self.whole: dict[str, list[str]] = {"article": [], "main": [], "body": []}
+        self.title, self.date = "", None
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         a = dict(attrs)
         if tag == "meta" and (a.get("property") or a.get("name")) in ("article:published_time", "date", "pubdate") and not self.date:
             self.date = a.get("content")
-        if tag == "title":
-            self.in_title = True
-        if tag in _DROP:
-            self.skip += 1
-        if tag in self.inside:
-            self.inside[tag] += 1
-        if tag in _BLOCKS:
-            self._flush()
-            self.open = []
+        if tag not in _VOID:
+            self._mark(tag, 1)
+            self.stack.append(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag == "title":
-            self.in_title = False
-        if tag in _BLOCKS:
-            self._flush()
-        if tag in _DROP and self.skip:
-            self.skip -= 1
-        if tag in self.inside and self.inside[tag]:
-            self._flush()
-            self.inside[tag] -= 1
+        while self.count[tag]:
+            last = self.stack.pop()
+            self._mark(last, -1)
+            if last == tag:
+                break
 
     def handle_data(self, data: str) -> None:
-        if self.in_title:
+        if self.count["title"]:
             self.title += data
-        elif not self.skip and self.open is not None:
-            self.open.append(data)
+        elif not self.skip:
+            if self.blocks:
+                self.open.append(data)
+            if text := " ".join(data.split()):
+                for k in self._places():
+                    self.whole[k].append(text)
+
+    def _places(self) -> list[str]:
+        return [*(k for k in ("article", "main") if self.count[k]), "body"]
+
+    def _mark(self, tag: str, by: int) -> None:
+        if tag in _BLOCKS or tag in ("article", "main"):
+            self._flush()
+        self.count[tag] += by
+        self.skip += by * (tag in _DROP)
+        self.blocks += by * (tag in _BLOCKS)
 
     def _flush(self) -> None:
-        if self.open:
-            text = " ".join("".join(self.open).split())
-            if text:
-                for k in ("article", "main"):
-                    if self.inside[k]:
-                        self.found[k].append(text)
-                self.found["body"].append(text)
-        self.open = None
+        if text := " ".join("".join(self.open).split()):
+            for k in self._places():
+                self.found[k].append(text)
+        self.open = []
 
 
 def clip_page(html: str | None, url: str | None) -> tuple[str, str, str | None]:
-    """(title or host, text of at most ``PAGE_CAP`` characters, date)."""
+    """(title or host, text, date); a text of more than ``PAGE_CAP`` characters is cut and says so."""
     p = _Clip()
     p.feed(html or "")
     p.close()
     p._flush()
-    blocks = p.found["article"] or p.found["main"] or p.found["body"]
-    return " ".join(p.title.split()) or urlsplit(url or "").netloc, "\n\n".join(blocks)[:PAGE_CAP], p.date
+    text = next((t for k in ("article", "main", "body") if (t := "\n\n".join(p.found[k]) or " ".join(p.whole[k]))), "")
+    if len(text) > PAGE_CAP:
+        text = text[:PAGE_CAP] + f"\n\n[truncated at {PAGE_CAP} chars]"
+    return " ".join(p.title.split()) or urlsplit(url or "").netloc, text, p.date
 
 
 def web_clips(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
