@@ -29,7 +29,20 @@ def vector_top_k_by_id(points: DataFrame, query_ids: list[int], k: int, id_col:
 
     Every row is scored against the broadcast block; each task keeps k candidates per query before they are ranked.
     """
-    q = points.filter(F.col(id_col).isin(query_ids)).select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("_q"), *([F.col(label_col).alias("query_label")] if label_col else []))
+    return _nearest(points, F.col(id_col).isin(query_ids), k, id_col, vector_col, label_col)
+
+
+def vector_top_k_where(points: DataFrame, wanted: Column, k: int, id_col: str, vector_col: str, label_col: str | None = None, block: int = 256) -> DataFrame:
+    """``vector_top_k_by_id`` for all rows that ``wanted`` holds for, however many, in blocks of about ``block`` queries."""
+    blocks = max(1, -(-points.filter(wanted).count() // block))
+    out = _nearest(points, wanted & (F.pmod(F.xxhash64(id_col), F.lit(blocks)) == 0), k, id_col, vector_col, label_col)
+    for b in range(1, blocks):
+        out = out.unionByName(_nearest(points, wanted & (F.pmod(F.xxhash64(id_col), F.lit(blocks)) == b), k, id_col, vector_col, label_col))
+    return out
+
+
+def _nearest(points: DataFrame, wanted: Column, k: int, id_col: str, vector_col: str, label_col: str | None) -> DataFrame:
+    q = points.filter(wanted).select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("_q"), *([F.col(label_col).alias("query_label")] if label_col else []))
     pairs = points.join(F.broadcast(q), F.col(id_col) != F.col("query_id")).withColumn("score", scoring.cosine(F.col(vector_col), F.col("_q")))
     ranked = pairs.withColumn("rank", F.expr(f"row_number() over (partition by query_id order by score desc, {id_col})"))
     return ranked.filter(F.col("rank") <= k).drop("_q", vector_col)

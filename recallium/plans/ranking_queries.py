@@ -144,6 +144,15 @@ def recall_at_k(spark, d):
     return recall_at(near.withColumn("relevant", F.col("label") == F.col("query_label")), [1, 3, 5])
 
 
+@query("SELECT round(avg(r1), 6) AS recall_at_1, round(avg(r3), 6) AS recall_at_3, round(avg(r5), 6) AS recall_at_5 FROM (SELECT query_id, max((rel AND rank <= 1)::INT) AS r1, max((rel AND rank <= 3)::INT) AS r3, max((rel AND rank <= 5)::INT) AS r5 FROM (SELECT a.vec_id AS query_id, a.label = b.label AS rel, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0) GROUP BY query_id)")
+def recall_at_k_all(spark, d):
+    """Recall at k for every row whose id is divisible by 20 against all rows."""
+    from recallium.operators.analytics import recall_at
+
+    near = R.vector_top_k_where(table(spark, d, "embeddings"), F.col("vec_id") % 20 == 0, 5, "vec_id", "embedding", "label")
+    return recall_at(near.withColumn("relevant", F.col("label") == F.col("query_label")), [1, 3, 5])
+
+
 @query("SELECT round(avg(s), 6) AS mean, round(min(s), 6) AS low, round(max(s), 6) AS high FROM (SELECT list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) AS s FROM embeddings)")
 def cosine_summary(spark, d):
     q = F.array(*[F.lit(x) for x in query_vector(spark, d)])
