@@ -37,28 +37,57 @@ _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[
 _ATTR = re.compile(r"""(class|id|role|style|aria-hidden|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?(?=[\s/>]|\Z)""", re.I)
 
 
-def _hint(name: str, attrs: str, in_main: bool) -> str:
-    """``bad``, ``main``, ``header`` (of an article: only its headings count) or nothing: what an element says of itself."""
+def _hint(name: str, attrs: str, in_main: bool) -> tuple[str, str]:
+    """What an element says of itself, and ``article``, ``main`` or ``form`` if it is one. The first is ``bad``; ``soft`` (bad by a
+    name or as a form, unless what it holds says otherwise); ``main``; ``header`` (of an article: only its headings
+    count); or nothing."""
     if name == "header":
-        return "header" if in_main else "bad"
-    if name in PLAIN_BAD:
-        return "bad"
-    hint = "main" if name in ("article", "main") else ""
+        return ("header" if in_main else "bad"), ""
+    if name in PLAIN_BAD and name != "form":
+        return "bad", ""
+    region = name if name in ("article", "main") else ""
+    form, named, named_main = name == "form", False, False
     for m in _ATTR.finditer(attrs) if attrs else ():
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
-            return "bad"
+            return "bad", ""
         if key == "role":
-            if value in ROLE_BAD:
-                return "bad"
-            hint = "main" if value in ("main", "article") else hint
+            if value in ROLE_BAD and value != "form":
+                return "bad", ""
+            form = form or value == "form"
+            region = value if value in ("main", "article") else region
         elif key in ("class", "id") and name not in ("html", "body"):
             words = re.findall(r"[a-z]+", value)
-            if any(w in NAME_BAD or w.startswith(NAME_BAD_HEADS) for w in words):
-                return "bad"
-            if name in ("div", "section", "td") and any(w in NAME_MAIN for w in words):
-                hint = "main"
-    return hint
+            named = named or any(w in NAME_BAD or w.startswith(NAME_BAD_HEADS) for w in words)
+            named_main = named_main or any(w in NAME_MAIN for w in words)
+    if region == "main" or (region and (named_main or not named)):
+        return "main", region
+    if named or form:
+        return "soft", region or ("form" if form else "")
+    return ("main" if named_main and name in ("div", "section", "td") else ""), ""
+
+
+def _settle(found: list[dict], soft: list[dict]) -> None:
+    """Which soft elements are bad after all, and so which blocks.
+
+    One that holds ``main``, or at least half of the text of all articles, holds the page; so does a form with at least
+    half of the page's text. An article that is bad by its own name stays out only where other articles have text.
+    """
+    held = [b for b in found if not b["bad"]]
+    page, articles = sum(len(b["text"]) for b in held), sum(len(b["text"]) for b in held if b["region"])
+    text, of_articles = [0] * len(soft), [0] * len(soft)
+    for b in held:
+        for k in b["soft"]:
+            text[k] += len(b["text"])
+            of_articles[k] += len(b["text"]) * b["region"]
+    for k, s in enumerate(soft):
+        s["bad"] = not (s["main"] or (s["articles"] and 2 * of_articles[k] >= articles) or (s["form"] and 2 * text[k] >= page))
+    good = lambda b: not any(soft[k]["bad"] for k in b["soft"])
+    if not any(b["region"] and len(b["text"]) >= LENGTH_LOW and good(b) for b in held):
+        for s in soft:
+            s["bad"] = s["bad"] and not s["article"]
+    for b in held:
+        b["bad"] = not good(b)
 
 
 def blocks(html: str) -> list[dict]:
@@ -69,6 +98,8 @@ def blocks(html: str) -> list[dict]:
     link_chars = 0
     links = 0
     n_containers = 0
+    soft: list[dict] = []  # elements that are bad unless what they hold says otherwise
+    regions: set[int] = set()  # numbers of the containers that are articles or main
 
     def flush() -> None:
         nonlocal link_chars
@@ -77,8 +108,9 @@ def blocks(html: str) -> list[dict]:
         if joined:
             heading = any(n in ("h1", "h2", "h3", "h4", "h5", "h6") for n, _, _ in stack)
             bad = any(h == "bad" or (h == "header" and not heading) for _, h, _ in stack)
-            main = [c for _, h, c in stack if h == "main"]
-            out.append({"text": joined, "links": link_chars, "bad": bad, "in": main[-1] if main else 0, "heading": heading})
+            main = [soft[c]["in"] if h == "soft" else c for _, h, c in stack if h == "main" or (h == "soft" and soft[c]["in"])]
+            over = [c for _, h, c in stack if h == "soft"]
+            out.append({"text": joined, "links": link_chars, "bad": bad, "in": main[-1] if main else 0, "heading": heading, "soft": over, "region": any(c in regions for _, h, c in stack if h == "main")})
         link_chars = 0
 
     def add(piece: str) -> None:
@@ -130,17 +162,26 @@ def blocks(html: str) -> list[dict]:
             stack.pop()
         if attrs.endswith("/") and not block:
             continue
-        hint = _hint(name, attrs, any(h == "main" for _, h, _ in stack))
+        hint, region = _hint(name, attrs, any(h == "main" or (h == "soft" and soft[c]["in"]) for _, h, c in stack))
         number = 0
-        if hint == "main":
+        if hint == "main" or region == "article":
             n_containers += 1
             number = n_containers
+        if hint == "main" and region:
+            regions.add(number)
+            for _, h, c in stack:
+                if h == "soft":
+                    soft[c]["main" if region == "main" else "articles"] = True
+        if hint == "soft":
+            soft.append({"in": number, "article": region == "article", "form": region == "form", "main": False, "articles": False})
+            number = len(soft) - 1
         if name == "a":
             links += 1
         stack.append((name, hint, number))
     if at < len(html):
         add(html[at:])
     flush()
+    _settle(out, soft)
     return out
 
 
