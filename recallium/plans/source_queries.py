@@ -174,6 +174,14 @@ def document_memories(spark, d):
     return out.filter("kind = 'document'").select("document_id", "kind")
 
 
+@query()
+def document_memories_all(spark, d):
+    """All rows of the operator, passages too; chunks have no SQL form, the tests hold them against a Python version."""
+    docs = table(spark, d, "documents")
+    passages = chunk_documents(docs).select("doc_id", "parent_index", "parent").distinct()
+    return C.document_memories(docs, passages, table(spark, d, "labels").filter("toxic = 1").select("doc_id"))
+
+
 @query("SELECT '| ' || s_suppkey || ' | ' || s_name || ' |' AS line FROM supplier")
 def markdown_report(spark, d):
     s = table(spark, d, "supplier").select("s_suppkey", "s_name")
