@@ -38,7 +38,7 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """``edges`` (u, v: long). Returns (node, comp) for each node with an edge to another; comp is the least node."""
     e = edges.filter("u <> v").selectExpr("greatest(u, v) u", "least(u, v) v")
-    e = e.repartition(shuffle_width(e.sparkSession), "v").mapInArrow(_forest, "u long, v long")
+    e = e.repartition(shuffle_width(e.sparkSession)).mapInArrow(_forest, "u long, v long")  # dealt evenly, whatever hubs there are
     e = scratch.cut(e)
     while not _are_stars(e):
         both = e.unionByName(e.selectExpr("v u", "u v"))

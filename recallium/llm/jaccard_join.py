@@ -11,16 +11,19 @@ wanted similarity.
   "Rarest" is by counts of shingles over all documents, in 2**18 bins.
 * ``x`` is the size at which the listing of subsets becomes dearer than the scan of lists, by the sizes' histogram.
 
-Each list is scanned twice, never giving all pairs at once. First each set is held against two sets before it in its
-lists, in order of size; linked classes become components. Then only sets of one list that are in *different*
-components are compared, and only if sizes and positions allow a link. A pair is first held against parity bitmaps
-(one bit or two per shingle: as many bits as differ, so many shingles differ at least), then compared exactly, over
-whole sets, which are made from the texts again for the documents that got this far.
+Documents become classes first (one row and one number each, whatever the count of copies), so a list holds each set
+once. Only lists of two sets at least are kept; one of more than ``CELL`` sets is split into cells, and each two cells
+meet in one task. There sets whose sizes, positions and parity bitmaps let them link (one bit or two per shingle: as
+many bits as differ, so many shingles differ at least) are joined by union-find, and only a forest leaves the task: at
+most one row per set and cell, never the pairs. The forests' components are *clusters*: every link is inside one.
+
+A cluster's whole sets, made from the texts again, are dealt in blocks; blocks that meet in a task are compared at once
+by a product of 0/1 matrices, and again only a forest of the links leaves it. First each block meets itself and its
+neighbours in a ring, which is all there is in clusters of three blocks at most. In larger clusters, what is one
+component by then is never compared with itself: its blocks meet only the blocks of others.
 Any pair that is skipped is either impossible or already in one component, so components are exact.
 
-Numbers of links are a job of their own (``jaccard_links``). All links of a class are inside its component, so each
-component's whole sets are dealt in blocks, each two blocks meet in one task, and there all pairs are compared at once
-by a product of 0/1 matrices. Only counts leave the task.
+Numbers of links are a job of their own (``jaccard_links``): all blocks of a component meet, and only counts leave.
 """
 
 from __future__ import annotations
@@ -43,7 +46,8 @@ LARGEST_LIGHT = 16  # subsets are never listed for sets above this size
 SCAN_COST = 4.0  # of an entry of a list, in subsets listed
 LOT_BYTES = 2 << 20  # of text that is hashed in one go
 LONG_WORD = 512
-LINK_SETS, LINK_SHINGLES = 512, 1 << 20  # of a block of sets whose links are counted, about
+CELL = 2048  # sets of one list that meet in a task, twice as many where two cells meet
+LINK_SETS, LINK_SHINGLES = 512, 1 << 20  # of a block of whole sets, about
 LINK_COLUMNS = 8192  # of the matrices, at once
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -159,7 +163,11 @@ def prefix_length(n: int, num: int, den: int) -> int:
 
 
 def light_boundary(hist: dict[int, int], num: int, den: int) -> int:
-    """The x of least cost: subsets listed up to x, list entries scanned from the least partner of x + 1 up."""
+    """The x of least cost: subsets listed up to x, list entries scanned from the least partner of x + 1 up.
+
+    Sets above ``LARGEST_LIGHT`` are scanned at any x, so they add the same to each cost and need no count here; that
+    bound never binds in practice, since subsets outgrow entries well below it.
+    """
     def cost(x: int) -> float:
         listed = sum(hist.get(a, 0) * sum(comb(a, c) for c in subset_sizes(a, x, num, den)) for a in range(1, x + 1))
         scanned = sum(hist.get(a, 0) * prefix_length(a, num, den) for a in range(max(1, -(-num * (x + 1) // den)), LARGEST_LIGHT + 1))
@@ -242,11 +250,11 @@ def _sets(n: int, shared, num: int, den: int):
     return run
 
 
-def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[np.ndarray]]:
-    """Blocks of rows sorted by the first column such that no key's run is cut."""
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Blocks of rows sorted by the first column such that no run of it is cut."""
     held: list[np.ndarray] | None = None
     for b in batches:
-        cols = [b.column(k).to_numpy(zero_copy_only=False) for k in range(len(names))]
+        cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
         if held is not None:
             cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
         if not len(cols[0]):
@@ -259,37 +267,6 @@ def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[
         yield held
 
 
-def _shared_lists(num: int, den: int):
-    """Of rows sorted by (key, size, node): the lists of two nodes at least, each row with the node before
-    it, if sizes and positions let the two link."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail: tuple | None = None  # the last row, held back until the next tells if its list goes on
-        for b in batches:
-            cols = [b.column(k).to_numpy() for k in range(3)]
-            if not len(cols[0]):
-                continue
-            begun = np.zeros(1, bool)
-            if tail is not None:
-                cols = [np.concatenate([[t], c]).astype(np.int64) for t, c in zip(tail[:3], cols, strict=True)]
-                begun[0] = tail[3]
-            key, sp, node = cols
-            same = np.concatenate([begun, key[1:] == key[:-1]])
-            prev, psp = np.concatenate([[tail[4] if tail else 0], node[:-1]]), np.concatenate([[tail[5] if tail else 0], sp[:-1]])
-            nxt = np.concatenate([same[1:], [False]])
-            keep = np.flatnonzero((same | nxt)[:-1])
-            tail = (key[-1], sp[-1], node[-1], same[-1], prev[-1], psp[-1])
-            if len(keep):
-                yield batch(key[keep], sp[keep], node[keep], same[keep], prev[keep], psp[keep])
-        if tail is not None and tail[3]:
-            yield batch(*(np.array([t]) for t in tail))
-
-    def batch(key, sp, node, same, prev, psp) -> pa.RecordBatch:
-        fine = same & (prev != node) & _possible(sp, psp, num, den)
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(sp), pa.array(node), pa.array(prev, pa.int64(), mask=~fine)], ["key", "sp", "node", "prev"])
-
-    return run
-
-
 def _possible(x: np.ndarray, y: np.ndarray, num: int, den: int) -> np.ndarray:
     """Whether two sets whose first common shingle has these places (size << POS_BITS | position) can link."""
     mask = (1 << POS_BITS) - 1
@@ -298,84 +275,61 @@ def _possible(x: np.ndarray, y: np.ndarray, num: int, den: int) -> np.ndarray:
     return fits & ((p == SUBSET) | (np.minimum(a - p, b - q) >= -(-num * (a + b) // (num + den))))
 
 
-def _list_pairs(key: np.ndarray, sp: np.ndarray, comp: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows (i, j) of one list in different components that sizes and positions allow, for rows sorted by key and size.
+class _Union:
+    """Union-find over numbers as they come; the root is the least."""
 
-    All rows are held against the ones d places on, for d from 1 up, until sizes or lists no longer fit.
-    """
-    edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    runs = np.diff(np.append(edge, len(key)))
-    split = np.minimum.reduceat(comp, edge) != np.maximum.reduceat(comp, edge)
-    i = np.flatnonzero(np.repeat(split, runs))
-    size = sp >> POS_BITS
-    d = 1
-    while len(i):
-        i = i[i + d < len(key)]
-        j = i + d
-        fits = (key[j] == key[i]) & (size[i] * den >= num * size[j])
-        i, j = i[fits], j[fits]
-        hit = (comp[i] != comp[j]) & _possible(sp[i], sp[j], num, den)
-        if hit.any():
-            yield i[hit], j[hit]
-        d += 1
-
-
-def _partnered(num: int, den: int):
-    """Of rows sorted by (key, size): those with a possible partner in another component of the same list."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, sp, node, comp in _runs(batches, ["key", "sp", "node", "comp"]):
-            keep = np.zeros(len(key), bool)
-            for i, j in _list_pairs(key, sp, comp, num, den):
-                keep[i] = keep[j] = True
-            if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (key, sp, node, comp)], ["key", "sp", "node", "comp"])
+    def __init__(self):
+        self.parent: dict[int, int] = {}
 
-    return run
+    def find(self, x: int) -> int:
+        up, root = self.parent, x
+        while (p := up.get(root, root)) != root:
+            root = p
+        while (p := up.get(x, x)) != root:
+            up[x] = root
+            x = p
+        return root
 
+    def join(self, x: int, y: int) -> bool:
+        a, b = self.find(x), self.find(y)
+        if a != b:
+            self.parent[max(a, b)] = min(a, b)
+        return a != b
 
-def _across(num: int, den: int):
-    """Of rows sorted by (key, size): pairs in different components that may link by sizes, positions and bitmaps; the
-    last are held against each other here, so few pairs leave the task."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, sp, node, comp, bits in _runs(batches, ["key", "sp", "node", "comp", "bits"]):
-            size = (sp >> POS_BITS).tolist()
-            seen: set[tuple[int, int]] = set()  # pairs of this block of lists
-            for i, j in _list_pairs(key, sp, comp, num, den):
-                for a, b in zip(i.tolist(), j.tolist(), strict=True):
-                    if may_link(bits[a], bits[b], size[a], size[b], num, den):
-                        seen.add((max(int(node[a]), int(node[b])), min(int(node[a]), int(node[b]))))
-            if seen:
-                us, vs = zip(*seen, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
-
-    return run
 
+def _candidates(num: int, den: int):
+    """Of rows (cell, side, sp, node, bits) sorted by cell and size: a forest over the sets that may link.
 
-def _sieve(num: int, den: int):
-    """Pairs (u, v, bits and sizes of both) that their bitmaps let link."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y, a, c = (b.column(k).to_pylist() for k in range(2, 6))
-            ok = pa.array([may_link(*t, num, den) for t in zip(x, y, a, c, strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], ["u", "v"])
-
-    return run
-
-
-def _verify(num: int, den: int):
+    All rows are held against the ones d places on, for d from 1 up, until sizes or cells no longer fit; sets already in
+    one tree are passed over. ``side`` tells the two cells of a list apart where two meet (else null).
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            u, v, ok = b.column(0), b.column(1), []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if min(len(s), len(t)) * den < num * max(len(s), len(t)):
-                    ok.append(False)
-                    continue
-                both = np.concatenate([s, t])
-                both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                ok.append(den * common >= num * (len(both) - common))
-            yield pa.RecordBatch.from_arrays([u.filter(pa.array(ok, pa.bool_())), v.filter(pa.array(ok, pa.bool_()))], ["u", "v"])
+        trees = _Union()
+        for cell, side, sp, node, bits in _runs(batches):
+            size, label = sp >> POS_BITS, np.array([trees.find(x) for x in node.tolist()], np.int64)
+            us, vs = [], []
+            i = np.arange(len(cell))
+            d = 1
+            while len(i):
+                i = i[i + d < len(cell)]
+                j = i + d
+                fits = (cell[j] == cell[i]) & (size[i] * den >= num * size[j])
+                i, j = i[fits], j[fits]
+                hit = np.flatnonzero((label[i] != label[j]) & ((side[i] < 0) | (side[i] != side[j])))
+                hit = hit[_possible(sp[i[hit]], sp[j[hit]], num, den)]
+                new = 0
+                for a, b in zip(i[hit].tolist(), j[hit].tolist(), strict=True):
+                    u, v = int(node[a]), int(node[b])
+                    if trees.find(u) != trees.find(v) and may_link(bits[a], bits[b], int(size[a]), int(size[b]), num, den):
+                        trees.join(u, v)
+                        us.append(u)
+                        vs.append(v)
+                        new += 1
+                if new:
+                    label = np.array([trees.find(x) for x in node.tolist()], np.int64)
+                d += 1
+            if us:
+                yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
     return run
 
@@ -398,16 +352,31 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Rows with a null id take no part; they have no links and are nobody's.
     """
     scratch, src, rows, classes = _labelled(docs, id_col, text_col, n, num, den)
+    members = _dealt(classes)
+    whole = scratch.cut(_with_sets(src, members, n))
+    dealt = whole.withColumn("o", F.explode(F.expr("sequence(0, m - 1)"))).selectExpr("comp", "least(b, o) as i", "greatest(b, o) as j", "b", "node", "s")
+    counts = scratch.cut(_meeting(dealt).mapInArrow(_count_links(num, den), "node long, n_links long").groupBy("node").agg(F.sum("n_links").alias("n_links")))
+    scratch.drop(whole)
+    return _by_row(rows, classes.join(counts, "node", "left").selectExpr("fa", "fb", "component_id", "coalesce(n_links, 0) as n_links"), id_col)
+
+
+def _dealt(classes: DataFrame) -> DataFrame:
+    """Classes (node, least, fa, fb, n, comp) of the groups ``comp`` of two at least, each group dealt in ``m`` blocks ``b``."""
     groups = classes.groupBy("comp").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("total")).filter("k > 1")
     groups = groups.selectExpr("comp", f"cast(greatest(ceil(k / {LINK_SETS}), ceil(total / {LINK_SHINGLES})) as int) as m")
-    members = scratch.cut(classes.join(groups, "comp").selectExpr("fa", "fb", "node", "comp", "m", "cast(pmod(xxhash64(fa, fb), m) as int) as b"))
-    sets = src.join(members.selectExpr("node as id").distinct(), "id", "left_semi").mapInArrow(_packed_classes(n), "fa long, fb long, s binary").dropDuplicates(["fa", "fb"])
-    whole = scratch.cut(members.join(sets, ["fa", "fb"]).select("comp", "fa", "fb", "m", "b", "s"))
-    dealt = whole.withColumn("o", F.explode(F.expr("sequence(0, m - 1)"))).selectExpr("comp", "least(b, o) as i", "greatest(b, o) as j", "b", "fa", "fb", "s")
-    dealt = dealt.repartition(shuffle_width(docs.sparkSession), "comp", "i", "j").sortWithinPartitions("comp", "i", "j")
-    counts = scratch.cut(dealt.mapInArrow(_count_links(num, den), "fa long, fb long, n_links long").groupBy("fa", "fb").agg(F.sum("n_links").alias("n_links")))
-    scratch.drop(members, whole)
-    return _by_row(rows, classes.join(counts, ["fa", "fb"], "left").selectExpr("fa", "fb", "component_id", "coalesce(n_links, 0) as n_links"), id_col)
+    return classes.join(groups, "comp").selectExpr("fa", "fb", "node", "least", "comp", "m", "cast(pmod(xxhash64(node), m) as int) as b")
+
+
+def _with_sets(src: DataFrame, members: DataFrame, n: int) -> DataFrame:
+    """``members`` (node, fa, fb, least, comp, m, b) with their whole sets, from the texts of the rows with the id ``least``."""
+    texts = src.join(members.selectExpr("least as id").distinct(), "id", "left_semi")
+    sets = texts.mapInArrow(_packed_classes(n), "fa long, fb long, s binary").dropDuplicates(["fa", "fb"])
+    return members.join(sets, ["fa", "fb"]).select("node", "comp", "m", "b", "s")
+
+
+def _meeting(dealt: DataFrame) -> DataFrame:
+    """Rows of (comp, i, j, ...) such that each two blocks' rows stand together in one task."""
+    return dealt.repartition(shuffle_width(dealt.sparkSession), "comp", "i", "j").sortWithinPartitions("comp", "i", "j")
 
 
 def _by_row(rows: DataFrame, by_class: DataFrame, id_col: str) -> DataFrame:
@@ -417,76 +386,74 @@ def _by_row(rows: DataFrame, by_class: DataFrame, id_col: str) -> DataFrame:
 
 
 def _labelled(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int) -> tuple[Scratch, DataFrame, DataFrame, DataFrame]:
-    """The scratch tables' keeper, (id, text), a row per document with its class, and a row per class (fa, fb): ``node``, ``n``, ``comp``, ``component_id``."""
+    """The scratch tables' keeper, (id, text), a row per document with its class, and a row per class (fa, fb): ``node``, ``n``, ``least``, ``comp``, ``component_id``."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    bins = src.select("text").mapInArrow(_count_bins(n), "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()  # at most 2**18 + 17 rows
+    bins = src.select("text").mapInArrow(_count_bins(n), "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()  # at most 2**18 + 17 rows
+    at, many = bins.column("bin").to_numpy(), bins.column("n").to_numpy()
     weight = np.zeros(1 << BIN_BITS, np.int64)
-    for r in bins:
-        if r.bin >= 0:
-            weight[r.bin] = r.n
-    x = light_boundary({-1 - r.bin: r.n for r in bins if r.bin < 0}, num, den)
+    weight[at[at >= 0]] = many[at >= 0]
+    x = light_boundary({int(-1 - k): int(c) for k, c in zip(at[at < 0], many[at < 0], strict=True)}, num, den)
     shared = spark.sparkContext.broadcast((x, np.minimum(weight, 2**31 - 1).astype(np.int32)))
-    rows = scratch.cut(src.mapInArrow(_sets(n, shared, num, den), "id long, fa long, fb long, n long, keys array<long>, pos array<int>, bits binary"))
-    classes = scratch.cut(rows.filter("id is not null and n > 0").groupBy("fa", "fb").agg(F.min(F.expr("if(keys is null, null, id)")).alias("node"), F.min("id").alias("least"), F.max("n").alias("n")))
-    # Each task entered a class once; its entries by different tasks are one class.
-    copies = scratch.cut(rows.filter("keys is not null").select("fa", "fb", "id").join(classes, ["fa", "fb"]).filter("id <> node").selectExpr("greatest(id, node) u", "least(id, node) v"))
-
-    entries = rows.filter("keys is not null").selectExpr("inline(arrays_zip(keys, pos))", "id", "n").selectExpr("keys as key", f"shiftleft(n, {POS_BITS}) | pos as sp", "id as node")
-    width = shuffle_width(spark)
-    lists = entries.repartition(width, "key").sortWithinPartitions("key", F.expr(f"shiftright(sp, {POS_BITS})"), "node").mapInArrow(_shared_lists(num, den), "key long, sp long, node long, prev long")
-    lists = scratch.cut(lists)
-    bits = rows.filter("keys is not null").select("id", "n", "bits")
-
-    def sieved(pairs: DataFrame) -> DataFrame:
-        left, right = bits.selectExpr("id u", "n nu", "bits bu"), bits.selectExpr("id v", "n nv", "bits bv")
-        return pairs.join(left, "u").join(right, "v").select("u", "v", "bu", "bv", "nu", "nv").mapInArrow(_sieve(num, den), "u long, v long")
-
-    def links(pairs: DataFrame) -> DataFrame:
-        """Pairs that link, compared over whole sets."""
-        close = scratch.cut(pairs.distinct())
-        wanted = close.selectExpr("explode(array(u, v)) as id").distinct()
-        sets = scratch.cut(src.join(wanted, "id", "left_semi").mapInArrow(_packed(n), "node long, s binary").dropDuplicates(["node", "s"]))
-        with_u = close.join(sets.selectExpr("node as u", "s as su"), "u")
-        out = scratch.cut(with_u.join(sets.selectExpr("node as v", "s as sv"), "v").select("u", "v", "su", "sv").mapInArrow(_verify(num, den), "u long, v long"))
-        scratch.drop(close, sets)
-        return out
-
-    # Each node is first held against two nodes before it: the one that precedes it in most lists, and the least.
-    before = lists.filter("prev is not null").groupBy("node", "prev").count().groupBy("node").agg(F.max(F.struct("count", "prev")).alias("most"), F.min("prev").alias("least"))
-    near = before.select("node", F.explode(F.array_distinct(F.array("most.prev", "least"))).alias("prev")).selectExpr("greatest(prev, node) u", "least(prev, node) v").distinct().join(copies, ["u", "v"], "left_anti")
-    near = scratch.cut(near)
-    found = links(sieved(near))
-    first = scratch.cut(connected_components(found.unionByName(copies), scratch))
-    info = scratch.cut(bits.selectExpr("id as node", "bits").dropDuplicates(["node"]).join(first, "node", "left").selectExpr("node", "bits", "coalesce(comp, node) comp"))
-    # Only rows with a possible partner in another component go on, and only they carry bitmaps.
-    by_key = lambda df: df.repartition(width, "key").sortWithinPartitions("key", F.expr(f"shiftright(sp, {POS_BITS})"), "node")
-    left = by_key(lists.select("key", "sp", "node").join(info.select("node", "comp"), "node").select("key", "sp", "node", "comp"))
-    left = scratch.cut(left.mapInArrow(_partnered(num, den), "key long, sp long, node long, comp long"))
-    across = by_key(left.join(info.select("node", "bits"), "node").select("key", "sp", "node", "comp", "bits")).mapInArrow(_across(num, den), "u long, v long").distinct()
-    more = links(across.join(near, ["u", "v"], "left_anti"))
-    if more.isEmpty():
-        comp = first
-    else:  # the new links join whole components
-        label = info.select("node", "comp")
-        joined = more.join(label.selectExpr("node u", "comp cu"), "u").join(label.selectExpr("node v", "comp cv"), "v").selectExpr("greatest(cu, cv) u", "least(cu, cv) v")
-        again = connected_components(joined, scratch).selectExpr("node comp", "comp final")
-        comp = scratch.cut(label.join(again, "comp", "left").selectExpr("node", "coalesce(final, comp) comp"))
+    made = scratch.cut(src.mapInArrow(_sets(n, shared, num, den), "id long, fa long, fb long, n long, keys array<long>, pos array<int>, bits binary"))
+    shared.destroy()
+    # One row and one number per class. Each task gave a class's keys once; any of them will do.
+    one = F.min_by(F.struct("keys", "pos", "bits"), F.expr("if(keys is null, null, id)")).alias("k")
+    keyed = made.filter("id is not null and n > 0").groupBy("fa", "fb").agg(one, F.min("id").alias("least"), F.max("n").alias("n"))
+    keyed = scratch.cut(keyed.select(F.monotonically_increasing_id().alias("node"), "fa", "fb", "least", "n", "k.keys", "k.pos", "k.bits"))
+    rows = scratch.cut(made.select("id", "fa", "fb", "n"))
+    scratch.drop(made)
+    classes = keyed.select("node", "fa", "fb", "least", "n")
+
+    entries = keyed.selectExpr("inline(arrays_zip(keys, pos))", "n", "node").selectExpr("keys as key", f"shiftleft(n, {POS_BITS}) | pos as sp", "node")
+    several = entries.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    lists = scratch.cut(entries.join(several, "key"))
+    cells = lists.join(keyed.select("node", "bits"), "node").selectExpr("*", f"cast(ceil(c / {CELL}) as int) as m").withColumn("b", F.expr("cast(pmod(xxhash64(node), m) as int)"))
+    cells = cells.withColumn("o", F.explode(F.expr("sequence(0, m - 1)"))).selectExpr("xxhash64(key, least(b, o), greatest(b, o)) as cell", "if(b = o, -1, b) as side", "sp", "node", "bits")
+    edges = scratch.cut(_in_cells(cells).mapInArrow(_candidates(num, den), "u long, v long"))
     scratch.drop(lists)
-    labelled = classes.join(comp, "node", "left").withColumn("comp", F.expr("coalesce(comp, node)"))
-    least = labelled.groupBy("comp").agg(F.min("least").alias("component_id"))
-    return scratch, src, rows, scratch.cut(labelled.join(least, "comp").select("fa", "fb", "node", "n", "comp", "component_id"))
-
-
-def _packed(n: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for lot in range(0, whole.num_rows, 512):
-                b = whole.slice(lot, 512)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in shingle_sets(b.column(1), n)], pa.binary())], ["node", "s"])
-
-    return run
+    clusters = scratch.cut(connected_components(edges, scratch))
+    scratch.drop(edges)
+    comp = _linked(scratch, src, classes.join(clusters, "node"), n, num, den)
+    scratch.drop(clusters)
+    inside = scratch.cut(classes.join(comp, "node", "left").select("node", "fa", "fb", "least", "n", F.expr("coalesce(comp, node)").alias("comp")))
+    scratch.drop(keyed)
+    least = inside.groupBy("comp").agg(F.min("least").alias("component_id"))
+    return scratch, src, rows, scratch.cut(inside.join(least, "comp").select("fa", "fb", "node", "least", "n", "comp", "component_id"))
+
+
+def _linked(scratch: Scratch, src: DataFrame, clusters: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(node, comp) of the classes with links, for ``clusters`` (node, fa, fb, least, n, comp) that hold every link."""
+    members = _dealt(clusters)
+    whole = scratch.cut(_with_sets(src, members, n))
+    ring = "array_distinct(array(struct(b as i, b as j), struct(least(b, (b + 1) % m) as i, greatest(b, (b + 1) % m) as j), struct(least(b, (b + m - 1) % m) as i, greatest(b, (b + m - 1) % m) as j)))"
+    first = _meeting(whole.selectExpr("comp", f"inline({ring})", "b", "node", "s").select("comp", "i", "j", "b", "node", "s"))
+    links = scratch.cut(first.mapInArrow(_link_forest(num, den), "u long, v long"))
+    comp = scratch.cut(connected_components(links, scratch))
+    scratch.drop(links)
+    wide = whole.filter("m > 3")
+    if not wide.isEmpty():
+        inside = wide.join(comp.selectExpr("node", "comp as c"), "node", "left").withColumn("c", F.expr("coalesce(c, node)"))
+        sizes = inside.groupBy("comp", "c").agg(F.count(F.lit(1)).alias("k"), F.sum(F.octet_length("s") / 8).alias("total"))
+        sizes = sizes.selectExpr("comp", "c", f"k >= {LINK_SETS} as own", f"cast(greatest(ceil(k / {LINK_SETS}), ceil(total / {LINK_SHINGLES})) as int) as blocks")
+        # Large components have blocks of their own; the others share the cluster's mixed ones (owner -1).
+        placed = inside.join(sizes, ["comp", "c"]).selectExpr("comp", "node", "s", "if(own, c, -1) as owner", "cast(if(own, pmod(xxhash64(node), blocks), pmod(xxhash64(c), m)) as int) as part")
+        placed = scratch.cut(placed)
+        table = placed.select("comp", "owner", "part").distinct().groupBy("comp").agg(F.array_sort(F.collect_list(F.struct("owner", "part"))).alias("every"))  # a cluster's blocks: its sets over LINK_SETS
+        others = "filter(sequence(0, size(every) - 1), x -> owner < 0 or every[x].owner <> owner)"
+        numbered = placed.join(table, "comp").selectExpr("comp", "node", "s", "cast(array_position(every, struct(owner, part)) - 1 as int) as b", f"explode({others}) as o")
+        more = scratch.cut(_meeting(numbered.selectExpr("comp", "least(b, o) as i", "greatest(b, o) as j", "b", "node", "s")).mapInArrow(_link_forest(num, den), "u long, v long"))
+        joined = scratch.cut(connected_components(comp.selectExpr("node as u", "comp as v").unionByName(more), scratch))
+        scratch.drop(placed, more, comp)
+        comp = joined
+    scratch.drop(whole)
+    return comp
+
+
+def _in_cells(cells: DataFrame) -> DataFrame:
+    by_size = F.expr(f"shiftright(sp, {POS_BITS})")
+    return cells.select("cell", "side", "sp", "node", "bits").repartition(shuffle_width(cells.sparkSession), "cell").sortWithinPartitions("cell", by_size, "node")
 
 
 def _class_of(s: np.ndarray) -> tuple[int, int]:
@@ -506,14 +473,18 @@ def _packed_classes(n: int):
     return run
 
 
-def links_within(sets: list[np.ndarray], first: np.ndarray | None, num: int, den: int) -> np.ndarray:
-    """Per set, its links with the others; where ``first`` marks the sets of one of two blocks, with those of the other block."""
+def link_matrix(sets: list[np.ndarray], first: np.ndarray | None, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(left, right, which of them link): all sets on both sides, or those that ``first`` marks against the others."""
     lengths = np.array([len(s) for s in sets], np.int64)
-    out = np.zeros(len(sets), np.int64)
     left = np.arange(len(sets)) if first is None else np.flatnonzero(first)
     right = left if first is None else np.flatnonzero(~first)
     if not len(left) or not len(right):
-        return out
+        return left, right, np.zeros((len(left), len(right)), bool)
+    if len(sets) == 2:
+        both = np.sort(np.concatenate(sets))
+        common = int((both[1:] == both[:-1]).sum())
+        link = common >= least_overlap(*lengths.tolist(), num, den)
+        return left, right, np.array([[link]]) if first is not None else np.array([[False, link], [link, False]])
     row = np.repeat(np.arange(len(sets)), lengths)
     found, col = np.unique(np.concatenate(sets), return_inverse=True)
     if first is None:
@@ -534,39 +505,86 @@ def links_within(sets: list[np.ndarray], first: np.ndarray | None, num: int, den
     link = common >= least_overlap(lengths[left][:, None], lengths[right][None, :], num, den)
     if first is None:
         np.fill_diagonal(link, False)
-        return link.sum(1)
-    out[left], out[right] = link.sum(1), link.sum(0)
+    return left, right, link
+
+
+def links_within(sets: list[np.ndarray], first: np.ndarray | None, num: int, den: int) -> np.ndarray:
+    """Per set, its links with the others; where ``first`` marks the sets of one of two blocks, with those of the other block."""
+    left, right, link = link_matrix(sets, first, num, den)
+    out = np.zeros(len(sets), np.int64)
+    out[right] = link.sum(0)
+    out[left] = link.sum(1)
     return out
 
 
+def forest_within(sets: list[np.ndarray], first: np.ndarray | None, num: int, den: int) -> np.ndarray:
+    """Per set, the least set that its links within the block (or between the two) lead to, itself included."""
+    left, right, link = link_matrix(sets, first, num, den)
+    label = np.arange(len(sets))
+    while link.any():
+        before = label.copy()
+        label[left] = np.minimum(label[left], np.where(link, label[right][None, :], len(sets)).min(1))
+        label[right] = np.minimum(label[right], np.where(link, label[left][:, None], len(sets)).min(0))
+        label = label[label]
+        if (label == before).all():
+            break
+    return label
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[np.ndarray], np.ndarray | None]]:
+    """Of rows (comp, i, j, b, node, s) sorted by the first three: each two blocks that meet, their sets, and which are of the first block."""
+    key, held = None, []
+
+    def block() -> tuple[pa.Table, list[np.ndarray], np.ndarray | None]:
+        t = pa.Table.from_batches(held)
+        return t, [np.frombuffer(x.as_buffer(), np.uint64) for x in t["s"]], None if key[1] == key[2] else t["b"].to_numpy() == key[1]
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k = np.stack([b.column(c).to_numpy() for c in range(3)])
+        cuts = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(0)) + 1).tolist(), b.num_rows]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            now = tuple(k[:, lo].tolist())
+            if held and now != key:
+                yield block()
+                held.clear()
+            key = now
+            held.append(b.slice(lo, hi - lo))
+    if held:
+        yield block()
+
+
+def _batched(rows: Iterator[tuple[np.ndarray, np.ndarray]], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Two columns of whole numbers, gathered into batches of some thousand rows."""
+    a, b, many = [], [], 0
+    for x, y in rows:
+        a.append(x)
+        b.append(y)
+        many += len(x)
+        if many >= 4096:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names)
+            a, b, many = [], [], 0
+    if many:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names)
+
+
 def _count_links(num: int, den: int):
-    """Of rows (comp, i, j, b, fa, fb, s) sorted by the first three: links of the sets of blocks i and j with each other."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []  # one pair of blocks
+    """Numbers of links of the sets of blocks i and j with each other."""
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for t, sets, first in _met(batches):
+            n = links_within(sets, first, num, den)
+            yield t["node"].to_numpy()[n > 0], n[n > 0]
 
-        def count() -> pa.RecordBatch:
-            t = pa.Table.from_batches(held)
-            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t["s"]]
-            n = links_within(sets, None if key[1] == key[2] else t["b"].to_numpy() == key[1], num, den)
-            some = pa.array(n > 0)
-            return pa.RecordBatch.from_arrays([t["fa"].combine_chunks().filter(some), t["fb"].combine_chunks().filter(some), pa.array(n[n > 0])], ["fa", "fb", "n_links"])
+    return lambda batches: _batched(counted(batches), ["node", "n_links"])
 
-        for b in batches:
-            if not b.num_rows:
-                continue
-            k = np.stack([b.column(c).to_numpy() for c in range(3)])
-            cuts = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(0)) + 1).tolist(), b.num_rows]
-            ready = []
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                now = tuple(k[:, lo].tolist())
-                if held and now != key:
-                    ready.append(count())
-                    held.clear()
-                key = now
-                held.append(b.slice(lo, hi - lo))
-            if ready:
-                yield from pa.Table.from_batches(ready).combine_chunks().to_batches()
-        if held:
-            yield count()
 
-    return run
+def _link_forest(num: int, den: int):
+    """A forest of the links of the sets of blocks i and j with each other."""
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for t, sets, first in _met(batches):
+            root = forest_within(sets, first, num, den)
+            node, some = t["node"].to_numpy(), np.flatnonzero(root != np.arange(len(sets)))
+            yield node[some], node[root[some]]
+
+    return lambda batches: _batched(linked(batches), ["u", "v"])
