@@ -14,6 +14,8 @@ WORD_SPLIT = r"[\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share; set here only where the session leaves it unset (tests, one machine)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return (found or "/tmp/checkpoints").rstrip("/")
 
 
@@ -44,6 +46,14 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, with underscores behind it until no column has it (names differ by more than case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_of(col: str = "text"):
     """Null counts as empty."""
     return F.coalesce(F.col(col), F.lit(""))

@@ -1,14 +1,15 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams (op 6).
 
-Words, word heads, bigrams and one-skip bigrams are hashed into ``2**BITS`` coordinates. Training is online on the driver over a
-bounded sample of labelled rows (``MAX_TOXIC`` and ``MAX_CLEAN``, the rows least by a hash of their id); the class
-rates over *all* labelled training rows correct the intercept. Per-coordinate rates and the L1 term leave few
-weights, which are broadcast (at most 2**BITS floats).
+Words, word heads, bigrams and one-skip bigrams are hashed into ``2**BITS`` coordinates. Training is online, in one
+task, over a bounded sample of labelled rows (``MAX_TOXIC`` and ``MAX_CLEAN``, the rows least by a hash of their id);
+the class rates over *all* labelled training rows correct the intercept. Per-coordinate rates and the L1 term leave few
+weights, of which the driver sees and broadcasts only those that are not zero, as (coordinate, weight).
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,7 @@ ALPHA, BETA, L1, L2, EPOCHS = 0.15, 1.0, 1.0, 0.5, 3
 _WORD = re.compile(r"[^\W\d_]+")
 STEM = 4  # letters of a word's head, a coordinate of its own: it carries over to inflected forms that training lacks
 _CACHE: dict[str, int] = {}
+_DENSE: dict[str, object] = {}  # a worker's last model, by coordinate
 _TABLE = {"word": np.zeros(1 << 16, np.uint64), "stem": np.zeros(1 << 16, np.uint64)}
 
 
@@ -49,6 +51,7 @@ def _hashes(text: str) -> tuple[np.ndarray, np.ndarray]:
     return _TABLE["word"][at], _TABLE["stem"][at]
 
 
+Model = tuple[np.ndarray, np.ndarray, float]  # coordinates, their weights, the intercept
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -95,37 +98,60 @@ def predict(texts: list[str], weights: np.ndarray, bias: float, bits: int = BITS
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", usable=None) -> tuple[np.ndarray, float]:
-    """Train on labelled rows for which ``usable`` (a column of the id) holds. Without labels of both kinds: zero weights, the prior."""
+def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All weights that are not zero of the model of rows (id, text, label), and the intercept at -1; nothing without both labels."""
+    t = pa.Table.from_batches(batches, pa.schema([("id", pa.string()), ("t", pa.string()), ("y", pa.int32())])).sort_by("id")
+    texts, y = t.column("t").to_pylist(), t.column("y").to_pylist()
+    pos, neg = sum(y), len(y) - sum(y)
+    if pos and neg:
+        weights, bias = train(texts, y)
+        k = np.flatnonzero(weights)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(k, -1), pa.int64()), pa.array(np.append(weights[k].astype(float), bias - np.log(pos / neg)))], ["k", "w"])
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", usable=None) -> Model:
+    """Train on labelled rows for which ``usable`` (a column of the id) holds. Without labels of both kinds: no weights, the prior.
+
+    An id that is labelled or occurs more than once counts once, by its largest label and its least text.
+    """
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("_y"))
     if usable is not None:
         known = known.filter(usable)
     total = {r._y: r["count"] for r in known.groupBy("_y").count().collect()}
     order = F.xxhash64(F.col(id_col).cast("string"), F.lit(17))
     picks = [known.filter(F.col("_y") == y).orderBy(order, id_col).limit(most) for y, most in ((1, MAX_TOXIC), (0, MAX_CLEAN))]
-    picked = picks[0].unionByName(picks[1])
-    rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_t")).join(F.broadcast(picked), id_col).toArrow()  # at most MAX_TOXIC + MAX_CLEAN ids
-    rows = rows.sort_by([(id_col, "ascending"), ("_t", "ascending")])
-    texts, y = rows.column("_t").to_pylist(), rows.column("_y").to_pylist()
-    pos, neg = sum(y), len(y) - sum(y)
-    prior = np.log((total.get(1, 0) + 0.5) / (total.get(0, 0) + 0.5))
-    if not pos or not neg:
-        return np.zeros(1 << BITS, np.float32), float(prior)
-    weights, bias = train(texts, y)
-    return weights, float(bias + prior - np.log(pos / neg))
-
-
-def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` and ``_score``: the chance of the label 1. Null and empty texts get the intercept's."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = StructType([*docs.schema.fields, StructField("_score", DoubleType())])
+    picked = F.broadcast(picks[0].unionByName(picks[1]).withColumnRenamed(id_col, "_id"))  # at most MAX_TOXIC + MAX_CLEAN ids
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t")).join(picked, "_id").groupBy("_id").agg(F.min("_t").alias("t"), F.max("_y").alias("y"))
+    got = rows.selectExpr("cast(_id as string) as id", "t", "y").repartition(1).mapInArrow(_trained, "k long, w double").toArrow()  # at most 2**BITS + 1 rows
+    k, w = got.column("k").to_numpy(), got.column("w").to_numpy()
+    prior = float(np.log((total.get(1, 0) + 0.5) / (total.get(0, 0) + 0.5)))
+    return k[k >= 0].astype(np.int32), w[k >= 0].astype(np.float32), prior + float(w[k < 0].sum())
+
+
+def _dense(shared) -> tuple[np.ndarray, float]:
+    """The broadcast model as an array of all coordinates, made once per worker."""
+    if _DENSE.get("of") != shared.value[-1]:
+        k, w, bias, name = shared.value
+        all_weights = np.zeros(1 << BITS, np.float32)
+        all_weights[k] = w
+        _DENSE.update(of=name, model=(all_weights, bias))
+    return _DENSE["model"]
+
+
+def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", score_col: str = "_score") -> DataFrame:
+    """All columns of ``docs`` and ``score_col``: the chance of the label 1. Null and empty texts get the intercept's.
+    ``score_col`` must be a new name (``common.fresh`` finds one)."""
+    if score_col in docs.columns:
+        raise ValueError(f"a column {score_col} exists already")
+    shared = docs.sparkSession.sparkContext.broadcast((*model, uuid.uuid4().hex))
+    schema = StructType([*docs.schema.fields, StructField(score_col, DoubleType())])
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, bias = shared.value
+        weights, bias = _dense(shared)
         for b in batches:
             s = predict([t or "" for t in b.column(at).to_pylist()], weights, bias)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], [*b.schema.names, "_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], [*b.schema.names, score_col])
 
     return docs.mapInArrow(run, schema)
 

@@ -105,6 +105,105 @@ def test_pii_network(spark):
     assert masked[0] is None and "@" not in masked[6] and pii.mask(df).columns == df.columns
 
 
+def test_viterbi_against_all_paths():
+    from itertools import product
+
+    r = np.random.default_rng(5)
+    for T in (1, 2, 4):
+        e, trans = r.normal(0, 2, (T, 5, 6)).astype(np.float32), r.normal(0, 1, (5, 5)).astype(np.float32)
+        got, still = pii.viterbi(e, trans), pii.quiet(e, trans)
+        for n in range(6):
+            ways = [y for y in product(range(5), repeat=T) if all(a == b or a == 0 or b == 0 for a, b in zip(y, y[1:], strict=False))]
+            best = max(ways, key=lambda y: sum(float(e[t, k, n]) for t, k in enumerate(y)) + sum(float(trans[a, b]) for a, b in zip(y, y[1:], strict=False)))
+            assert tuple(got[:, n]) == best and (not still[n] or not any(best))
+
+
+def test_tagging_does_not_depend_on_where_windows_end(spark, sf_dir):
+    r = np.random.default_rng(6)
+    p = pii.start_parameters(r)
+    p["b"][0] = 0.5  # so that many kinds begin and end
+    p["t"] = r.normal(0, 1, (5, 5)).astype(np.float32)
+    for n in (5, 256, 257, 900):
+        text = "".join(r.choice(list("ab 01.@"), n))
+        labels, _ = pii.tag_texts(p, [text])[0]
+        c, core = pii.char_classes(text), pii.WINDOW - pii.OVERLAP
+        whole = np.empty((n, 5), np.float32)  # each place's emissions from the window in which it is farthest from an edge
+        for w in range(max(1, -(-(n - pii.OVERLAP) // core))):
+            part = c[w * core : w * core + pii.WINDOW]
+            pad = np.zeros((-(-len(part) // 32) * 32, 1), np.uint8)
+            pad[: len(part), 0] = part
+            at = 0 if w == 0 else w * core + pii.OVERLAP // 2
+            whole[at : w * core + len(part)] = pii.fast_emissions(p, pad)[at - w * core : len(part), :, 0]
+        assert labels.tolist() == pii.viterbi(whole[:, :, None], p["t"])[:, 0].tolist()
+
+
+def test_pii_finds_other_forms(spark):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect() if r.text]
+    p = pii.fit(*pii.labelled_windows(texts[:500]))
+    rng = np.random.default_rng(99)
+    placed, found, wrong = Counter(), Counter(), 0
+    for t in texts[500:1000] * 3:
+        s, y = pii._written(rng)
+        at = max(0, t.find(" ", len(t[:600]) // 2))
+        x = f"{t[:at]} {s} {t[at:600]}"
+        base, every = pii.find_spans(p, [x])[0]
+        more, want = [z for z in every if z not in base], (at + 1, y - 1, at + 1 + len(s))
+        if y and not any(a < want[2] and want[0] < b for a, _, b in base):
+            placed[y - 1] += 1
+            found[y - 1] += want in more
+        wrong += sum(z != want for z in more)
+    assert all(placed[k] > 40 and found[k] >= 0.8 * placed[k] for k in range(4)), (placed, found)
+    assert wrong <= 0.03 * sum(found.values())
+
+
+def test_ftrl_against_a_plain_loop():
+    texts, y = ["bad word here", "nice word here today", "bad bad thing", "", "nice thing"] * 4, [1, 0, 1, 0, 0] * 4
+    weights, bias = T.train(texts, y, bits=12, epochs=2)
+    z, n, zb, nb = {}, {}, 0.0, 0.0
+    order = np.random.default_rng(7)
+    weight = lambda k: 0.0 if abs(z.get(k, 0)) <= T.L1 else -(z[k] - math.copysign(T.L1, z[k])) / ((T.BETA + math.sqrt(n[k])) / T.ALPHA + T.L2)
+    of_bias = lambda: -zb / ((T.BETA + math.sqrt(nb)) / T.ALPHA)
+    for _ in range(2):
+        for row in order.permutation(len(texts)):
+            f = sorted(set(T.features(texts[row], 12).tolist()))
+            w = {k: weight(k) for k in f}
+            g = 1 / (1 + math.exp(-(sum(w.values()) + of_bias()))) - y[row]
+            b = of_bias()
+            for k in f:
+                s = (math.sqrt(n.get(k, 0) + g * g) - math.sqrt(n.get(k, 0))) / T.ALPHA
+                z[k], n[k] = z.get(k, 0) + g - s * w[k], n.get(k, 0) + g * g
+            s = (math.sqrt(nb + g * g) - math.sqrt(nb)) / T.ALPHA
+            zb, nb = zb + g - s * b, nb + g * g
+    want = np.zeros(1 << 12)
+    for k in z:
+        want[k] = weight(k)
+    assert np.abs(want - weights).max() < 1e-5 and bias == pytest.approx(of_bias()) and 0 < np.count_nonzero(weights) < len(z)
+    p = T.predict(["bad word", ""], weights, bias, 12)
+    f = set(T.features("bad word", 12).tolist())
+    assert p[0] == pytest.approx(1 / (1 + math.exp(-(sum(want[k] for k in f) + bias)))) and p[1] == pytest.approx(1 / (1 + math.exp(-bias)))
+
+
+def test_toxicity_on_held_out_rows(spark):
+    sf = "/root/testdata/sf0.1"
+    rows = T.classify(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    truth = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic").filter("toxic is not null")
+    held = rows.filter("held_out").join(truth, "doc_id").toPandas()
+    rank = held["score"].rank().to_numpy()
+    pos = held["toxic"].to_numpy() == 1
+    auc = (rank[pos].sum() - pos.sum() * (pos.sum() + 1) / 2) / (pos.sum() * (~pos).sum())
+    hit = held["predicted"].to_numpy() == 1
+    assert auc > 0.88 and (hit & pos).sum() / hit.sum() > 0.9 and (hit & pos).sum() / pos.sum() > 0.5
+
+
+def test_toxicity_of_clashing_columns(spark):
+    docs = spark.createDataFrame([(k, "bad word" if k % 2 else "nice word", 1.0, "q") for k in range(40)] * 2, "doc_id long, text string, _score double, _t string")
+    labels = docs.selectExpr("doc_id", "int(doc_id % 2) as toxic")
+    model = T.fit(docs, labels)
+    with pytest.raises(ValueError):
+        T.score_toxicity(docs, model)
+    assert T.score_toxicity(docs, model, score_col="s").count() == 80 and T.classify(docs, labels).count() == 80
+
+
 def test_toxicity(spark, sf_dir):
     docs = spark.createDataFrame([(k, f"filler w{k % 50} some text " + ("you moron clown" if k % 3 == 0 else "you nice person") + " more words here", "x") for k in range(600)], "doc_id long, text string, predicted string")
     labels = docs.selectExpr("doc_id", "1 as quality", "int(doc_id % 3 = 0) as toxic")
