@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallium.llm.common import Scratch, documents
+from recallium.llm.common import Scratch, documents, fresh
 from recallium.llm.exact_dedup import drop_exact_duplicates
 from recallium.llm.jaccard_join import jaccard_components
 from recallium.llm.packing import pack_documents
@@ -23,7 +23,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score reaches ``TOXIC_FROM`` go. The labelled fold that op 6 holds out is not learnt from here either."""
     fold = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 4
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), usable=fold != 2)
-    return score_toxicity(docs, model).filter(F.col("_score") < TOXIC_FROM).drop("_score")
+    score = fresh(docs.columns, "score")
+    return score_toxicity(docs, model, score_col=score).filter(F.col(score) < TOXIC_FROM).drop(score)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
