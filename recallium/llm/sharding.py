@@ -2,8 +2,12 @@
 
 Rows with equal texts form one atomic group. Groups are ordered by the digest of their text. The smallest capacity
 for which a greedy left-to-right filling needs at most ``n_shards`` shards is found by binary search, and the groups
-are cut there. The search never holds all groups: it works on cells (ranges of digests) with their sums, and splits
-only cells that a cut can fall into, until every such cell is a single group; that makes the capacity exact.
+are cut there. The search never holds all groups: it works on cells (ranges of digests) with their sums and largest
+groups. For a capacity, two greedy fillings bound the true one: an early one, whose cuts in a cell of several groups
+fall as early as its largest group allows, and a late one, whose cuts fall as late as can be. If the early one needs
+few enough shards, or the late one too many, the capacity is decided; else the cells where the two cut are split, at
+most two per shard. A round asks ``PROBES`` capacities at once, so it collects at most
+2 * shards * PROBES * 16**MORE_DIGITS sums, whatever the number of groups or the size of the largest.
 """
 
 from __future__ import annotations
@@ -17,7 +21,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, text_of
 
 FIRST_DIGITS = 3  # 4096 cells to begin with
-MORE_DIGITS = 2  # a cell is split into at most 256
+MORE_DIGITS = 1  # a cell is split into at most 16
+PROBES = 8  # capacities that a round asks
 SLOT_ROWS = 200_000  # rows that one numbering task gets, on average
 
 
@@ -43,22 +48,41 @@ def smallest_capacity(sums: list[int], shards: int) -> int:
     return low
 
 
-def _touched(cells: list[tuple[str, int, int, int]], low: int, high: int, shards: int) -> set[int]:
-    """Cells that hold a greedy cut for some capacity from ``low`` to ``high``, or could: the cut moves right with the capacity."""
-    cum = [0, *accumulate(c[1] for c in cells)]
-    out: set[int] = set()
-    left = right = 0
+Cell = tuple[str, int, int, int]  # digest prefix, bytes, groups, bytes of the largest group
+
+
+def _greedy(cells: list[Cell], cum: list[int], capacity: int, shards: int, early: bool) -> tuple[bool, set[int]]:
+    """Whether the early (or late) filling reaches the end, and the cells of several groups that its cuts fall into."""
+    at, unsure = 0, set()
     for _ in range(shards):
-        most = max(c[3] for c in cells)
-        a = max(0, left + low - most)
-        b = right + high
-        first = max(0, bisect_right(cum, a) - 1)
-        last = min(len(cells) - 1, bisect_right(cum, b) - 1)
-        out.update(range(first, last + 1))
-        left, right = a, min(b, cum[-1])
-        if left >= cum[-1]:
-            break
-    return out
+        aim = at + capacity
+        if aim >= cum[-1]:
+            return True, unsure
+        k = bisect_right(cum, aim) - 1
+        if cells[k][2] == 1 or aim == cum[k]:
+            at = cum[k]
+        else:
+            unsure.add(k)
+            at = max(cum[k], aim - cells[k][3] + 1) if early else aim
+    return at >= cum[-1], unsure
+
+
+def _summed(groups: DataFrame, key: str, size: str, digits: int) -> list[Cell]:
+    got = groups.groupBy(F.substring(key, 1, digits).alias("p")).agg(F.sum(size).alias("s"), F.count(F.lit(1)).alias("n"), F.max(size).alias("m")).collect()
+    return [(r.p, int(r.s), int(r.n), int(r.m)) for r in got]
+
+
+def _split(groups: DataFrame, key: str, size: str, cells: list[Cell], which: set[int]) -> tuple[list[Cell], int]:
+    """The cells with those of ``which`` split by ``MORE_DIGITS`` (hexadecimal digits sort before "g"), and the number collected."""
+    def any_of(parts: list[str]):
+        if len(parts) == 1:
+            return (F.col(key) >= parts[0]) & (F.col(key) < parts[0] + "g")
+        return any_of(parts[: len(parts) // 2]) | any_of(parts[len(parts) // 2 :])
+
+    new: list[Cell] = []
+    for digits in sorted({len(cells[k][0]) for k in which}):
+        new += _summed(groups.filter(any_of([cells[k][0] for k in which if len(cells[k][0]) == digits])), key, size, digits + MORE_DIGITS)
+    return sorted([c for k, c in enumerate(cells) if k not in which] + new), len(new)
 
 
 def balanced_ends(sums: list[int], capacity: int, shards: int) -> list[int]:
@@ -80,32 +104,40 @@ def balanced_ends(sums: list[int], capacity: int, shards: int) -> list[int]:
     return ends
 
 
-def minimax_cuts(groups: DataFrame, key: str, size: str, shards: int) -> tuple[list[str], int]:
-    """Upper bounds (exclusive digest prefixes) of all shards but the last, and the capacity found."""
-    def summed(df: DataFrame, digits: int) -> list[tuple[str, int, int, int]]:
-        got = df.groupBy(F.substring(key, 1, digits).alias("p")).agg(F.sum(size).alias("s"), F.count(F.lit(1)).alias("n"), F.max(size).alias("m")).collect()
-        return [(r.p, int(r.s), int(r.n), int(r.m)) for r in got]
-
-    cells = sorted(summed(groups, FIRST_DIGITS))
+def minimax_cuts(groups: DataFrame, key: str, size: str, shards: int) -> tuple[list[str], int, int]:
+    """Upper bounds (exclusive digest prefixes) of all shards but the last, the capacity, and the most sums collected in a round."""
+    cells = sorted(_summed(groups, key, size, FIRST_DIGITS))
+    most = len(cells)
     if not cells:
-        return [""] * (shards - 1), 0
-    digits = FIRST_DIGITS
-    while digits < 64:
+        return [""] * (shards - 1), 0, 0
+    low = max(max(c[3] for c in cells), -(-sum(c[1] for c in cells) // shards))
+    high = max(low, smallest_capacity([c[1] for c in cells], shards))  # enough, as cuts between cells show
+    while low < high:
+        cum = [0, *accumulate(c[1] for c in cells)]
+        unsure: set[int] = set()
+        for c in sorted({low + (high - low) * k // PROBES for k in range(PROBES)}):
+            if not low <= c < high:
+                continue
+            sure, a = _greedy(cells, cum, c, shards, early=True)
+            fits, b = _greedy(cells, cum, c, shards, early=False)
+            if sure:
+                high = c
+            elif not fits:
+                low = c + 1
+            else:
+                unsure |= a | b
+        if unsure and low < high:
+            cells, n = _split(groups, key, size, cells, unsure)
+            most = max(most, n)
+    while True:  # cells that the cuts at this capacity fall into
+        cum = [0, *accumulate(c[1] for c in cells)]
         sums = [c[1] for c in cells]
-        low = max(max(c[3] for c in cells), -(-sum(sums) // shards))
-        high = smallest_capacity(sums, shards)
-        split = [k for k in _touched(cells, low, high, shards) if cells[k][2] > 1] if low < high else []
-        if not split:
+        if _ends(sums, high, shards) is not None:
             break
-        digits += MORE_DIGITS
-        parts = [cells[k][0] for k in split]
-        inner = groups.join(F.broadcast(groups.sparkSession.createDataFrame([(p, len(p)) for p in parts], "p string, l int")), F.expr(f"substring({key}, 1, l) = p"), "left_semi") if len({len(p) for p in parts}) > 1 else groups.filter(F.substring(key, 1, len(parts[0])).isin(parts))
-        gone = set(split)
-        cells = sorted([c for k, c in enumerate(cells) if k not in gone] + summed(inner, digits))
-    sums = [c[1] for c in cells]
-    capacity = smallest_capacity(sums, shards)
-    ends = balanced_ends(sums, capacity, shards)
-    return [cells[e][0] if e < len(cells) else "g" for e in ends[:-1]], capacity
+        cells, n = _split(groups, key, size, cells, _greedy(cells, cum, high, shards, early=True)[1])
+        most = max(most, n)
+    ends = balanced_ends(sums, high, shards)
+    return [cells[e][0] if e < len(cells) else "g" for e in ends[:-1]], high, most
 
 
 def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_shards: int = 16) -> DataFrame:
@@ -120,8 +152,8 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     raw = F.encode(text_of(text_col), "UTF-8")
     rows = scratch.cut(docs.select(F.col(id_col).alias(id_col), raw.alias("b")).select(
         id_col, (F.octet_length("b") + 1).cast("long").alias("size"), F.crc32("b").alias("text_crc32"), F.sha2("b", 256).alias("_g")))
-    groups = scratch.cut(rows.groupBy("_g").agg(F.sum("size").alias("_s")))
-    cuts, _ = minimax_cuts(groups, "_g", "_s", n_shards)
+    groups = scratch.cut(rows.groupBy("_g").agg(F.sum("size").alias("_s")).sortWithinPartitions("_g"))  # in order, so that a round reads only the pages of its cells
+    cuts, _, _ = minimax_cuts(groups, "_g", "_s", n_shards)
     scratch.drop(groups)
     shard = F.lit(0)
     for c in cuts:

@@ -29,6 +29,7 @@ from .lm_scoring import default_vocabulary
 LOT_CHARS = 1 << 19
 UNITS_KEPT = 200_000
 LONGEST_UNIT = 40  # longer units, and those with characters outside the vocabulary, are tabled one by one, with rescaling
+LEAST_REST = float(np.log(1e-12))  # a place with less left than this is not opened
 MARK = "▁"
 _STATE: dict = {}
 
@@ -79,7 +80,8 @@ class Lattices:
 
     def clear(self) -> None:
         self.units: dict[str, int] = {}
-        self.n_nodes = self.n_arcs = 0
+        self.n_nodes = self.n_arcs = self.n_logged = 0
+        self.logged = (np.zeros(1 << 18), np.zeros(1 << 18), np.zeros(1 << 18, bool))
         self.first: list[int] = []  # of nodes not in the arrays yet: the first arc
         self.arcs: list[tuple[int, int, float, int]] = []  # next node or -1, piece, chance, own node
         self.store = {"first": np.zeros(1 << 16, np.int64), "next": np.zeros(1 << 18, np.int32), "piece": np.zeros(1 << 18, np.int32), "chance": np.zeros(1 << 18), "node": np.zeros(1 << 18, np.int32)}
@@ -235,6 +237,21 @@ class Lattices:
         return st["first"], st["next"], st["piece"], st["chance"], st["node"]
 
 
+    def logs(self) -> tuple[np.ndarray, ...]:
+        """By arc: log of its chance, log of the chance of the other arcs of its node, and whether there are others."""
+        first, _, _, chance, node = self.tables()
+        a, b = self.n_logged, self.n_arcs
+        while b > len(self.logged[0]):
+            self.logged = tuple(np.concatenate([x, np.zeros_like(x)]) for x in self.logged)
+        logc, rest, several = self.logged
+        if b > a:
+            logc[a:b] = np.log(chance[a:b])
+            rest[a:b] = np.log(np.maximum(1.0 - chance[a:b], 1e-300))
+            several[a:b] = first[node[a:b] + 1] - first[node[a:b]] > 1
+            self.n_logged = b
+        return self.logged
+
+
 def _lattices(path: str) -> Lattices:
     if _STATE.get("path") != path:
         _STATE.update(path=path, tables=Lattices(path))
@@ -303,7 +320,8 @@ def sample_texts(lat: Lattices, texts: list[str], keys: np.ndarray, k: int) -> l
     n_units = np.array([len(u) for u in units])
     roots = lat.roots(units)
     lens = np.array([len(x) for u in units for x in u], np.int64)
-    first, _, piece, chance, node_of = lat.tables()
+    _, _, piece, chance, node_of = lat.tables()
+    log_chance, log_rest, several = lat.logs()
     doc = np.repeat(np.arange(len(texts)), n_units)
     ubegin = np.concatenate([[0], np.cumsum(n_units)])
     cum = np.concatenate([[0], np.cumsum(lens)])
@@ -330,58 +348,57 @@ def sample_texts(lat: Lattices, texts: list[str], keys: np.ndarray, k: int) -> l
         banned: dict[int, set[int]] = {}
         per = np.bincount(doc, counts, len(texts)).astype(np.int64) if len(doc) else np.zeros(len(texts), np.int64)
         if s:  # the opened region's path: its first pieces, another piece, then the rest drawn anew
-            parts, units_of = [], []
+            parts, units_of, at_opened = [], [], []
             fresh = np.concatenate([[0], np.cumsum(counts)])
-            for d in live:
-                p = paths[src[d]]
-                a, b = p["begin"][d], p["begin"][d + 1]
-                old_arcs, old_unit = p["arcs"][a:b], p["unit"][a:b]
-                i = pos[d]
-                ban = {int(old_arcs[i])} | (p["banned"].get(int(d), set()) if p["start"][d] == i else set())
-                banned[int(d)] = ban
-                unit = old_unit[i]
-                head = old_arcs[:i]
-                node = int(node_of[old_arcs[i]])
-                c, mid = _walk(lat, np.array([node]), keys[d : d + 1], np.array([at[unit] + (i - np.searchsorted(old_unit, unit))]), s + 20, [ban])
-                tail = arcs[fresh[unit + 1] : fresh[ubegin[d + 1]]]
-                parts.append(np.concatenate([head, mid, tail]))
-                units_of.append(np.concatenate([old_unit[:i], np.full(len(mid), unit), np.repeat(np.arange(unit + 1, ubegin[d + 1]), counts[unit + 1 : ubegin[d + 1]])]))
+            for d in live.tolist():
+                p, i = paths[src[d]], pos[d]
+                a = p["begin"][d]
+                at_opened.append((a + i, p["unit"][a + i]))
+                banned[d] = {int(p["arcs"][a + i])} | (p["banned"].get(d, set()) if p["start"][d] == i else set())
+            spots, of_unit = np.array([x for x, _ in at_opened], np.int64), np.array([x for _, x in at_opened], np.int64)
+            leaving = np.array([paths[src[d]]["arcs"][x] for d, x in zip(live.tolist(), spots.tolist(), strict=True)], np.int64)
+            inside = np.array([pos[d] - np.searchsorted(paths[src[d]]["unit"][paths[src[d]]["begin"][d] : paths[src[d]]["begin"][d + 1]], x) for d, x in zip(live.tolist(), of_unit.tolist(), strict=True)], np.int64)
+            mids, mid_arcs = _walk(lat, node_of[leaving].astype(np.int64), keys[live], at[of_unit] + inside, s + 20, [banned[d] for d in live.tolist()])
+            mid_at = np.concatenate([[0], np.cumsum(mids)])
+            for n, d in enumerate(live.tolist()):
+                p, unit = paths[src[d]], of_unit[n]
+                a = p["begin"][d]
+                parts += [p["arcs"][a : spots[n]], mid_arcs[mid_at[n] : mid_at[n + 1]], arcs[fresh[unit + 1] : fresh[ubegin[d + 1]]]]
+                units_of += [p["unit"][a : spots[n]], np.full(mids[n], unit), np.repeat(np.arange(unit + 1, ubegin[d + 1]), counts[unit + 1 : ubegin[d + 1]])]
             per = np.zeros(len(texts), np.int64)
-            per[live] = [len(x) for x in parts]
+            per[live] = np.array([len(x) for x in parts], np.int64).reshape(-1, 3).sum(1)
             arcs = np.concatenate(parts) if parts else np.empty(0, np.int64)
             unit = np.concatenate(units_of) if parts else np.empty(0, np.int64)
         else:
             unit = np.repeat(np.arange(len(roots)), counts)
         begin = np.concatenate([[0], np.cumsum(per)])
         of = np.repeat(np.arange(len(texts)), per)
-        logc = np.log(chance[arcs])
+        logc = log_chance[arcs]
         c = np.empty(len(arcs))
         for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):  # text by text: a row's sums depend on nothing else
             np.cumsum(logc[a:b], out=c[a:b])
-        before = c - logc  # log-chance of the pieces before
-        start = np.where(s > 0, pos, 0) if s else np.zeros(len(texts), np.int64)
+        start = pos.copy() if s else np.zeros(len(texts), np.int64)
         place = np.arange(len(arcs)) - begin[:-1][of]
-        left = 1.0 - chance[arcs]
+        rest = log_rest[arcs]
         for d, ban in banned.items():  # at the place where it left its parent, more arcs are taken
             j = begin[d] + pos[d]
-            left[j] -= sum(chance[a] for a in ban)
-        open_ = (place >= start[of]) & (first[node_of[arcs] + 1] - first[node_of[arcs]] > 1) & (left > 1e-12) if len(arcs) else np.empty(0, bool)
+            rest[j] = np.log(max(1e-300, 1.0 - chance[arcs[j]] - sum(chance[a] for a in ban)))
+        w = np.flatnonzero(several[arcs] & (rest > LEAST_REST) & (place >= start[of]))
+        # Each place's Gumbel at the log-mass of what is left there. Values are truncated at the path's own when they
+        # are compared with other paths'; that keeps their order within the path.
         g = np.full(len(arcs), -np.inf)
-        w = np.flatnonzero(open_)
-        mu = before[w] + np.log(left[w])
-        u = _uniform(keys[of[w]], 30 + s, place[w] + 1)
-        g[w] = -np.logaddexp(-values[s][of[w]], np.log(-np.log(u)) - mu)  # a Gumbel at mu, truncated at the path's own value
-        logw = np.bincount(of, lat.weight[piece[arcs]], len(texts)) if len(arcs) else np.zeros(len(texts))
+        g[w] = ((c[w] - logc[w]) + rest[w]) - np.log(-np.log(_uniform(keys[of[w]], 30 + s, place[w] + 1)))
         logp = np.bincount(of, logc, len(texts)) if len(arcs) else np.zeros(len(texts))
+        ids = piece[arcs]
         paths.append({"arcs": arcs, "unit": unit, "begin": begin, "g": g, "banned": banned, "start": start})
         for d in live:
-            out[d].append({"ids": piece[arcs[begin[d] : begin[d + 1]]], "log_prob": float(logp[d]), "log_weight": float(logw[d]), "value": float(values[s][d])})
+            out[d].append({"ids": ids[begin[d] : begin[d + 1]], "log_prob": float(logp[d]), "value": float(values[s][d])})
         best = np.full(len(texts), -np.inf)
         for t, p in enumerate(paths):
             full = np.flatnonzero(np.diff(p["begin"]) > 0)
             if not len(full):
                 continue
-            m = np.maximum.reduceat(p["g"], p["begin"][full])
+            m = -np.logaddexp(-values[t][full], -np.maximum.reduceat(p["g"], p["begin"][full]))
             better = m > best[full]
             best[full[better]] = m[better]
             src[full[better]] = t
@@ -400,13 +417,18 @@ def sample_texts(lat: Lattices, texts: list[str], keys: np.ndarray, k: int) -> l
     return out
 
 
-def decode_ids(lat: Lattices, ids: np.ndarray) -> bytes:
-    """UTF-8 of a sequence of ids, without the space that encoding puts first."""
+def decode_all(lat: Lattices, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """UTF-8 of all pieces in a row, and where each piece begins and the last one ends."""
     n = lat.raw_len[ids]
+    ends = np.concatenate([[0], np.cumsum(n)])
     if not len(ids):
-        return b""
-    place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    return lat.raw[np.repeat(lat.raw_at[ids], n) + place].tobytes()[1:]
+        return b"", ends
+    return lat.raw[np.repeat(lat.raw_at[ids] - ends[:-1], n) + np.arange(ends[-1])].tobytes(), ends
+
+
+def decode_ids(lat: Lattices, ids: np.ndarray) -> bytes:
+    """UTF-8 of a sequence of ids, without the space that encoding puts first."""
+    return decode_all(lat, ids)[0][1:]
 
 
 def sampled_encodings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, vocabulary: str | None = None, keep_ids: bool = False) -> DataFrame:
@@ -432,13 +454,15 @@ def sampled_encodings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                     size += len(texts[hi])
                     hi += 1
                 lat = _lattices(path)
-                row, cols = [], [[] for _ in range(8)]
-                for d, rows in enumerate(sample_texts(lat, texts[lo:hi], seeds[lo:hi], k)):
-                    want = texts[lo + d].replace(MARK, " ").encode("utf-8", "surrogatepass")
-                    for s, r in enumerate(rows):
-                        row.append(lo + d)
-                        for c, v in zip(cols, (s, len(r["ids"]), zlib.crc32(r["ids"].astype("<u4").tobytes()), r["log_prob"], r["value"], r["inclusion"], decode_ids(lat, r["ids"]) == want, r["ids"] if keep_ids else None), strict=True):
-                            c.append(v)
+                samples = [(d, s, r) for d, rows in enumerate(sample_texts(lat, texts[lo:hi], seeds[lo:hi], k)) for s, r in enumerate(rows)]
+                row, want = [lo + d for d, _, _ in samples], [t.replace(MARK, " ").encode("utf-8", "surrogatepass") for t in texts[lo:hi]]
+                ids = np.concatenate([r["ids"] for _, _, r in samples])  # all samples of the lot are decoded together
+                raw, at = decode_all(lat, ids)
+                words = memoryview(ids.astype("<u4").tobytes())
+                edge = np.concatenate([[0], np.cumsum([len(r["ids"]) for _, _, r in samples])]).tolist()
+                cols = [[s for _, s, _ in samples], [b - a for a, b in zip(edge, edge[1:], strict=False)], [zlib.crc32(words[4 * a : 4 * b]) for a, b in zip(edge, edge[1:], strict=False)],
+                        *([r[name] for _, _, r in samples] for name in ("log_prob", "value", "inclusion")),
+                        [raw[at[a] + (b > a) : at[b]] == want[d] for (d, _, _), a, b in zip(samples, edge, edge[1:], strict=False)], [r["ids"] for _, _, r in samples]]
                 kinds = [pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_()]
                 arrays = [b.column(0).take(pa.array(row, pa.int32())), *(pa.array(c, t) for c, t in zip(cols[:7], kinds, strict=True))]
                 names = [id_col, "sample", "n_pieces", "ids_crc32", "log_prob", "perturbed", "inclusion", "decoded_equal"]

@@ -168,6 +168,33 @@ def test_sharding(spark):
     assert shard_documents(frame(spark, texts).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n,hot", [(300, 0.05), (3000, 0.05), (3000, 0.3), (2000, 0)])
+def test_few_sums_are_collected_whatever_the_largest_group(spark, n, hot):
+    r = random.Random(n)
+    sizes = {hashlib.sha256(str(k).encode()).hexdigest(): r.randrange(1, 4000) for k in range(n)}
+    if hot:
+        sizes[hashlib.sha256(b"hot").hexdigest()] = int(hot / (1 - hot) * sum(sizes.values()))
+    groups = spark.createDataFrame(list(sizes.items()), "g string, s long")
+    cuts, capacity, most = H.minimax_cuts(groups, "g", "s", 16)
+    sums = [sizes[k] for k in sorted(sizes)]
+    assert capacity == H.smallest_capacity(sums, 16) and most <= 4096
+    shards = defaultdict(int)
+    for g, size in sizes.items():
+        shards[sum(g >= c for c in cuts)] += size
+    assert max(shards.values()) == capacity
+
+
+def test_sharding_null_ids_and_repeated_rows(spark):
+    df = spark.createDataFrame([(None, "a", 1)] * 3 + [(5, "b", 2)] * 4 + [(5, None, 3), (6, "", 4)], "doc_id long, text string, shard int")
+    got = shard_documents(df).collect()
+    assert len(got) == 9
+    by = defaultdict(list)
+    for r in got:
+        by[r.shard].append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in by.values())
+    assert len({r.shard for r in got if r.doc_id is None}) == 1 and len({r.shard for r in got if r.size == 1}) == 1
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
