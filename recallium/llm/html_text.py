@@ -8,7 +8,9 @@ that was too short or too plain to decide the label of its nearest decided neigh
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 from html import unescape
 
 import pyarrow as pa
@@ -71,55 +73,115 @@ def _settle(found: list[dict], soft: list[dict]) -> None:
     """Which soft elements are bad after all, and so which blocks.
 
     One that holds ``main``, or at least half of the text of all articles, holds the page; so does a form with at least
-    half of the page's text. An article that is bad by its own name stays out only where other articles have text.
+    half of the page's text, and on pages without articles any element with four fifths of it. An article that is bad by its own name stays out only where other articles have text.
+    A soft element's ``up`` is the one round it, begun before it, so sums go up and verdicts down in one pass each.
     """
     held = [b for b in found if not b["bad"]]
     page, articles = sum(len(b["text"]) for b in held), sum(len(b["text"]) for b in held if b["region"])
     text, of_articles = [0] * len(soft), [0] * len(soft)
     for b in held:
-        for k in b["soft"]:
-            text[k] += len(b["text"])
-            of_articles[k] += len(b["text"]) * b["region"]
+        if b["soft"] >= 0:
+            text[b["soft"]] += len(b["text"])
+            of_articles[b["soft"]] += len(b["text"]) * b["region"]
+    for k in range(len(soft) - 1, -1, -1):
+        if (up := soft[k]["up"]) >= 0:
+            text[up] += text[k]
+            of_articles[up] += of_articles[k]
     for k, s in enumerate(soft):
-        s["bad"] = not (s["main"] or (s["articles"] and 2 * of_articles[k] >= articles) or (s["form"] and 2 * text[k] >= page))
-    good = lambda b: not any(soft[k]["bad"] for k in b["soft"])
-    if not any(b["region"] and len(b["text"]) >= LENGTH_LOW and good(b) for b in held):
+        s["bad"] = not (s["main"] or (s["articles"] and 2 * of_articles[k] >= articles) or (s["form"] and 2 * text[k] >= page) or (not articles and 5 * text[k] >= 4 * page))
+
+    def under() -> list[bool]:
+        out: list[bool] = []
+        for s in soft:
+            out.append(s["bad"] or (s["up"] >= 0 and out[s["up"]]))
+        return out
+
+    bad = under()
+    if not any(b["region"] and len(b["text"]) >= LENGTH_LOW and not (b["soft"] >= 0 and bad[b["soft"]]) for b in held):
         for s in soft:
             s["bad"] = s["bad"] and not s["article"]
+        bad = under()
     for b in held:
-        b["bad"] = not good(b)
+        b["bad"] = b["soft"] >= 0 and bad[b["soft"]]
+
+
+class _Open:
+    """The open elements, with counts of all that blocks ask for, so that depth costs nothing."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, str, int, bool]] = []  # name, hint, number, whether it is an article or main
+        self.names: Counter = Counter()
+        self.hints: Counter = Counter()
+        self.regions = 0
+        self.mains: list[int] = []  # numbers of open main containers
+        self.softs: list[int] = []  # numbers of open soft elements
+        self.soft: list[dict] = []
+
+    def push(self, name: str, hint: str, number: int, region: bool) -> None:
+        self.stack.append((name, hint, number, region))
+        self.names[name] += 1
+        self.hints[hint] += 1
+        self.regions += region
+        if hint == "soft":
+            self.softs.append(number)
+            if self.soft[number]["in"]:
+                self.mains.append(self.soft[number]["in"])
+        elif hint == "main":
+            self.mains.append(number)
+
+    def pop(self) -> None:
+        name, hint, number, region = self.stack.pop()
+        self.names[name] -= 1
+        self.hints[hint] -= 1
+        self.regions -= region
+        if hint == "soft":
+            self.softs.pop()
+            if self.soft[number]["in"]:
+                self.mains.pop()
+        elif hint == "main":
+            self.mains.pop()
+
+    def close(self, name: str, over_blocks: bool) -> None:
+        """Close the innermost element of this name and all inside it; an inline one does not end a block inside it."""
+        if not self.names[name]:
+            return
+        if not over_blocks:
+            for n, *_ in reversed(self.stack):
+                if n == name:
+                    break
+                if n in BLOCK:
+                    return
+        while self.stack[-1][0] != name:
+            self.pop()
+        self.pop()
+
+
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 
 
 def blocks(html: str) -> list[dict]:
-    """Blocks in page order: text, characters in links, hint, container, heading."""
+    """Blocks in page order: text, characters in links, hint, container, heading; in time linear in the page."""
     out: list[dict] = []
-    stack: list[tuple[str, str, int]] = []  # name, hint, container number
+    up = _Open()
     text: list[str] = []
-    link_chars = 0
-    links = 0
-    n_containers = 0
-    soft: list[dict] = []  # elements that are bad unless what they hold says otherwise
-    regions: set[int] = set()  # numbers of the containers that are articles or main
+    link_chars = n_containers = at = 0
 
     def flush() -> None:
         nonlocal link_chars
         joined = " ".join(unescape("".join(text)).split())
         text.clear()
         if joined:
-            heading = any(n in ("h1", "h2", "h3", "h4", "h5", "h6") for n, _, _ in stack)
-            bad = any(h == "bad" or (h == "header" and not heading) for _, h, _ in stack)
-            main = [soft[c]["in"] if h == "soft" else c for _, h, c in stack if h == "main" or (h == "soft" and soft[c]["in"])]
-            over = [c for _, h, c in stack if h == "soft"]
-            out.append({"text": joined, "links": link_chars, "bad": bad, "in": main[-1] if main else 0, "heading": heading, "soft": over, "region": any(c in regions for _, h, c in stack if h == "main")})
+            heading = any(up.names[h] for h in HEADINGS)
+            bad = up.hints["bad"] > 0 or (up.hints["header"] > 0 and not heading)
+            out.append({"text": joined, "links": link_chars, "bad": bad, "in": up.mains[-1] if up.mains else 0, "heading": heading, "soft": up.softs[-1] if up.softs else -1, "region": up.regions > 0})
         link_chars = 0
 
     def add(piece: str) -> None:
         nonlocal link_chars
         text.append(piece)
-        if links:
+        if up.names["a"]:
             link_chars += len(piece)
 
-    at = 0
     while (m := _TAG.search(html, at)) is not None:
         if m.start() > at:
             add(html[at : m.start()])
@@ -133,7 +195,7 @@ def blocks(html: str) -> list[dict]:
         end, attrs = m["end"] or m["end2"], m["attrs"] or m["attrs2"] or ""
         if name in RAW:
             if not end and not attrs.endswith("/"):
-                close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(html, at)
+                close = _closing(name).search(html, at)
                 at = close.end() if close else (len(html) if name in ("script", "style") else at)
             continue
         if name == "br":
@@ -143,45 +205,56 @@ def blocks(html: str) -> list[dict]:
         if block:
             flush()
         if end:
-            names = [n for n, _, _ in stack]
-            if name in names:
-                k = len(names) - 1 - names[::-1].index(name)
-                if not (block is False and any(n in BLOCK for n in names[k + 1 :])):
-                    links -= sum(n == "a" for n in names[k:])
-                    del stack[k:]
+            up.close(name, block)
             continue
         if name in VOID:
             if name == "img":
                 add(" ")
             continue
-        if block and any(n == "p" for n, _, _ in stack):
-            k = max(i for i, (n, _, _) in enumerate(stack) if n == "p")
-            links -= sum(n == "a" for n, _, _ in stack[k:])
-            del stack[k:]
-        elif name in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
-            stack.pop()
+        if block and up.names["p"]:
+            up.close("p", True)
+        elif name in ("li", "dt", "dd", "tr", "td", "th", "option") and up.stack and up.stack[-1][0] == name:
+            up.pop()
         if attrs.endswith("/") and not block:
             continue
-        hint, region = _hint(name, attrs, any(h == "main" or (h == "soft" and soft[c]["in"]) for _, h, c in stack))
+        hint, region = _hint(name, attrs, bool(up.mains))
         number = 0
         if hint == "main" or region == "article":
             n_containers += 1
             number = n_containers
         if hint == "main" and region:
-            regions.add(number)
-            for _, h, c in stack:
-                if h == "soft":
-                    soft[c]["main" if region == "main" else "articles"] = True
+            said = "main" if region == "main" else "articles"
+            for c in reversed(up.softs):
+                if up.soft[c][said]:
+                    break  # and so have all round it
+                up.soft[c][said] = True
         if hint == "soft":
-            soft.append({"in": number, "article": region == "article", "form": region == "form", "main": False, "articles": False})
-            number = len(soft) - 1
-        if name == "a":
-            links += 1
-        stack.append((name, hint, number))
+            up.soft.append({"in": number, "article": region == "article", "form": region == "form", "main": False, "articles": False, "up": up.softs[-1] if up.softs else -1})
+            number = len(up.soft) - 1
+        up.push(name, hint, number, hint == "main" and bool(region))
     if at < len(html):
         add(html[at:])
     flush()
-    _settle(out, soft)
+    _settle(out, up.soft)
+    return out
+
+
+@cache
+def _closing(name: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I)
+
+
+def _nearest(found: list[dict], first: list[str], step: int) -> list[tuple[int, bool] | None]:
+    """Per block: distance to the nearest decided block on that side in its own container, and whether that is good."""
+    out: list[tuple[int, bool] | None] = [None] * len(found)
+    last, home = None, None
+    order = range(len(found)) if step < 0 else range(len(found) - 1, -1, -1)
+    for k in order:
+        if found[k]["in"] != home:
+            last, home = None, found[k]["in"]
+        out[k] = None if last is None else (abs(k - last), first[last] == "good")
+        if first[k] in ("good", "bad") and not found[k]["bad"]:
+            last = k
     return out
 
 
@@ -202,22 +275,14 @@ def classify_blocks(found: list[dict]) -> list[bool]:
         else:
             first.append("near" if b["in"] or size > LENGTH_HIGH else "bad")
     has_main = any(b["in"] and f in ("good", "near") for b, f in zip(found, first, strict=True))
-    good = [f == "good" for f in first]
+    good, some_good = [f == "good" for f in first], "good" in first
+    before, after = _nearest(found, first, -1), _nearest(found, first, 1)
     for k, f in enumerate(first):
         if f in ("good", "bad"):
             continue
+        sides = [s for s in (after[k], before[k]) if s]
         home = found[k]["in"]
-        sides = []
-        for step in (1, -1):
-            j = k + step
-            while 0 <= j < len(found) and found[j]["in"] == home and not (first[j] in ("good", "bad") and not found[j]["bad"]):
-                j += step
-            if 0 <= j < len(found) and found[j]["in"] == home:
-                sides.append((abs(j - k), first[j] == "good"))
-        if sides:
-            good[k] = min(sides, key=lambda s: (s[0], not s[1]))[1]
-        else:
-            good[k] = bool(home) or (not has_main and (f == "near" or not any(x == "good" for x in first)))
+        good[k] = min(sides, key=lambda s: (s[0], not s[1]))[1] if sides else bool(home) or (not has_main and (f == "near" or not some_good))
     if has_main:  # a page that marks its article keeps to it
         good = [g and bool(b["in"]) for g, b in zip(good, found, strict=True)]
     return good

@@ -1,13 +1,16 @@
 """Language-model scoring over a subword lattice (op 2).
 
-The vocabulary is that of an existing tokenizer, with its pieces weighted by their counts over the distinct words of
-the training texts (the lattice's part is to spell words not seen yet, and each distinct word was new once). A word's probability is summed over all its segmentations into pieces, by a forward recursion in log space. No piece
-spans two words, so a document's lattice is the chain of its words' lattices and its probability their product. Words
-seen in training also have an arc of their own: counts and lattice are mixed with Witten-Bell weights.
+The vocabulary is that of an existing tokenizer. It holds merge ranks, no log-probabilities, so a piece's score is its
+add-one share of all pieces of the training texts, words counted as often as they occur, with the end of a text as one
+more piece. A word's probability is summed over all its segmentations into pieces, by a forward recursion in log space;
+no piece spans two words, so a document's lattice is the chain of its words' lattices and an end, and its marginal
+probability, ``score``, is their product. ``mixed_score`` is another model beside it: words seen in training have their
+counts, and the lattice spells the others (Witten-Bell weights).
 
 Each task turns its documents into blocks: a dictionary of the block's words with training counts, and per document
-the numbers and counts of its words. Only dictionaries, one row per word and block, are shuffled by word; scores come
-back to the block the same way. Word counts cover all training texts.
+the numbers and counts of its words. Only dictionaries, one row per word and block, are shuffled by word: counts are summed
+partially, one lattice is run per distinct word, and a join (which adaptive execution splits at common words) takes
+counts and probabilities back to the blocks. Word counts cover all training texts.
 """
 
 from __future__ import annotations
@@ -105,11 +108,12 @@ def _count_pieces(path: str):
     return run
 
 
-def piece_weights(path: str, counts: dict[int, int]) -> tuple[dict[str, float], list[float], int]:
-    """Natural-log weights of all ordinary pieces and of the byte pieces, add-one smoothed; the longest piece."""
+def piece_weights(path: str, counts: dict[int, int], ends: int) -> tuple[dict[str, float], list[float], int]:
+    """Natural-log weights of all ordinary pieces and of the byte pieces, add-one smoothed beside ``ends`` ends of texts;
+    the longest piece."""
     sp = _processor(path)
     n = sp.get_piece_size()
-    total = sum(counts.values()) + n
+    total = _mass(sp, counts, ends)
     weight = {k: log((counts.get(k, 0) + 1) / total) for k in range(n)}
     pieces = {sp.id_to_piece(k): weight[k] for k in range(n) if not (sp.is_control(k) or sp.is_unknown(k) or sp.is_byte(k) or sp.is_unused(k))}
     of_byte = [log(1 / total)] * 256
@@ -119,6 +123,14 @@ def piece_weights(path: str, counts: dict[int, int]) -> tuple[dict[str, float],
     return pieces, of_byte, max(map(len, pieces))
 
 
+def _mass(sp, counts: dict[int, int], ends: int) -> int:
+    return sum(counts.values()) + sp.get_piece_size() + ends + 1
+
+
+def end_weight(path: str, counts: dict[int, int], ends: int) -> float:
+    return log((ends + 1) / _mass(_processor(path), counts, ends))
+
+
 def word_log_probability(word: str, pieces: dict[str, float], of_byte: list[float], longest: int) -> float:
     """Forward recursion: the log of the summed weights of all segmentations of the word, begun by the word mark."""
     s = "▁" + word
@@ -141,21 +153,18 @@ def word_log_probability(word: str, pieces: dict[str, float], of_byte: list[floa
 
 
 def _score_words(path: str, shared):
+    """(word, c) of distinct words, with the log of their marginal probability."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, of_byte, longest = piece_weights(path, shared.value)
-        last, lp = None, 0.0
+        pieces, of_byte, longest = piece_weights(path, *shared.value)
         for b in batches:
-            out = []
-            for w in b.column(0).to_pylist():  # rows come sorted by word, so one lattice serves a word's rows
-                if w != last:
-                    last, lp = w, word_log_probability(w.decode("utf-8", "replace"), pieces, of_byte, longest)
-                out.append(lp)
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), b.column(3), pa.array(out, pa.float64())], ["block", "local", "c", "lp"])
+            lp = [word_log_probability(w.decode("utf-8", "replace"), pieces, of_byte, longest) for w in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lp, pa.float64())], ["word", "c", "lp"])
 
     return run
 
 
-def _score_block(total: int, distinct: int, ends: int, id_type: str):
+def _score_block(total: int, distinct: int, ends: int, end: float):
+    """``end``: the natural log of the lattice's weight of an end."""
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         held, totals = left.column("held"), left.column("n_tokens").to_numpy()
         n = left.num_rows
@@ -171,17 +180,17 @@ def _score_block(total: int, distinct: int, ends: int, id_type: str):
         # Witten-Bell: words seen get c / (N + V), and V / (N + V) is spread by the lattice.
         seen, new = c / max(1, total + distinct), (distinct if total else 1) / max(1, total + distinct)
         with np.errstate(divide="ignore"):
-            model = np.logaddexp(np.log(seen), np.log(new) + lp) / log(10)
+            mixed = np.logaddexp(np.log(seen), np.log(new) + lp) / log(10)
         end_base = log10((ends + 1) / (total + distinct + 1))
-        end_model = log10((ends + 1) / (total + distinct + 1))
-        sums = [np.bincount(doc, v[flat] * rep if len(at) else None, n) if len(flat) else np.zeros(n) for v in (base, model, (c > 0).astype(float))]
-        return pa.table({"doc_id": left.column("id"), "held_out": held, "n_tokens": pa.array(totals), "n_known": pa.array((sums[2] + (ends > 0)).astype(np.int64)), "train_tokens": pa.array(np.full(n, total)), "base_score": pa.array(sums[0] + end_base), "score": pa.array(sums[1] + end_model)})
+        sums = [np.bincount(doc, v[flat] * rep if len(at) else None, n) if len(flat) else np.zeros(n) for v in (base, lp / log(10), (c > 0).astype(float), mixed)]
+        return pa.table({"doc_id": left.column("id"), "held_out": held, "n_tokens": pa.array(totals), "n_known": pa.array((sums[2] + (ends > 0)).astype(np.int64)), "train_tokens": pa.array(np.full(n, total)), "base_score": pa.array(sums[0] + end_base), "score": pa.array(sums[1] + end / log(10)), "mixed_score": pa.array(sums[3] + end_base)})
 
     return run
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held: int = 2, vocabulary: str | None = None) -> DataFrame:
-    """Per row: doc_id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score`` (log10).
+    """Per row: doc_id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score`` (the
+    lattice's marginal), ``mixed_score``; all log10.
 
     Null texts count as empty: one token, the end. A null id is never held out. Repeated rows are counted and scored
     as often as they occur; an empty table gives no rows; extra columns are ignored.
@@ -194,14 +203,15 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     made = scratch.cut(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), fold.alias("held")).mapInArrow(
         _blocks, f"kind int, block long, id {id_type}, held boolean, ids binary, reps binary, n_tokens long, local int, word binary, c long"), "kind")
     rows = made.filter("kind = 0")
-    words = scratch.cut(made.filter("kind = 1").selectExpr("word", "block", "local", "sum(c) over (partition by word) c", "row_number() over (partition by word order by block) = 1 first"))
-    distinct = words.filter("first")
+    words = made.filter("kind = 1").select("word", "block", "local", "c")
+    distinct = scratch.cut(words.groupBy("word").agg(F.sum("c").alias("c")))
     total, known = distinct.filter("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     ends = rows.filter("not held").count()
     total, known = int(total) + ends, int(known) + (ends > 0)
-    counts = {int(r.piece): int(r.n) for r in distinct.filter("c > 0").selectExpr("word", "1L as c").mapInArrow(_count_pieces(path), "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()}  # at most the vocabulary
-    shared = spark.sparkContext.broadcast(counts)
-    scored = words.select("word", "block", "local", "c").mapInArrow(_score_words(path, shared), "block long, local int, c long, lp double")
-    out = rows.select("block", "id", "held", "ids", "reps", "n_tokens").groupBy("block").cogroup(scored.groupBy("block")).applyInArrow(
-        _score_block(total, known, ends, id_type), f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    counts = {int(r.piece): int(r.n) for r in distinct.filter("c > 0").mapInArrow(_count_pieces(path), "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()}  # at most the vocabulary
+    shared = spark.sparkContext.broadcast((counts, ends))
+    lattices = distinct.mapInArrow(_score_words(path, shared), "word binary, c long, lp double")
+    scored = words.drop("c").join(lattices, "word").select(F.col("block").alias("of_block"), "local", "c", "lp")
+    out = rows.select("block", "id", "held", "ids", "reps", "n_tokens").groupBy("block").cogroup(scored.groupBy("of_block")).applyInArrow(
+        _score_block(total, known, ends, end_weight(path, counts, ends)), f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, mixed_score double")
     return out

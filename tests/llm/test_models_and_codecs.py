@@ -36,11 +36,19 @@ def test_lm_scores(spark):
     n, v = sum(c.values()), len(c)
     got = L.score_documents(frame(spark, texts)).collect()
     assert len(got) == len(texts)
+    path, ends = L.default_vocabulary(), sum(not h for h in held)
+    counts = Counter(p for w, m in c.items() if w is not None for p in L._processor(path).encode(w.decode()) * m)
+    pieces, of_byte, longest = L.piece_weights(path, counts, ends)
+    mass = sum(math.exp(w) for w in pieces.values()) + math.exp(L.end_weight(path, counts, ends))
+    assert mass <= 1 and math.exp(L.end_weight(path, counts, ends)) == pytest.approx((ends + 1) / (sum(counts.values()) + ends + 1 + L._processor(path).get_piece_size()))
     for r in got:
         x = toks[r.doc_id]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(x), sum(c[w] > 0 for w in x), n)
         assert r.base_score == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in x))
-        assert r.score < 0 and math.isfinite(r.score)
+        spelled = {w: L.word_log_probability(w.decode(), pieces, of_byte, longest) for w in set(x) if w is not None}
+        assert r.score == pytest.approx((sum(spelled[w] for w in x if w is not None) + L.end_weight(path, counts, ends)) / math.log(10))
+        mixed = [math.log10(c[w] / (n + v) + v / (n + v) * math.exp(spelled[w])) for w in x if w is not None and (c[w] or spelled[w] > -600)]
+        assert len(mixed) < len(x) - 1 or r.mixed_score == pytest.approx(sum(mixed) + math.log10((ends + 1) / (n + v + 1)))
     assert L.score_documents(frame(spark, texts).limit(0)).count() == 0
 
 
