@@ -26,6 +26,7 @@ WINDOW, OVERLAP = 256, 32
 SAMPLE_DOCS = 1500  # the documented bound of the training sample: documents least by a hash of their id
 TRAIN_WINDOWS, TRAIN_LENGTH, BATCH, STEPS = 5000, 80, 64, 600
 LANES = 512  # windows decoded together
+LOT_CHARS = 1 << 21  # of texts tagged together
 MARGIN = 0.7  # mean log-odds against "outside" that a span of the model's own needs
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -346,6 +347,9 @@ def viterbi(e: np.ndarray, trans: np.ndarray) -> np.ndarray:
     return lab
 
 
+_WIDTHS = [1, 2, *(3 << k for k in range(40))]  # chains of about one length are decoded together
+
+
 def tag_texts(p: dict[str, np.ndarray], texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     """Per text: labels of all its positions, and each position's emission of its label over that of "outside".
 
@@ -369,10 +373,14 @@ def tag_texts(p: dict[str, np.ndarray], texts: list[str]) -> list[tuple[np.ndarr
                 s = coded[k][w * core : w * core + T]
                 x[: len(s), j] = s
             e = fast_emissions(p, x)
-            for j, kw in enumerate(part):
-                where[kw] = e, j
-            for j in np.flatnonzero(~quiet(e, p["t"])):
+            found = np.flatnonzero(~quiet(e, p["t"]))
+            for j in found:
                 loud.setdefault(part[j][0], []).append(part[j][1])
+            keep = np.unique(np.concatenate([found - 1, found, found + 1, [0, len(part) - 1]]))  # the others are made again if need be
+            keep = keep[(keep >= 0) & (keep < len(part))]
+            kept = e[:, :, keep]
+            for n, j in enumerate(keep):
+                where[part[j]] = kept, n
     chains = []  # text, first window, window after the last
     for k, ws in loud.items():
         last = max(1, -(-(len(coded[k]) - OVERLAP) // core))
@@ -382,6 +390,14 @@ def tag_texts(p: dict[str, np.ndarray], texts: list[str]) -> list[tuple[np.ndarr
             else:
                 chains.append([k, max(0, w - 1), min(last, w + 2)])
 
+    def emissions_of(k: int, w: int) -> tuple[np.ndarray, int]:
+        if (k, w) not in where:
+            part = coded[k][w * core : w * core + WINDOW]
+            x = np.zeros((-(-len(part) // 32) * 32, 1), np.uint8)
+            x[: len(part), 0] = part
+            where[k, w] = fast_emissions(p, x), 0
+        return where[k, w]
+
     def place(k: int, w: int) -> int:
         """Where window w's own positions begin."""
         n = len(coded[k])
@@ -390,14 +406,14 @@ def tag_texts(p: dict[str, np.ndarray], texts: list[str]) -> list[tuple[np.ndarr
     while chains:
         groups: dict[int, list[list[int]]] = {}
         for c in chains:
-            groups.setdefault(c[2] - c[1], []).append(c)
+            groups.setdefault(next(n for n in _WIDTHS if n >= c[2] - c[1]), []).append(c)
         chains = []
         for every in groups.values():
             for lot in range(0, len(every), LANES):
                 part = every[lot : lot + LANES]
                 rows = []
                 for k, a, b in part:
-                    of = [(where[k, w], place(k, w) - w * core, place(k, w + 1) - w * core) for w in range(a, b)]
+                    of = [(emissions_of(k, w), place(k, w) - w * core, place(k, w + 1) - w * core) for w in range(a, b)]
                     rows.append(np.concatenate([e[lo:hi, :, j] for (e, j), lo, hi in of]))
                 e = np.zeros((max(map(len, rows)), LABELS, len(rows)), np.float32)
                 e[:, 1:] = -1e4
@@ -451,6 +467,18 @@ def added_spans(text: str, labels: np.ndarray, margin: np.ndarray, base: list[tu
     return out
 
 
+def _lots(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Runs of texts that are tagged together: ``LOT_CHARS`` at most, or one text."""
+    lo = size = 0
+    for k, t in enumerate(texts):
+        if k > lo and size + len(t) > LOT_CHARS:
+            yield lo, k
+            lo, size = k, 0
+        size += len(t)
+    if texts:
+        yield lo, len(texts)
+
+
 def find_spans(p: dict[str, np.ndarray], texts: list[str]) -> list[tuple[list, list]]:
     """Per text: the rules' spans, and all spans (the rules' and the model's) sorted."""
     out = []
@@ -491,9 +519,10 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                got = find_spans(p, [t or "" for t in part.column(1).to_pylist()])
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            for lo, hi in _lots(texts):
+                part = b.slice(lo, hi - lo)
+                got = find_spans(p, texts[lo:hi])
                 cols = [pa.array([sum(s[1] == k for s in base) for base, _ in got], pa.int64()) for k in range(4)]
                 cols += [pa.array([hashlib.sha256(spans_text(base).encode()).hexdigest() for base, _ in got]), pa.array([spans_text(every) for _, every in got], pa.string()), pa.array([len(every) - len(base) for base, every in got], pa.int64())]
                 yield pa.RecordBatch.from_arrays([part.column(0), *cols], [id_col, "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
@@ -519,9 +548,9 @@ def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
         for b in batches:
-            for k in range(0, b.num_rows, 256):
-                part = b.slice(k, 256)
-                texts = part.column(at).to_pylist()
+            whole = b.column(at).to_pylist()
+            for lo, hi in _lots([t or "" for t in whole]):
+                part, texts = b.slice(lo, hi - lo), whole[lo:hi]
                 found = find_spans(p, [t or "" for t in texts])
                 cols = part.columns
                 cols[at] = pa.array([None if t is None else mask_text(t, s) for t, (_, s) in zip(texts, found, strict=True)], part.column(at).type)
