@@ -50,34 +50,59 @@ def _nearest(points: DataFrame, wanted: Column, k: int, id_col: str, vector_col:
 
 def tokens(text: Column) -> Column:
     """Lower-case Unicode words, then each two neighbours joined by ``_``."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)(\w+)"), F.lit(1))
+    return _with_pairs(_words(text))
+
+
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)(\w+)"), F.lit(1))
+
+
+def _with_pairs(words: Column) -> Column:
     pairs = F.zip_with(words, F.slice(words, 2, 1 << 30), lambda a, b: F.concat_ws("_", a, b))
     return F.concat(words, F.when(F.size(words) > 1, F.slice(pairs, 1, F.size(words) - 1)).otherwise(F.slice(words, 1, 0)))
 
 
-def bm25_index(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(lengths per document, postings with term frequencies); empty documents have a length of 0."""
-    t = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("t"))
-    lengths = t.select("id", F.size("t").alias("dl"))
-    postings = t.select("id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    return lengths, postings
+def with_tokens(docs: DataFrame, text_col: str, *keep: Column) -> DataFrame:
+    """``keep`` and ``t``, the tokens; words are a projection of their own, so the pattern runs once per text."""
+    return spread(docs).select(*keep, _words(F.col(text_col)).alias("_w")).select("*", _with_pairs(F.col("_w")).alias("t")).drop("_w")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its files give fewer tasks than there are cores (a small input); else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def bm25_frequencies(docs: DataFrame, text_col: str) -> DataFrame:
+    """(term, n): documents per term, and under a null term the number of all tokens. Counts are summed before the
+    shuffle, and no id goes with them. Searches can share it, written as a table."""
+    t = with_tokens(docs.select(text_col), text_col)
+    one = F.transform(F.array_distinct("t"), lambda x: F.struct(x.alias("term"), F.lit(1).cast("long").alias("n")))
+    rows = t.select(F.explode(F.concat(one, F.array(F.struct(F.lit(None).cast("string").alias("term"), F.size("t").cast("long").alias("n"))))).alias("x"))
+    return rows.groupBy("x.term").agg(F.sum("x.n").alias("n"))
 
 
-def bm25_search(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, k: int, k1: float = 1.5, b: float = 0.75, eps: float = 0.25) -> DataFrame:
+def bm25_search(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, k: int, k1: float = 1.5, b: float = 0.75, eps: float = 0.25, frequencies: DataFrame | None = None) -> DataFrame:
     """``queries`` (query_id, text; a stated set). Top k per query: query_id, id, ``score`` above 0, ``rank`` from 0.
 
-    A negative idf becomes ``eps`` times the mean idf over all terms. Statistics are over all documents; term
-    frequencies are summed before the shuffle by term; only the queries' terms reach the scoring join.
+    A negative idf becomes ``eps`` times the mean idf over all terms. Statistics are over all documents (given as
+    ``frequencies``, or counted here); the driver gets one row of them, with the queries' own terms. Each document's
+    words are then cut down to those terms and counted inside its row, so only hits leave it.
     """
-    lengths, postings = bm25_index(docs, id_col, text_col)
-    stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = df.join(F.broadcast(stats)).withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = idf.agg(F.avg("idf").alias("mean_idf"))
     wanted = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    chosen = idf.join(F.broadcast(wanted), "term").join(F.broadcast(mean)).withColumn("w", F.when(F.col("idf") < 0, eps * F.col("mean_idf")).otherwise(F.col("idf")))
-    hits = postings.join(chosen.select("query_id", "term", "qtf", "w", "avgdl"), "term")
-    score = F.sum(F.col("qtf") * F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))))
+    terms = sorted({r.term for r in wanted.select("term").distinct().collect()})  # of the stated queries
+    n = docs.count()
+    idf = F.when(F.col("term").isNotNull(), F.log(n - F.col("n") + 0.5) - F.log(F.col("n") + 0.5))
+    chosen = F.when(F.col("term").isin(terms), F.struct("term", idf.alias("idf"))) if terms else F.lit(None).cast("struct<term:string,idf:double>")
+    s = (bm25_frequencies(docs, text_col) if frequencies is None else frequencies).agg(F.avg(idf).alias("mean"), F.sum(F.when(F.col("term").isNull(), F.col("n"))).alias("all"), F.collect_list(chosen).alias("of")).first()
+    weights = [(r.term, r.idf if r.idf >= 0 else eps * s.mean) for r in s.of]
+    avgdl = (s.all or 0) / n if n else 0.0
+    known = F.broadcast(wanted.join(docs.sparkSession.createDataFrame(weights, "term string, w double"), "term"))
+    t = with_tokens(docs.select(id_col, text_col), text_col, F.col(id_col).alias("id"))
+    t = t.select("id", F.size("t").alias("dl"), F.filter("t", lambda x: x.isin(terms)).alias("h")).filter(F.size("h") > 0)
+    hits = t.select("id", "dl", F.explode(F.transform(F.array_distinct("h"), lambda x: F.struct(x.alias("term"), F.size(F.filter("h", lambda y: y == x)).alias("tf")))).alias("x"))
+    hits = hits.select("id", "dl", "x.term", "x.tf").join(known, "term")
+    score = F.sum(F.col("qtf") * F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / (avgdl or 1.0))))
     out = hits.groupBy("query_id", "id").agg(F.round(score, 6).alias("score")).filter("score > 0")
     return out.withColumn("rank", F.expr("row_number() over (partition by query_id order by score desc, id) - 1")).filter(F.col("rank") < k)
 
