@@ -15,6 +15,7 @@ CUT_MARK = "\n\n[import truncated]"
 PRONOUNS = ("it", "its", "this", "that", "these", "those", "he", "him", "his", "she", "her", "they", "them", "their", "nó", "chúng", "đó")
 #: Vocabularies of the knowledge graph.
 ENTITY_TYPES = ("person", "organization", "project", "place", "topic", "event", "document", "date", "product", "technology", "concept", "other")
+#: Forms of dates and of capitalised phrases.
 DATE_PATTERN = r"\b(?:20\d{2}[-/][01]?\d[-/][0-3]?\d|[0-3]?\d[-/][01]?\d[-/]20\d{2})\b"
 PHRASE_PATTERN = r"\b(?:[A-Z][\wÀ-ỹ]+|[A-Z]{2,})(?:\s+(?:[A-Z][\wÀ-ỹ]+|[A-Z]{2,}|\d+)){0,3}\b"
 #: Forms of citations.

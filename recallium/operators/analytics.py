@@ -90,6 +90,35 @@ def referral_tiers(referrals: DataFrame, by: str, order: list[str], after: int =
     return referrals.withColumn("_n", F.expr(f"row_number() over (partition by {by} order by {keys})")).withColumn("reward", F.when(F.col("_n") > after, high).otherwise(low)).drop("_n")
 
 
+def windowed_quality(messages: DataFrame, now: Column, hours: int = 24, col: str = "trace", role: str = "role", when: str = "created_at") -> DataFrame:
+    """``trace_quality`` of the assistant's messages of the last ``hours``, with the window's length."""
+    recent = messages.filter((F.col(role) == "assistant") & (F.col(when) >= now - F.expr(f"interval {int(hours)} hours")))
+    return trace_quality(recent, col).withColumn("window_hours", F.lit(hours))
+
+
+def recent_costs(costs: DataFrame, limit: int = 50, id_col: str = "id") -> DataFrame:
+    return costs.orderBy(F.desc(id_col)).limit(limit)
+
+
+def entries_of_client(ledger: DataFrame, user: Column, client: Column, user_col: str = "user_id", client_col: str = "client_id") -> DataFrame:
+    """Number of ledger entries of one client of one user."""
+    return ledger.filter((F.col(user_col) == user) & (F.col(client_col) == client)).agg(F.count(F.lit(1)).alias("n"))
+
+
+def metric_means(cases: DataFrame, metrics: list[str]) -> DataFrame:
+    """Means of optional metrics, each over the cases that have it; a null mean where none has."""
+    return cases.agg(*[F.round(F.avg(m), 6).alias(m) for m in metrics])
+
+
+def available_hints(hints: DataFrame, states: DataFrame, now: Column) -> DataFrame:
+    """Active hints (hint_id, active, priority, recurring, max_times) per user of ``states`` (user_id, hint_id, shown,
+    snoozed_until): not snoozed at ``now``, recurring ones below their limit (1 unless stated); ``place`` by priority, then id."""
+    rank = F.when(F.col("priority") == "high", 0).when(F.col("priority") == "low", 2).otherwise(1)
+    open_ = states.join(F.broadcast(hints.filter(F.coalesce("active", F.lit(True)))), "hint_id")  # hints are written by hand
+    open_ = open_.filter(F.coalesce(F.col("snoozed_until") <= now, F.lit(True)) & (~F.coalesce("recurring", F.lit(False)) | (F.coalesce("shown", F.lit(0)) < F.coalesce("max_times", F.lit(1)))))
+    return open_.withColumn("_k", rank).withColumn("place", F.expr("row_number() over (partition by user_id order by _k, hint_id)")).drop("_k")
+
+
 def eval_summary(cases: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Counts, pass rate and its Wilson interval; null passes are failures."""
     ok = F.coalesce(F.col("passed"), F.lit(False))

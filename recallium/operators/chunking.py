@@ -9,7 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recallium.functions.text import squeeze
+
 PARENT, PARENT_OVERLAP, CHILD, CHILD_OVERLAP = 1500, 150, 400, 50
+#: Headings and separators.
 _HEADING = re.compile(r"(?m)^#{2,4}\s+\S")
 _SECTION = re.compile(r"(?m)(?=^#{2,4}\s)")
 _STEPS = [re.compile(p) for p in (r"\n\n", r"\n", r"(?<=[.!?])\s+", r" ")]
@@ -81,25 +84,29 @@ def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def pack_turns(turns: DataFrame, size: int, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
-    """Turns of a conversation, in order, in packs of at most ``size`` characters; a pack starts with the last turn of
-    the one before. One fold per conversation, JVM-side; a conversation's turns are its own bound."""
-    ordered = turns.filter(F.col("role").isin("user", "assistant")).groupBy(conv).agg(F.array_sort(F.collect_list(F.struct(turn, F.concat(F.initcap("role"), F.lit(": "), F.coalesce("text", F.lit(""))).alias("line")))).alias("l"))
+    """Turns of a conversation that have text, in order, in packs of about ``size`` characters; each pack but the first
+    starts with the last turn of the one before, whatever its size. One fold per conversation, JVM-side; a
+    conversation's turns are its own bound."""
+    ordered = turns.filter(F.rlike("text", F.lit(r"(?U)\S"))).groupBy(conv).agg(F.array_sort(F.collect_list(F.struct(turn, F.concat("role", F.lit(": "), "text").alias("line")))).alias("l"))
     start = F.struct(F.array().cast("array<array<int>>").alias("done"), F.array().cast("array<int>").alias("open"), F.lit(0).alias("n"), F.lit(-1).alias("last"), F.lit(0).alias("last_n"))
 
     def step(s, x):
         n = F.length(x["line"])
         t = x[turn].cast("int")
         full = (F.size(s["open"]) > 0) & (s["n"] + n > size)
-        keep = full & (s["last_n"] + n <= size)
         return F.struct(F.when(full, F.concat(s["done"], F.array(s["open"]))).otherwise(s["done"]).alias("done"),
-                        F.when(full, F.when(keep, F.array(s["last"], t)).otherwise(F.array(t))).otherwise(F.concat(s["open"], F.array(t))).alias("open"),
-                        F.when(full, F.when(keep, s["last_n"] + n).otherwise(n)).otherwise(s["n"] + n).alias("n"), t.alias("last"), n.alias("last_n"))
+                        F.when(full, F.array(s["last"], t)).otherwise(F.concat(s["open"], F.array(t))).alias("open"),
+                        F.when(full, s["last_n"] + n).otherwise(s["n"] + n).alias("n"), t.alias("last"), n.alias("last_n"))
 
     packs = F.aggregate("l", start, step, lambda s: F.when(F.size(s["open"]) > 0, F.concat(s["done"], F.array(s["open"]))).otherwise(s["done"]))
     return ordered.select(conv, F.posexplode(packs).alias("pack", "turns"))
 
 
-def session_titles(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", least: int = 24) -> DataFrame:
-    """The first user or assistant turn of at least ``least`` characters, else the first turn."""
-    t = turns.filter(F.col("role").isin("user", "assistant")).select(conv, turn, F.trim("text").alias("x"))
-    return t.groupBy(conv).agg(F.min(F.struct((F.length("x") < least).alias("s"), turn, "x")).alias("b")).select(conv, F.left(F.col("b.x"), F.lit(120)).alias("title"))
+def session_titles(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", least: int = 24, question: str | None = None) -> DataFrame:
+    """The first turn of at least ``least`` characters, white space squeezed, cut to 120; else the conversation's name
+    (and its ``question``, a column)."""
+    t = turns.select(conv, turn, *([question] if question else []), squeeze(F.coalesce("text", F.lit(""))).alias("x"))
+    named = F.concat(F.lit("Conversation "), F.col(conv).cast("string"), *([F.lit(" ("), F.col("q").cast("string"), F.lit(")")] if question else []))
+    first = F.min(F.when(F.length("x") >= least, F.struct(turn, "x"))).alias("b")
+    g = t.groupBy(conv).agg(first, *([F.first(question, True).alias("q")] if question else []))
+    return g.select(conv, F.coalesce(F.left(F.col("b.x"), F.lit(120)), named).alias("title"))

@@ -11,26 +11,38 @@ from recallium.functions.text import slot_key
 MAX_RETRIES = 2
 
 
+def _is_iso(c: Column) -> Column:
+    """Whether a text is an ISO date, or one with a time and perhaps a zone."""
+    form = r"^\d{4}-?\d{2}-?\d{2}([T ]\d{2}(:?\d{2}(:?\d{2}([.,]\d+)?)?)?(Z|[+-]\d{2}(:?\d{2}(:?\d{2})?)?)?)?$"
+    day = F.regexp_replace(F.regexp_extract(c, r"^(\d{4}-?\d{2}-?\d{2})", 1), "-", "")
+    hour, minute, second = (F.coalesce(F.regexp_extract(c, rf"^[\d-]{{8,10}}[T ]{p}", 1).try_cast("int"), F.lit(0)) for p in (r"(\d{2})", r"\d{2}:?(\d{2})", r"\d{2}:?\d{2}:?(\d{2})"))
+    return F.rlike(c, F.lit(form)) & F.try_to_timestamp(F.nullif(day, F.lit("")), F.lit("yyyyMMdd")).isNotNull() & (hour < 24) & (minute < 60) & (second < 60)
+
+
 def decide_corrections(memories: DataFrame, corrections: DataFrame) -> DataFrame:
     """One batch, one correction per slot: ``added``, ``superseded`` or ``needs-check``, with the ids that match.
 
     Both sides have user_id, subject, attribute, scope, assertion; corrections also correction_id and may have
-    target_id. Superseded memories are no candidates. Matches are counted per correction before anything is gathered.
+    target_id and valid_from; one that is no ISO time supersedes nothing and needs a check. Superseded memories are no
+    candidates. Matches are counted per correction before anything is gathered.
     """
     key = lambda: slot_key(F.col("subject"), F.col("attribute"), F.col("scope"))
     live = memories.filter(state() != "superseded").select("user_id", F.col("id").alias("mid"), F.coalesce("assertion", F.lit("fact")).alias("massert"), key().alias("slot")).filter("slot is not null")
     c = corrections.withColumn("slot", key()).withColumn("stem", F.regexp_replace("slot", r"\|[^|]*$", "")).withColumn("scoped", F.trim(F.coalesce("scope", F.lit(""))) != "")
+    dated = "valid_from" in corrections.columns
+    c = c.withColumn("malformed", F.coalesce((F.col("valid_from") != "") & ~_is_iso(F.col("valid_from")), F.lit(False)) if dated else F.lit(False))
     exact = c.join(live, ["user_id", "slot"]).groupBy("correction_id").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("massert") != F.coalesce("assertion", F.lit("fact"))).alias("clash"), F.count_if(F.col("mid") == F.col("target_id")).alias("hit"))
     other = c.join(live.withColumn("stem", F.regexp_replace("slot", r"\|[^|]*$", "")).withColumnRenamed("slot", "mslot"), ["user_id", "stem"]).filter("mslot <> slot").select("correction_id").distinct().withColumn("near", F.lit(True))
     fits = (F.col("clash") == 0) & (F.col("target_id").isNull() | (F.col("hit") > 0))
-    status = F.when(F.col("slot").isNull(), "added").when(F.col("n") > 0, F.when(fits, "superseded").otherwise("needs-check")).when(F.coalesce("near", F.lit(False)) & ~F.col("scoped"), "needs-check").otherwise("added")
-    return c.join(exact, "correction_id", "left").join(other, "correction_id", "left").select("correction_id", "user_id", "slot", F.coalesce("n", F.lit(0)).alias("matches"), status.alias("status"))
+    status = F.when(F.col("slot").isNull(), "added").when((F.col("n") > 0) & F.col("malformed"), "added").when(F.col("n") > 0, F.when(fits, "superseded").otherwise("needs-check")).when(F.coalesce("near", F.lit(False)) & ~F.col("scoped"), "needs-check").otherwise("added")
+    return c.join(exact, "correction_id", "left").join(other, "correction_id", "left").select("correction_id", "user_id", "slot", F.coalesce("n", F.lit(0)).alias("matches"), status.alias("status"), *([(F.col("malformed") | (status == "needs-check")).alias("needs_check")] if dated else []))
 
 
 def apply_corrections(memories: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Rows after the batch: exact matches superseded by their correction, dependents one hop away dirty."""
-    hits = decisions.filter("status = 'superseded'").select("user_id", "slot", F.col("correction_id").alias("_by"))
+    """Rows after the batch: exact matches superseded by their correction, dependents one hop away dirty. Of several
+    corrections of one slot the one with the largest id counts. Rows superseded before the batch are left alone."""
+    hits = decisions.filter("status = 'superseded'").groupBy("user_id", "slot").agg(F.max("correction_id").alias("_by"))
     keyed = memories.withColumn("slot", slot_key(F.col("subject"), F.col("attribute"), F.col("scope"))).join(hits, ["user_id", "slot"], "left")
     is_hit = F.col("_by").isNotNull() & (state() != "superseded")
     marked = keyed.withColumn("_hit", is_hit)

@@ -67,6 +67,34 @@ def index_audit(store: DataFrame, index: DataFrame, key: str, fingerprint: str =
     return s.join(i, key, "full_outer").select(key, kind.alias("class"))
 
 
+def audit_findings(store: DataFrame, index: DataFrame, key: str) -> DataFrame:
+    """All findings of a comparison of store rows (key, revision, fingerprint, tenant, reason; a reason means that the row
+    must not be indexed) with index points (key, revision, fingerprint, tenant): (key, finding, tenant of the row, tenant of the point).
+
+    A point without a revision or tenant cannot be named and is only ``malformed_id``. A point may have several of
+    ``unknown_fingerprint``, ``orphan``, ``excluded_present``, ``stale`` and ``tenant_mismatch``.
+    """
+    s = store.select(key, *[F.col(c).alias(f"_s{c}") for c in ("revision", "fingerprint", "tenant", "reason")], F.lit(True).alias("_s"))
+    i = index.select(key, *[F.col(c).alias(f"_i{c}") for c in ("revision", "fingerprint", "tenant")], F.lit(True).alias("_i"))
+    row, point, fit = F.col("_s").isNotNull(), F.col("_i").isNotNull(), F.col("_sreason").isNull()
+    found = F.array(
+        F.when(point & ~F.col("_ifingerprint").eqNullSafe(F.coalesce("_sfingerprint", "_ifingerprint")), "unknown_fingerprint"), F.when(point & ~row, "orphan"), F.when(point & row & ~fit, "excluded_present"),
+        F.when(point & row & fit & ~F.col("_irevision").eqNullSafe(F.col("_srevision")), "stale"), F.when(point & row & fit & ~F.col("_itenant").eqNullSafe(F.col("_stenant")), "tenant_mismatch"), F.when(row & fit & ~point, "missing"))
+    odd = point & (F.col("_irevision").isNull() | F.col("_itenant").isNull())
+    return s.join(i, key, "full_outer").withColumn("finding", F.explode(F.when(odd, F.array(F.lit("malformed_id"))).otherwise(F.array_compact(found)))).select(key, "finding", F.col("_stenant").alias("tenant"), F.col("_itenant").alias("point_tenant"))
+
+
+def tenant_report(store: DataFrame, index: DataFrame, findings: DataFrame) -> DataFrame:
+    """Per tenant: total, eligible, points, missing, stale, orphan; a row or point without a tenant counts under ``unknown``."""
+    names = ("total", "eligible", "points", "missing", "stale", "orphan")
+    of = lambda df, tenant, **one: df.select(F.coalesce(tenant, F.lit("unknown")).alias("tenant"), *[one.get(n, F.lit(0)).cast("long").alias(n) for n in names])
+    is_ = lambda n: (F.col("finding") == n).cast("int")
+    rows = of(store, F.col("tenant"), total=F.lit(1), eligible=F.col("reason").isNull().cast("int"))
+    rows = rows.unionByName(of(index, F.col("tenant"), points=F.lit(1)))
+    rows = rows.unionByName(of(findings, F.when(F.col("finding") == "orphan", F.col("point_tenant")).otherwise(F.col("tenant")), missing=is_("missing"), stale=is_("stale"), orphan=is_("orphan")))
+    return rows.groupBy("tenant").agg(*[F.sum(n).alias(n) for n in names])
+
+
 def missing_ids(store: DataFrame, index: DataFrame, key: str, page: int) -> DataFrame:
     return store.select(key).join(index.select(key), key, "left_anti").orderBy(key).limit(page)
 
@@ -88,12 +116,14 @@ def union_first(first: DataFrame, second: DataFrame, key: str, order: list[Colum
 
 
 def sync_actions(existing: DataFrame, incoming: DataFrame, suppressed: DataFrame) -> DataFrame:
-    """Per incoming item: ``skipped`` (suppressed or unchanged), ``updated`` or ``added``."""
-    old = existing.select("source_ref", F.col("title").alias("_t"), F.col("content").alias("_c"), F.lit(True).alias("_e"))
+    """Per incoming item: ``skipped`` (suppressed or unchanged), ``updated`` or ``added``. Title, content and, where both
+    sides have it, summary are compared."""
+    summed = "summary" in existing.columns and "summary" in incoming.columns
+    old = existing.select("source_ref", F.col("title").alias("_t"), F.col("content").alias("_c"), *([F.col("summary").alias("_m")] if summed else []), F.lit(True).alias("_e"))
     sup = suppressed.select("source_ref").distinct().withColumn("_s", F.lit(True))
-    same = F.col("_t").eqNullSafe(F.col("title")) & F.col("_c").eqNullSafe(F.col("content"))
+    same = F.col("_t").eqNullSafe(F.col("title")) & F.col("_c").eqNullSafe(F.col("content")) & (F.col("_m").eqNullSafe(F.col("summary")) if summed else F.lit(True))
     action = F.when(F.col("_s"), "skipped").when(F.col("_e") & same, "skipped").when(F.col("_e"), "updated").otherwise("added")
-    return incoming.join(old, "source_ref", "left").join(sup, "source_ref", "left").withColumn("action", action).drop("_t", "_c", "_e", "_s")
+    return incoming.join(old, "source_ref", "left").join(sup, "source_ref", "left").withColumn("action", action).drop("_t", "_c", "_m", "_e", "_s")
 
 
 def sync_summary(actions: DataFrame, cursor: str) -> DataFrame:

@@ -94,6 +94,6 @@ def turn_packs(spark, d):
     return K.pack_turns(table(spark, d, "conversations"), 2000).select("conv_id", "pack", F.size("turns").alias("n_turns"))
 
 
-@query("SELECT conv_id, left(x, 120) AS title FROM (SELECT conv_id, turn, trim(text, ' ') AS x FROM conversations WHERE role IN ('user', 'assistant')) QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY length(x) < 24, turn) = 1")
+@query(r"SELECT conv_id, coalesce(left(arg_min(x, turn) FILTER (length(x) >= 24), 120), 'Conversation ' || conv_id) AS title FROM (SELECT conv_id, turn, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'), ' ') AS x FROM conversations) GROUP BY 1")
 def session_titles(spark, d):
     return K.session_titles(table(spark, d, "conversations"))

@@ -42,9 +42,11 @@ def history_turns(questions: DataFrame) -> DataFrame:
 
 
 def answer_kind(answer: Column) -> Column:
-    """``number``, ``date``, ``yes_no`` or ``text``."""
+    """``integer``, ``float`` or ``boolean`` by what the whole answer can be read as, else ``text``."""
     a = F.lower(F.trim(F.coalesce(answer, F.lit(""))))
-    return F.when(a.isin("yes", "no", "true", "false"), "yes_no").when(F.rlike(a, F.lit(r"^[$€]?\d+([.,]\d+)*%?$")), "number").when(F.rlike(a, F.lit(r"\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}")), "date").otherwise("text")
+    digits = r"\d+(?:_\d+)*"
+    real = rf"[+-]?(?:(?:{digits}\.?(?:{digits})?|\.{digits})(?:e[+-]?{digits})?|inf|infinity|nan)"
+    return F.when(a.isin("yes", "no", "true", "false"), "boolean").when(F.rlike(a, F.lit(rf"^[+-]?{digits}$")), "integer").when(F.rlike(a, F.lit(f"^{real}$")), "float").otherwise("text")
 
 
 def rerank(candidates: DataFrame, query: str, score: Callable[[str, list[str]], list[float]], top: int, text: str = "content") -> DataFrame:

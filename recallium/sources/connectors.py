@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import re
 from collections import Counter
 from html.parser import HTMLParser
@@ -123,20 +124,29 @@ def next_cursor(items: DataFrame, when: str = "ts") -> DataFrame:
     return items.agg(F.max(when).alias("cursor"))
 
 
+def _decoded(data: str) -> str:
+    """URL-safe base64 as text, padded as needed; what cannot be decoded is empty."""
+    try:
+        return base64.urlsafe_b64decode(data + "=" * (-len(data) % 4)).decode("utf-8", "replace")
+    except ValueError:
+        return ""
+
+
 def mail_body(part: dict[str, Any] | None, depth: int = 0, most: int = 5) -> tuple[str, str]:
-    """(plain, html) text of a MIME tree, walked to a bounded depth."""
+    """(plain, html) text of a MIME tree, walked to a bounded depth: all parts of a kind, one per line. A nested
+    multipart gives its plain text, or its HTML where it has none."""
     if not part or depth > most:
         return "", ""
-    plain = html = ""
-    data = (part.get("body") or {}).get("data")
-    kind = part.get("mimeType") or ""
-    if data and kind in ("text/plain", "text/html"):
-        text = base64.urlsafe_b64decode(data + "=" * (-len(data) % 4)).decode("utf-8", "replace")
-        plain, html = (text, "") if kind == "text/plain" else ("", text)
-    for child in part.get("parts") or []:
-        p, h = mail_body(child, depth + 1, most)
-        plain, html = plain or p, html or h
-    return plain, html
+    texts: dict[str, list[str]] = {"text/plain": [], "text/html": []}
+    for child in part.get("parts") or ([part] if not depth else []):
+        kind, data = child.get("mimeType") or "", (child.get("body") or {}).get("data")
+        if data and kind in texts:
+            texts[kind].append(_decoded(data))
+        elif kind.startswith("multipart/") and child.get("parts"):
+            plain, html = mail_body(child, depth + 1, most)
+            if plain or html:
+                texts["text/plain" if plain else "text/html"].append(plain or html)
+    return "\n".join(texts["text/plain"]), "\n".join(texts["text/html"])
 
 
 def mail_text(part: dict[str, Any] | None) -> str:
@@ -145,23 +155,67 @@ def mail_text(part: dict[str, Any] | None) -> str:
     return plain.strip() or " ".join(re.sub(r"<[^>]+>", " ", html).split())
 
 
+#: What stands before a block's text, by kind.
+BLOCK_HEADS = {
+    "heading_1": "# ", "heading_2": "## ", "heading_3": "### ", "bulleted_list_item": "- ", "numbered_list_item": "1. ", "toggle": "▸ ", "quote": "> ",
+    "paragraph": "", "unsupported": "", "": "", "to_do": "", "callout": "", "code": "",
+}
+#: The marks of pages, databases, media and links.
+BLOCK_MARKS = {"child_page": "📄", "child_database": "🗂", "image": "🖼", "video": "🎥", "file": "📎", "bookmark": "🔖", "embed": "🔗", "equation": "📐", "callout": "💡"}
+
+
 def block_markdown(block: dict[str, Any], depth: int = 0) -> str:
-    """A block of a document tree, and its children, as Markdown."""
+    """A block of a document tree, and its children (``_subchildren`` or ``children``), as Markdown; each line ends."""
     kind = block.get("type") or ""
     body = block.get(kind) or {}
-    text = "".join(r.get("plain_text", "") for r in body.get("rich_text") or [])
-    heads = {"heading_1": "# ", "heading_2": "## ", "heading_3": "### ", "bulleted_list_item": "- ", "numbered_list_item": "1. ", "quote": "> "}
+    plain = lambda key: "".join(r.get("plain_text", "") for r in body.get(key) or [])
+    mark, text = BLOCK_MARKS.get(kind, ""), plain("rich_text")
+    held = (body.get("file") or body.get("external") or {}).get("url", "")
+    link, caption = body.get("url", ""), plain("caption")
+    alone = {  # kinds without text or children of their own
+        "child_page": lambda: f"{mark} **{body.get('title', '')}**", "child_database": lambda: f"{mark} **{body.get('title', '')}**", "divider": lambda: "---",
+        "image": lambda: f"{mark} ![{caption}]({held})", "video": lambda: f"{mark} {held}", "file": lambda: f"{mark} {held}",
+        "bookmark": lambda: f"{mark} [{caption or link}]({link})", "embed": lambda: f"{mark} <{link}>", "equation": lambda: f"{mark} {body.get('expression', '')}",
+    }
+    indent = "  " * depth
+    if kind in alone:
+        return f"{indent}{alone[kind]()}\n"
+    if kind not in BLOCK_HEADS:
+        return f"{indent}<!-- unsupported block: {kind} -->\n"
     if kind == "to_do":
-        line = f"- [{'x' if body.get('checked') else ' '}] {text}"
+        text = f"[{'x' if body.get('checked') else ' '}] {text}"
+    elif kind == "callout":
+        text = f"{(body.get('icon') or {}).get('emoji') or mark} {text}"
     elif kind == "code":
-        line = f"```{body.get('language') or ''}\n{text}\n```"
-    elif kind == "divider":
-        line = "---"
-    else:
-        line = heads.get(kind, "") + text
-    lines = ["  " * depth + line] if line.strip() else []
-    lines += [block_markdown(c, depth + 1) for c in block.get("children") or []]
-    return "\n".join(x for x in lines if x)
+        text = f"```{body.get('language', '')}\n{text}\n```"
+    below = "".join(block_markdown(c, depth + 1) for c in block.get("_subchildren") or block.get("children") or [])
+    return f"{indent}{BLOCK_HEADS[kind]}{text}\n{below}"
+
+
+def _as_text(rows: DataFrame, col: str, make: Any) -> DataFrame:
+    """``rows`` with the JSON in ``col`` turned into ``text`` by a pure function, in Arrow batches; what is no JSON object gives none."""
+    @F.pandas_udf("string")
+    def made(values: pd.Series) -> pd.Series:
+        def one(v: str | None) -> str | None:
+            try:
+                tree = json.loads(v or "")
+            except ValueError:
+                return None
+            return make(tree) if isinstance(tree, dict) else None
+
+        return values.map(one)
+
+    return rows.withColumn("text", made(col))
+
+
+def mails(rows: DataFrame, payload: str = "payload") -> DataFrame:
+    """Mail payloads (JSON) with their text."""
+    return _as_text(rows, payload, mail_text)
+
+
+def block_documents(rows: DataFrame, block: str = "block") -> DataFrame:
+    """Blocks (JSON trees) with their Markdown."""
+    return _as_text(rows, block, block_markdown)
 
 
 def drive_files(files: DataFrame, mimes: DataFrame) -> DataFrame:
@@ -185,14 +239,31 @@ def changed_files(files: DataFrame, seen: DataFrame) -> DataFrame:
     return files.join(seen.select("path", "sha16"), ["path", "sha16"], "left_anti")
 
 
+#: Roles that open a turn.
+TURN_ROLES = {"user": "user", "human": "user", "assistant": "assistant", "ai": "assistant", "agent": "assistant"}
+
+
 def session_turns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A session log in Markdown as turns: a header line names the role, the lines after it are its text."""
-    lines = docs.select(id_col, F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
-    head = F.regexp_extract("line", r"(?i)^#{1,6}\s*(user|human|assistant|agent)\b", 1)
-    marked = lines.withColumn("role", F.lower(head)).withColumn("n", F.expr(f"sum(int(role <> '')) over (partition by {id_col} order by pos)"))
-    g = marked.filter("n > 0").groupBy(id_col, "n").agg(F.max(F.when(F.col("role") != "", F.col("role"))).alias("r"), F.array_sort(F.collect_list(F.struct("pos", F.when(F.col("role") == "", F.col("line")).alias("line")))).alias("l"))
-    text = F.trim(F.array_join(F.transform("l", lambda x: x["line"]), "\n"))
-    return g.select(id_col, F.col("n").cast("int").alias("turn"), F.when(F.col("r").isin("user", "human"), "user").otherwise("assistant").alias("role"), text.alias("text")).filter("text <> ''")
+    """A session log in Markdown as turns (id, turn, role, text); ``id_col`` names one log each.
+
+    A line that begins with ``**`` or ``##`` and has a role before its first colon (or alone) opens a turn; what follows
+    the colon is its first line, and the lines up to the next opening belong to it. A log without turns is one turn of
+    the user, if it has text.
+    """
+    ends = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
+    strip = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    text = F.regexp_replace(F.col(text_col), rf"(?:{ends})\z", "")
+    lines = docs.select(id_col, F.posexplode(F.split(text, ends)).alias("pos", "line"))
+    opened = strip(F.regexp_replace("line", r"(?U)^\s*(?:\*\*|##)", ""))
+    named = F.lower(strip(F.regexp_replace(F.regexp_extract(opened, r"(?s)^([^:]*)", 1), r"(?U)[*#\s-]+$", "")))
+    role = F.when(F.rlike("line", F.lit(r"(?U)^\s*(?:\*\*|##)")), F.create_map(*[F.lit(x) for kv in TURN_ROLES.items() for x in kv])[named])
+    inline = strip(F.regexp_replace(F.regexp_extract(opened, r"(?s)^[^:]*:(.*)$", 1), r"(?U)^[*#\s]+", ""))
+    marked = lines.withColumn("role", role).withColumn("line", F.when(F.col("role").isNull(), F.col("line")).otherwise(F.nullif(inline, F.lit(""))))
+    marked = marked.withColumn("n", F.expr(f"count(role) over (partition by {id_col} order by pos)")).filter("n > 0")
+    g = marked.groupBy(id_col, "n").agg(F.max("role").alias("role"), F.array_sort(F.collect_list(F.when(F.col("line").isNotNull(), F.struct("pos", "line")))).alias("l")).filter(F.size("l") > 0)
+    turns = g.select(id_col, F.col("n").cast("int").alias("turn"), "role", strip(F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("text"))
+    whole = docs.select(id_col, F.lit(1).alias("turn"), F.lit("user").alias("role"), strip(F.col(text_col)).alias("text")).filter("text <> ''")
+    return turns.unionByName(whole.join(turns.select(id_col).distinct(), id_col, "left_anti"))
 
 
 def document_memories(docs: DataFrame, passages: DataFrame, suppressed: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -23,7 +23,7 @@ def test_history(spark, tmp_path):
 
 
 def test_answer_kinds_rerank_and_counters(spark):
-    kinds = {"Yes": "yes_no", "$1,200": "number", "on 2024-01-02": "date", "a cat": "text", None: "text"}
+    kinds = {"Yes": "boolean", "-12": "integer", " 3.5 ": "float", "1e3": "float", "nan": "float", "$1,200": "text", "on 2024-01-02": "text", "a cat": "text", None: "text"}
     df = spark.createDataFrame([(k,) for k in kinds], "a string")
     assert {r.a: r.k for r in df.select("a", B.answer_kind(F.col("a")).alias("k")).collect()} == kinds
     c = spark.createDataFrame([(1, "aa"), (2, "a"), (3, None), (4, "bb")], "id long, content string")

@@ -55,7 +55,28 @@ def test_pages_mail_blocks():
     assert (title, text, date) == ("T", "H\n\na & b", "2024-01-01")
     assert C.clip_page("", "https://host.example/x")[0] == "host.example"
     assert C.mail_text({"mimeType": "multipart/alternative", "parts": [{"mimeType": "text/html", "body": {"data": "PGI-aGk8L2I-"}}, {"mimeType": "text/plain", "body": {"data": "aGVsbG8"}}]}) == "hello"
-    assert C.block_markdown({"type": "to_do", "to_do": {"checked": True, "rich_text": [{"plain_text": "x"}]}, "children": [{"type": "paragraph", "paragraph": {"rich_text": [{"plain_text": "y"}]}}]}) == "- [x] x\n  y"
+    assert C.block_markdown({"type": "to_do", "to_do": {"checked": True, "rich_text": [{"plain_text": "x"}]}, "_subchildren": [{"type": "paragraph", "paragraph": {"rich_text": [{"plain_text": "y"}]}}]}) == "[x] x\n  y\n"
+
+
+def test_mail_parts_and_blocks_in_full():
+    text = lambda t: {"mimeType": "text/plain", "body": {"data": t}}
+    assert C.mail_text({"mimeType": "multipart/mixed", "parts": [text("aGVsbG8"), text("d29ybGQ"), text("!!!!a")]}).startswith("hello\nworld")
+    assert C.mail_text(text("aGVsbG8")) == "hello" and C.mail_text(None) == ""
+    rich = lambda t: [{"plain_text": t}]
+    for block, want in [
+        ({"type": "callout", "callout": {"rich_text": rich("c")}}, "💡 c\n"), ({"type": "callout", "callout": {"icon": {"emoji": "🔥"}, "rich_text": rich("c")}}, "🔥 c\n"),
+        ({"type": "code", "code": {"language": "py", "rich_text": rich("x=1")}}, "```py\nx=1\n```\n"), ({"type": "divider", "divider": {}}, "---\n"),
+        ({"type": "bookmark", "bookmark": {"url": "u"}}, "🔖 [u](u)\n"), ({"type": "embed", "embed": {"url": "u"}}, "🔗 <u>\n"), ({"type": "equation", "equation": {"expression": "e"}}, "📐 e\n"),
+        ({"type": "file", "file": {"file": {"url": "u"}}}, "📎 u\n"), ({"type": "child_page", "child_page": {"title": "t"}}, "📄 **t**\n"), ({"type": "new_kind"}, "<!-- unsupported block: new_kind -->\n"), ({}, "\n"),
+    ]:
+        assert C.block_markdown(block) == want
+
+
+def test_session_logs(spark):
+    logs = ["**User:** hi there\nmore\n\n**Assistant**: yo\n## User manual\nx", "just text\n", "## Human\n", "**AI:** **bold** start", "   ", None, "before\n## Agent: said\r\nnext"]
+    df = spark.createDataFrame(list(enumerate(logs)), "k long, t string")
+    got = sorted((r.k, r.turn, r.role, r.text) for r in C.session_turns(df, "k", "t").collect())
+    assert got == [(0, 1, "user", "hi there\nmore"), (0, 2, "assistant", "yo\n## User manual\nx"), (1, 1, "user", "just text"), (2, 1, "user", "## Human"), (3, 1, "assistant", "bold** start"), (6, 1, "assistant", "said\nnext")]
 
 
 def test_headings():
@@ -76,7 +97,7 @@ def test_chunk_invariants():
 def test_turn_packs(spark):
     rows = [(1, t, "user" if t % 2 == 0 else "assistant", "x" * n) for t, n in enumerate([50, 60, 300, 10, 20])]
     got = K.pack_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), 150).orderBy("pack").collect()
-    assert [r.turns for r in got] == [[0, 1], [2], [3, 4]]
+    assert [r.turns for r in got] == [[0, 1], [1, 2], [2, 3], [3, 4]]  # the turn before always comes along
 
 
 def test_extraction_matches_python(spark):
