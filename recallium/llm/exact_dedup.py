@@ -15,9 +15,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, strip_space, text_of
+from .common import Scratch, fresh, strip_space, text_of
 
 BLOCK_BYTES = 2048
+AT_ONCE = 1 << 16  # repeated rows that are written out of one array
 
 
 def _numbered(distinct: DataFrame, *keys: str) -> DataFrame:
@@ -71,38 +72,43 @@ def block_names(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def row_key(i: str, t: str):
     """Address of a row: its id and its original text. Not used to decide what is equal."""
-    return F.concat_ws("/", F.coalesce(F.col(i).cast("string"), F.lit("null")), F.md5(F.encode(F.col(t), "UTF-8")))
+    return F.concat_ws("/", F.coalesce(F.concat(F.lit("="), F.col(i).cast("string")), F.lit("null")), F.md5(F.encode(F.col(t), "UTF-8")))
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``exact_dedup`` with the row key ``rk``."""
+    """``exact_dedup`` per row key ``rk``, with the number ``copies`` of rows that have it."""
     scratch = Scratch(docs.sparkSession, "dedup")
     names = scratch.cut(block_names(docs, id_col, text_col, block_bytes, scratch))
     src = docs.select(F.col(id_col).alias(id_col), text_of(text_col).alias("_t"))
-    info = src.select(id_col, row_key(id_col, "_t").alias("rk"), F.length("_t").alias("chars"), F.sha2(F.encode(strip_space(F.col("_t")), "UTF-8"), 256).alias("text_sha256")).dropDuplicates(["rk"])
+    info = src.select(id_col, row_key(id_col, "_t").alias("rk"), F.length("_t").alias("chars"), F.sha2(F.encode(strip_space(F.col("_t")), "UTF-8"), 256).alias("text_sha256"))
+    info = info.groupBy("rk").agg(F.first(id_col).alias(id_col), F.first("chars").alias("chars"), F.first("text_sha256").alias("text_sha256"), F.count(F.lit(1)).alias("copies"))
     rows = scratch.cut(info.join(names, "rk"))
-    best = rows.groupBy("level", "name").agg(F.count(F.lit(1)).alias("group_size"), F.min(F.struct((-F.col("chars")).alias("c"), F.col(id_col).isNull().alias("z"), F.col(id_col).alias("k"), F.col("rk").alias("r"))).alias("best"))
+    best = rows.groupBy("level", "name").agg(F.sum("copies").alias("group_size"), F.min(F.struct((-F.col("chars")).alias("c"), F.col(id_col).isNull().alias("z"), F.col(id_col).alias("k"), F.col("rk").alias("r"))).alias("best"))
     best = scratch.cut(best)
     scratch.drop(names)
     return rows.join(best, ["level", "name"]).select(
-        F.col(id_col), F.col("best.k").alias("keep_id"), "group_size", (F.col("rk") == F.col("best.r")).alias("kept"), "text_sha256", "rk")
+        F.col(id_col), F.col("best.k").alias("keep_id"), "group_size", (F.col("rk") == F.col("best.r")).alias("kept"), "text_sha256", "rk", "copies")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per distinct (id, text): id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
+    """Per row: id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``. Of rows repeated with id and text one is kept.
 
     Equal texts (white space deleted) form a group; the row with the most code points in its original text, then the
     smallest id, stays (a null id sorts last). Null texts count as empty; an empty table gives no rows; extra columns
     are ignored.
     """
-    return exact_groups(docs, id_col, text_col, block_bytes).drop("rk")
+    keys = exact_groups(docs, id_col, text_col, block_bytes)
+    some = keys.withColumn("_a", F.explode(F.expr(f"sequence(0L, (copies - 1) div {AT_ONCE})")))
+    every = some.withColumn("_b", F.explode(F.expr(f"sequence(0L, least({AT_ONCE}L, copies - _a * {AT_ONCE}) - 1)")))
+    return every.select(id_col, "keep_id", "group_size", (F.col("kept") & (F.col("_a") + F.col("_b") == 0)).alias("kept"), "text_sha256")
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; of rows repeated with id and text, one stays."""
-    keyed = docs.withColumn("_dedup_t", text_of(text_col)).withColumn("_dedup_rk", row_key(id_col, "_dedup_t"))
-    gone = exact_groups(docs, id_col, text_col).filter("not kept").select(F.col("rk").alias("_dedup_rk"))
-    left = keyed.join(gone, "_dedup_rk", "left_anti")
-    if not keyed.groupBy("_dedup_rk").count().filter("count > 1").isEmpty():
-        left = left.dropDuplicates(["_dedup_rk"])
+    t, rk = fresh(docs.columns, "_dedup_t"), fresh(docs.columns, "_dedup_rk")
+    keyed = docs.withColumn(t, text_of(text_col)).withColumn(rk, row_key(id_col, t))
+    gone = exact_groups(docs, id_col, text_col).filter("not kept").select(F.col("rk").alias(rk))
+    left = keyed.join(gone, rk, "left_anti")
+    if not keyed.groupBy(rk).count().filter("count > 1").isEmpty():
+        left = left.dropDuplicates([rk])
     return left.select(*docs.columns)

@@ -124,12 +124,61 @@ def test_exact_dedup(spark):
 def test_exact_dedup_repeated_rows(spark):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (None, "c"), (2, "c"), (3, None)], "doc_id long, text string")
     rows = exact_dedup(df).collect()
-    assert len(rows) == 5 and sum(r.kept for r in rows) == 4
+    assert len(rows) == 6 and sum(r.kept for r in rows) == 4  # one row per document, repeated ones too
+    assert sorted(r.group_size for r in rows) == [1, 1, 2, 2, 2, 2] and sum(r.kept for r in rows if r.doc_id == 1) == 2
     left = drop_exact_duplicates(df).collect()
     assert sorted(((r.doc_id, r.text) for r in left), key=str) == sorted([(1, "a"), (1, "b"), (2, "c"), (3, None)], key=str)
     assert exact_dedup(df.limit(0)).count() == 0
 
 
+def test_exact_dedup_of_text_ids_and_clashing_columns(spark, monkeypatch):
+    from recallium.llm import exact_dedup as E
+
+    df = spark.createDataFrame([("null", "a", "p", "q"), (None, "a", "r", "s"), ("x", "b", "t", "u")], "doc_id string, text string, _dedup_t string, _dedup_rk string")
+    rows = exact_dedup(df).collect()
+    assert len(rows) == 3 and sorted(r.group_size for r in rows) == [1, 2, 2]
+    left = drop_exact_duplicates(df)
+    assert left.columns == df.columns and sorted(tuple(r) for r in left.collect()) == [("null", "a", "p", "q"), ("x", "b", "t", "u")]
+    monkeypatch.setattr(E, "AT_ONCE", 3)
+    many = spark.createDataFrame([(7, "same")] * 8 + [(8, "sa me")], "doc_id long, text string")
+    got = exact_dedup(many).collect()
+    assert len(got) == 9 and {r.group_size for r in got} == {9} and [r.doc_id for r in got if r.kept] == [8]
+
+
+def test_jaccard_repeated_ids_with_different_texts(spark):
+    words = [f"w{k}" for k in range(60)]
+    near = " ".join([*words[:59], "other"])
+    df = spark.createDataFrame([(1, " ".join(words)), (1, "one more text of its own"), (2, near), (3, "one more text of its own"), (4, None)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(df).collect())
+    assert got == [(1, 3, 1), (1, 57, 1), (2, 57, 1), (3, 3, 1), (4, 0, 4)]
+
+
+@pytest.mark.parametrize("cell,block", [(3, 4), (2, 2)])
+def test_split_lists_and_many_blocks(spark, monkeypatch, cell, block):
+    monkeypatch.setattr(J, "CELL", cell)
+    monkeypatch.setattr(J, "LINK_SETS", block)
+    r = random.Random(8)
+    words = [f"v{k}" for k in range(120)]
+    texts = [None, "alone in the world"]
+    for _ in range(40):  # pairs about the wanted similarity, so that some link only through others
+        w = list(words)
+        for _ in range(r.choice([1, 2, 2, 3])):
+            w[r.randrange(120)] = f"x{r.randrange(10**6)}"
+        texts.append(" ".join(w))
+    comp, _ = brute_components(texts, 4, 85, 100)
+    got = {x.doc_id: x.component_id for x in jaccard_components(frame(spark, texts)).collect()}
+    assert [got[k] for k in range(len(texts))] == comp and len(set(comp)) > 3
+
+
+def test_light_and_heavy_sets_all_take_part():
+    hist = {k: 100 for k in range(1, 17)}
+    x = J.light_boundary(hist, 85, 100)
+    assert 0 < x < J.LARGEST_LIGHT  # the bound on listing never binds
+    for n in range(1, 40):
+        keys, pos = J._keys(np.arange(1, n + 1, dtype=np.uint64) << np.uint64(50), x, np.ones(1 << J.BIN_BITS, np.int64), 85, 100)
+        assert len(keys) and ((pos == J.SUBSET).any() == (n <= x))
+
+
 def brute_capacity(sums, shards):
     best = [0, *[float("inf")] * len(sums)]
     for _ in range(shards):
