@@ -123,10 +123,11 @@ def run_lstm(p: dict[str, np.ndarray], c: np.ndarray):
 
 
 def fast_emissions(p: dict[str, np.ndarray], c: np.ndarray) -> np.ndarray:
-    """For decoding. c: (T, N); emissions (T, LABELS, N). Both directions share each step: one product, one tanh.
+    """For decoding. c: (T, N); emissions (T, LABELS, N). Both directions share each step: one product, one exponential.
 
-    Windows lie along the last axis, so each operation runs over long contiguous rows. A sigmoid is
-    0.5 + 0.5 tanh(z / 2), with the halving folded into the weights.
+    Windows lie along the last axis, so each operation runs over long contiguous rows. A sigmoid is 1 / (1 + exp(-z)) and
+    tanh(z) = 2 sigmoid(2 z) - 1, with these factors folded into the weights (exp is half as dear as tanh); the cell is
+    kept as -2 times its value. All emissions are one product at the end.
     """
     T, N = c.shape
     H, E = HIDDEN, EMBED
@@ -137,32 +138,38 @@ def fast_emissions(p: dict[str, np.ndarray], c: np.ndarray) -> np.ndarray:
             m[rows, d * H : d * H + H] = p["u"][d][:, cols].T
             m[rows, 2 * H + d * E : 2 * H + d * E + E] = p["x"][d][:, cols].T
             m[rows, -1] = p["c"][d][cols]
-    m[: 6 * H] *= 0.5
+    m[: 6 * H] *= -1
+    m[6 * H :] *= -2
     state = np.zeros((2 * H + 2 * E + 1, N), np.float32)
     state[-1] = 1
     emb = np.ascontiguousarray(p["e"].T)
     cell, th, g = np.zeros((2 * H, N), np.float32), np.empty((2 * H, N), np.float32), np.empty((8 * H, N), np.float32)
-    hs = np.empty((T, 2 * H, N), np.float32)
-    half = np.float32(0.5)
-    for t in range(T):
-        state[2 * H : 2 * H + E] = emb.take(c[t], axis=1, mode="clip")
-        state[2 * H + E : -1] = emb.take(c[T - 1 - t], axis=1, mode="clip")
-        np.matmul(m, state, out=g)
-        np.tanh(g, out=g)
-        gates = g[: 6 * H]
-        gates *= half
-        gates += half
-        cell *= g[2 * H : 4 * H]
-        np.multiply(g[: 2 * H], g[6 * H :], out=th)
-        cell += th
-        np.tanh(cell, out=th)
-        np.multiply(g[4 * H : 6 * H], th, out=state[: 2 * H])
-        hs[t] = state[: 2 * H]
-    w = np.ascontiguousarray(p["w"].T)
-    e = np.matmul(w[:, :H], hs[:, :H])
-    e += np.matmul(w[:, H:], hs[::-1, H:])
+    i, f, o, z = (g[k * 2 * H : (k + 1) * 2 * H] for k in range(4))
+    hs = np.empty((2 * H, T, N), np.float32)
+    one, two, four = np.float32(1), np.float32(2), np.float32(4)
+    with np.errstate(over="ignore"):  # exp of a far negative gate is inf, its sigmoid 0
+        for t in range(T):
+            state[2 * H : 2 * H + E] = emb.take(c[t], axis=1, mode="clip")
+            state[2 * H + E : -1] = emb.take(c[T - 1 - t], axis=1, mode="clip")
+            np.matmul(m, state, out=g)
+            np.exp(g, out=g)
+            g += one
+            np.reciprocal(g, out=g)
+            z *= -four
+            z += two
+            z *= i
+            cell *= f
+            cell += z
+            np.exp(cell, out=th)
+            th += one
+            np.divide(two, th, out=th)
+            th -= one
+            np.multiply(o, th, out=state[: 2 * H])
+            hs[:H, t] = state[:H]
+            hs[H:, T - 1 - t] = state[H : 2 * H]
+    e = np.ascontiguousarray(p["w"].T) @ hs.reshape(2 * H, T * N)
     e += p["b"][:, None]
-    return e
+    return e.reshape(LABELS, T, N).transpose(1, 0, 2)
 
 
 def emissions(p: dict[str, np.ndarray], hs: np.ndarray) -> np.ndarray:
@@ -312,18 +319,24 @@ def labelled_windows(texts: list[str], seed: int = 5, n: int = TRAIN_WINDOWS, le
 def quiet(e: np.ndarray, trans: np.ndarray) -> np.ndarray:
     """Which windows (last axis of (T, K, N) emissions) have nothing better than "outside" at any place, though each
     may be entered and left inside any kind at no cost."""
-    T, _, N = e.shape
     inside, enter, leave = trans.diagonal()[1:, None], trans[0, 1:, None], trans[1:, 0, None]
+    # if no place favours a kind by more than its transitions cost, no path does; the others are walked through
+    most = (e[:, 1:] - e[:, :1]).max(0)
+    limit = np.minimum(0, trans[0, 0] - leave) - 1e-3
+    calm = ((most <= limit) & (most + np.maximum(enter, limit + inside) - trans[0, 0] <= limit)).all(0)
+    rest = np.flatnonzero(~calm)
+    e = e[:, :, rest]
     v = e[0].copy()
-    other = np.zeros(N, bool)
-    for t in range(1, T):
+    other = np.zeros(len(rest), bool)
+    for t in range(1, len(e)):
         out = v[0] + trans[0, 0]
         back = (v[1:] + leave).max(0)
         other |= back > out
         v[1:] = np.maximum(v[0] + enter, v[1:] + inside)
         np.maximum(out, back, out=v[0])
         v += e[t]
-    return ~(other | (v.argmax(0) > 0))
+    calm[rest] = ~(other | (v.argmax(0) > 0))
+    return calm
 
 
 def viterbi(e: np.ndarray, trans: np.ndarray) -> np.ndarray:
@@ -480,13 +493,14 @@ def _lots(texts: list[str]) -> Iterator[tuple[int, int]]:
 
 
 def find_spans(p: dict[str, np.ndarray], texts: list[str]) -> list[tuple[list, list]]:
-    """Per text: the rules' spans, and all spans (the rules' and the model's) sorted."""
-    out = []
-    for t, (labels, margin) in zip(texts, tag_texts(p, texts), strict=True):
+    """Per text: the rules' spans, and all spans (the rules' and the model's) sorted. Equal texts are read once."""
+    found = {}
+    once = list(dict.fromkeys(texts))
+    for t, (labels, margin) in zip(once, tag_texts(p, once), strict=True):
         base = base_spans(t)
         more = added_spans(t, labels, margin, base) if labels.any() else []
-        out.append((base, sorted(base + more)))
-    return out
+        found[t] = base, sorted(base + more)
+    return [found[t] for t in texts]
 
 
 def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
