@@ -21,6 +21,9 @@ PHRASE_PATTERN = r"\b(?:[A-Z][\wÀ-ỹ]+|[A-Z]{2,})(?:\s+(?:[A-Z][\wÀ-ỹ]+|[A-
 #: Forms of citations.
 CITATIONS = (r"\[source\s*\d+\]", r"\(source:\s*[^)]+\)", r"source\s*:\s*\S+")
 
+#: Phrases of an answer that has found nothing.
+FALLBACKS = ("i don't know", "i do not know", "i don't recall", "don't recall", "không tìm thấy", "không có thông tin", "outside the available support documentation", "outside what you've stored with", "don't have information", "cannot answer")
+
 
 def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
@@ -126,6 +129,19 @@ def normalise(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"\s+", " "))
 
 
+def is_fallback(answer: Column, more: tuple[str, ...] = ()) -> Column:
+    """Whether an answer says that there is none; ``more`` are markers of one's own product, in lower case."""
+    out = F.lit(False)
+    for m in (*FALLBACKS, *more):
+        out = out | F.contains(normalise(answer), F.lit(m))
+    return out
+
+
+def fallback_accuracy(expected: Column, answer: Column, more: tuple[str, ...] = ()) -> Column:
+    """1 if the answer fell back exactly when it should have, else 0."""
+    return (is_fallback(answer, more) == expected).cast("double")
+
+
 def keyword_coverage(text: Column, keywords: Column) -> Column:
     kept = F.filter(keywords, lambda k: F.coalesce(k, F.lit("")) != "")
     hits = F.filter(kept, lambda k: F.contains(normalise(text), normalise(k)))

@@ -150,3 +150,41 @@ def graph_metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def quota_replay(requests: DataFrame, limit: int, when: str = "ts", order: str = "event_id") -> DataFrame:
     """Requests in order against a daily limit per user: which are granted."""
     return requests.withColumn("granted", F.expr(f"row_number() over (partition by user_id, to_date({when}) order by {when}, {order}) <= {limit}"))
+
+
+def judge_split(cases: DataFrame, by: str = "judged_by", score: str = "score", passing: float = 0.7) -> DataFrame:
+    """Cases judged by a heuristic and by a model, apart: counts, and mean and pass share of the model's (0 without any)."""
+    model = F.coalesce(F.col(by) != "heuristic", F.lit(True))
+    s = cases.agg(F.count_if(~model).alias("heuristic_cases"), F.count_if(model).alias("llm_cases"), F.sum(F.when(model, F.col(score))).alias("_s"), F.count_if(model & (F.col(score) >= passing)).alias("_p"))
+    return s.select("heuristic_cases", "llm_cases", rate(F.coalesce("_s", F.lit(0.0)), F.col("llm_cases"), 6).alias("mean_llm"), rate(F.col("_p"), F.col("llm_cases"), 6).alias("pass_rate_llm"))
+
+
+def stuck_rows(rows: DataFrame, states: list[str], before: Column, n: int = 5, status: str = "status", when: str = "updated_at", id_col: str = "id") -> DataFrame:
+    """The n longest untouched rows in one of ``states`` that were last touched before a time."""
+    return rows.filter(F.col(status).isin(states) & (F.col(when) < before)).orderBy(F.asc(when), F.asc(id_col)).limit(n)
+
+
+def recent_failures(rows: DataFrame, states: list[str], n: int = 5, status: str = "status", when: str = "updated_at", id_col: str = "id") -> DataFrame:
+    return rows.filter(F.col(status).isin(states)).orderBy(F.desc(when), F.asc(id_col)).limit(n)
+
+
+def status_counts(rows: DataFrame, names: list[str], status: str = "status") -> DataFrame:
+    """Rows per status; ``names`` without rows count 0, others that occur are kept."""
+    known = rows.sparkSession.createDataFrame([(n,) for n in names], "status string")
+    counts = rows.groupBy(F.col(status).alias("status")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(F.broadcast(known), "status", "full_outer").select("status", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def counts_by(rows: DataFrame, key: Column, name: str) -> DataFrame:
+    """Rows per value of an expression: views per page, fallbacks per path."""
+    return rows.groupBy(key.alias(name)).agg(F.count(F.lit(1)).alias("n"))
+
+
+def leaderboard(rows: DataFrame, key: str, n: int = 10) -> DataFrame:
+    return counts_by(rows, F.col(key), key).orderBy(F.desc("n"), F.asc(key)).limit(n)
+
+
+def ledger_page(entries: DataFrame, offset: int, n: int, when: str = "ts", id_col: str = "event_id") -> DataFrame:
+    """One page of entries, newest first, with the number of all."""
+    total = entries.agg(F.count(F.lit(1)).alias("total"))
+    return entries.orderBy(F.desc(when), F.desc(id_col)).offset(offset).limit(n).join(F.broadcast(total))

@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recallium.functions import text as T
+from recallium.session import shared_dir
 
 
 def _shared(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{(found or '/tmp/checkpoints').rstrip('/')}/recallium/graph-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/recallium/graph-{uuid.uuid4().hex}"
 
 
 def _cut(df: DataFrame, base: str, n: int) -> DataFrame:
@@ -51,6 +51,14 @@ def upsert_graph(mentions: DataFrame, pairs: DataFrame) -> tuple[DataFrame, Data
     return ent, rel
 
 
+def merge_links(stored: DataFrame, mentions: DataFrame, processed: DataFrame, force: bool = False) -> DataFrame:
+    """Links (id, key, type, salience) after a batch of mentions (id, name, type, salience): the greater salience, and
+    ``new`` where none was stored. Memories in ``processed`` (id) are passed over unless ``force``."""
+    fresh = mentions if force else mentions.join(processed.select("id").distinct(), "id", "left_anti")
+    rows = stored.select("id", "key", "type", "salience", F.lit(True).alias("_s")).unionByName(fresh.select("id", F.lower("name").alias("key"), "type", "salience", F.lit(False).alias("_s")))
+    return rows.groupBy("id", "key", "type").agg(F.max(F.coalesce("salience", F.lit(0.0))).alias("salience"), (~F.max("_s")).alias("new"))
+
+
 def components(nodes: DataFrame, edges: DataFrame, least_weight: float = 0.2) -> DataFrame:
     """(node, comp): the least node reachable over edges of enough weight; single nodes are their own.
 
@@ -118,5 +126,18 @@ def erase_plan(memories: DataFrame, root: int, user_id: int) -> DataFrame:
     return closure.unionByName(derived)
 
 
+def erase_effects(memories: DataFrame, entities: DataFrame, links: DataFrame, plan: DataFrame, root: int, user_id: int) -> DataFrame:
+    """What an erase plan leaves behind or takes from others, in one row: children of erased rows that are another user's
+    or that the plan leaves, the root's entity links, and the user's entities that no link would be left of."""
+    ids = plan.select("id").distinct()
+    below = memories.join(ids.select(F.col("id").alias("parent_id")), "parent_id", "left_semi").join(ids.withColumn("_in", F.lit(True)), "id", "left")
+    mine = F.col("user_id") == user_id
+    children = below.agg(F.count_if(~mine).alias("cross_user_children"), F.count_if(mine & F.col("_in").isNull()).alias("children"))
+    linked = links.filter(F.col("memory_id") == root).agg(F.count(F.lit(1)).alias("entity_links"))
+    left = links.join(ids.select(F.col("id").alias("memory_id")), "memory_id", "left_anti").select("entity_id").distinct()
+    gone = entities.filter(mine).join(left, "entity_id", "left_anti").agg(F.count(F.lit(1)).alias("orphan_entities"))
+    return children.join(F.broadcast(linked)).join(F.broadcast(gone))  # one row each
+
+
 def receipt_status(errors: Column, residual: Column, unverified: Column) -> Column:
     return F.when(errors > 0, "error").when(residual > 0, "residual").when(unverified > 0, "unverified").otherwise("completed")

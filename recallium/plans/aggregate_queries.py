@@ -31,7 +31,7 @@ def feature_usage(spark, d):
 
 @query("SELECT props->>'$.k' AS path, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY 1")
 def page_views(spark, d):
-    return table(spark, d, "events").filter("event_type = 'view'").groupBy(F.get_json_object("props", "$.k").alias("path")).agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, d, "events").filter("event_type = 'view'").transform(A.counts_by, F.get_json_object("props", "$.k"), "path")
 
 
 @query("SELECT strftime(ts, '%Y-%m-%d') AS day, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
@@ -111,7 +111,7 @@ def referral_tiers(spark, d):
 
 @query("SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, o_custkey LIMIT 10")
 def referral_leaderboard(spark, d):
-    return table(spark, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "o_custkey").limit(10)
+    return A.leaderboard(table(spark, d, "orders"), "o_custkey")
 
 
 @query("SELECT count(*) AS total, count(*) FILTER (event_type = 'signup') AS signups, count(*) FILTER (event_type = 'error') AS errors, count(DISTINCT user_id) AS users FROM events")
@@ -149,13 +149,13 @@ def graph_metrics(spark, d):
 
 @query("SELECT event_type AS path, count(*) AS n FROM events WHERE event_type IN ('error') GROUP BY 1")
 def fallback_counters(spark, d):
-    return table(spark, d, "events").filter("event_type = 'error'").groupBy(F.col("event_type").alias("path")).agg(F.count(F.lit(1)).alias("n"))
+    return A.counts_by(table(spark, d, "events").filter("event_type = 'error'"), F.col("event_type"), "path")
 
 
 @query("SELECT event_id, ts, count(*) OVER () AS total FROM events WHERE user_id = 5 AND event_type = 'click' ORDER BY ts DESC, event_id DESC LIMIT 10 OFFSET 2")
 def access_ledger(spark, d):
     e = table(spark, d, "events").filter("user_id = 5 and event_type = 'click'")
-    return e.orderBy(F.desc("ts"), F.desc("event_id")).offset(2).limit(10).join(F.broadcast(e.agg(F.count(F.lit(1)).alias("total")))).select("event_id", "ts", "total")
+    return A.ledger_page(e, 2, 10).select("event_id", "ts", "total")
 
 
 @query("SELECT event_id, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id) <= 2 AS granted FROM events")

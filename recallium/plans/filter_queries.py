@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from recallium.functions import filters as L
 from recallium.functions import scoring as S
 from recallium.functions import text as T
+from recallium.operators import analytics as A
 from recallium.plans.adapters import MEM, STATE_SQL, VISIBLE_SQL, memories, table
 from recallium.plans.catalog import query
 
@@ -74,14 +75,12 @@ def hint_availability(spark, d):
 
 @query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderstatus = 'P' AND o_orderdate < TIMESTAMP '2000-01-01' ORDER BY o_orderdate, o_orderkey LIMIT 5")
 def stuck_documents(spark, d):
-    return table(spark, d, "orders").filter("o_orderstatus = 'P' and o_orderdate < TIMESTAMP_NTZ'2000-01-01 00:00:00'").orderBy("o_orderdate", "o_orderkey").limit(5).select("o_orderkey", "o_orderdate")
+    return A.stuck_rows(table(spark, d, "orders"), ["P"], F.expr("TIMESTAMP_NTZ'2000-01-01 00:00:00'"), 5, "o_orderstatus", "o_orderdate", "o_orderkey").select("o_orderkey", "o_orderdate")
 
 
 @query("SELECT s.status, count(o_orderkey) AS n FROM (VALUES ('F'), ('O'), ('P'), ('X')) s(status) LEFT JOIN orders ON o_orderstatus = s.status GROUP BY 1")
 def ingestion_status_counts(spark, d):
-    counts = table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count(F.lit(1)).alias("n"))
-    names = spark.createDataFrame([("F",), ("O",), ("P",), ("X",)], "status string")
-    return names.join(counts, "status", "left").select("status", F.coalesce("n", F.lit(0)).alias("n"))
+    return A.status_counts(table(spark, d, "orders"), ["F", "O", "P", "X"], "o_orderstatus")
 
 
 @query(f"WITH {MEM} SELECT id FROM mem WHERE pinned AND id = 22")

@@ -142,3 +142,22 @@ def answer_kinds(spark, d):
 def import_formats(spark, d):
     shapes = ['[{"mapping":{}}]', '[{"chat_messages":[]}]', '[{"content":"x"}]', '{"schema":"portable-ai-memory","memories":[]}', '{"memory_entries":[]}', '{"memories":[],"export_version":"1"}', '{"conversations":[],"copilot_version":1}', '{"x":1}']
     return table(spark, d, "conversations").select("conv_id").distinct().withColumn("v", F.element_at(F.array(*map(F.lit, shapes)), (F.col("conv_id") % 8 + 1).cast("int"))).select("conv_id", I.detect_format(F.col("v")).alias("format"))
+
+
+@query("SELECT count(*) FILTER (doc_id % 3 = 0) AS heuristic_cases, count(*) FILTER (doc_id % 3 <> 0) AS llm_cases, round(avg(quality * 0.6 + (1 - toxic) * 0.3) FILTER (doc_id % 3 <> 0), 6) AS mean_llm, round(avg((quality * 0.6 + (1 - toxic) * 0.3 >= 0.7)::INT) FILTER (doc_id % 3 <> 0), 6) AS pass_rate_llm FROM labels")
+def judge_split(spark, d):
+    c = table(spark, d, "labels").selectExpr("if(doc_id % 3 = 0, 'heuristic', 'model') as judged_by", "quality * 0.6D + (1 - toxic) * 0.3D as score")
+    return A.judge_split(c)
+
+
+@query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderstatus IN ('F', 'X') ORDER BY o_orderdate DESC, o_orderkey LIMIT 5")
+def recent_failures(spark, d):
+    return A.recent_failures(table(spark, d, "orders"), ["F", "X"], 5, "o_orderstatus", "o_orderdate", "o_orderkey").select("o_orderkey", "o_orderdate")
+
+
+@query("SELECT doc_id, doc_id % 4 = 0 OR (doc_id % 4 = 1 AND contains(lower(text), 'the')) AS fell_back, CASE WHEN (doc_id % 4 = 0 OR (doc_id % 4 = 1 AND contains(lower(text), 'the'))) = (doc_id % 2 = 0) THEN 1.0 ELSE 0.0 END::DOUBLE AS accuracy FROM documents")
+def fallback_answers(spark, d):
+    """Every fourth answer says that it knows nothing, in other letters and spacing; some name what is missing."""
+    a = table(spark, d, "documents").selectExpr("doc_id", "case doc_id % 4 when 0 then concat(text, ' I  DON''T\nknow. ') when 1 then if(contains(lower(text), 'the'), 'Not in our manual', text) else text end as answer", "doc_id % 2 = 0 as expected")
+    more = ("not in our manual",)
+    return a.select("doc_id", T.is_fallback(F.col("answer"), more).alias("fell_back"), T.fallback_accuracy(F.col("expected"), F.col("answer"), more).alias("accuracy"))

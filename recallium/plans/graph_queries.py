@@ -72,11 +72,34 @@ def descendant_closure(spark, d):
     return G.descendants(memories(spark, d), 1, "en")[0]
 
 
-@query(f"WITH RECURSIVE {MEM}, below AS (SELECT id, 1 AS depth FROM mem WHERE parent_id = 1 AND user_id = 'en' UNION ALL SELECT m.id, depth + 1 FROM below JOIN mem m ON m.parent_id = below.id WHERE m.user_id = 'en'), cl AS (SELECT id, 'root' AS why, 0 AS depth FROM mem WHERE id = 1 AND user_id = 'en' UNION ALL SELECT id, 'descendant', depth FROM below), dep AS (SELECT DISTINCT id FROM (SELECT id, unnest(derived_from) AS x FROM mem WHERE user_id = 'en') WHERE x IN (SELECT id FROM cl) AND id NOT IN (SELECT id FROM cl)) FROM cl UNION ALL SELECT id, 'derived', -1 FROM dep")
+_ERASED = (f"WITH RECURSIVE {MEM}, below AS (SELECT id, 1 AS depth FROM mem WHERE parent_id = 1 AND user_id = 'en' UNION ALL SELECT m.id, depth + 1 FROM below JOIN mem m ON m.parent_id = below.id WHERE m.user_id = 'en'), cl AS (SELECT id, 'root' AS why, 0 AS depth FROM mem WHERE id = 1 AND user_id = 'en' UNION ALL SELECT id, 'descendant', depth FROM below), dep AS (SELECT DISTINCT id FROM (SELECT id, unnest(derived_from) AS x FROM mem WHERE user_id = 'en') WHERE x IN (SELECT id FROM cl) AND id NOT IN (SELECT id FROM cl))")
+
+
+@query(_ERASED + " FROM cl UNION ALL SELECT id, 'derived', -1 FROM dep")
 def erase_plan(spark, d):
     return G.erase_plan(memories(spark, d), 1, "en")
 
 
+@query(_ERASED + ", plan AS (SELECT id FROM cl UNION SELECT id FROM dep) SELECT (SELECT count(*) FROM mem WHERE parent_id IN (FROM plan) AND user_id <> 'en') AS cross_user_children, (SELECT count(*) FROM mem WHERE parent_id IN (FROM plan) AND user_id = 'en' AND id NOT IN (FROM plan)) AS children, (SELECT count(*) FROM documents WHERE doc_id = 1) AS entity_links, (SELECT count(*) FROM (SELECT DISTINCT doc_id // 2 AS e FROM documents) WHERE e NOT IN (SELECT doc_id // 2 FROM documents WHERE doc_id NOT IN (FROM plan))) AS orphan_entities")
+def erase_effects(spark, d):
+    m = memories(spark, d)
+    links = m.selectExpr("id as memory_id", "id div 2 as entity_id")
+    ents = links.select("entity_id").distinct().withColumn("user_id", F.lit("en"))
+    return G.erase_effects(m, ents, links, G.erase_plan(m, 1, "en"), 1, "en")
+
+
+_BRANDS = "e AS (SELECT l_orderkey AS id, lower(p_brand) AS key, 0.4 + (l_linenumber % 5) / 10::DOUBLE AS salience, l_linenumber AS n FROM lineitem JOIN part ON p_partkey = l_partkey)"
+
+
+@query(f"WITH {_BRANDS}, o AS (SELECT id, key, max(salience) AS s FROM e WHERE n <= 2 GROUP BY 1, 2), b AS (SELECT id, key, max(salience) AS s FROM e WHERE id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY 1, 2) SELECT coalesce(o.id, b.id) AS id, coalesce(o.key, b.key) AS key, round(greatest(coalesce(o.s, 0), coalesce(b.s, 0)), 6) AS salience, o.id IS NULL AS new FROM o FULL JOIN b ON o.id = b.id AND o.key = b.key")
+def graph_links(spark, d):
+    """The first two lines of each order are linked already; finished orders have been processed."""
+    e = table(spark, d, "lineitem").join(table(spark, d, "part"), F.expr("p_partkey = l_partkey")).selectExpr("l_orderkey as id", "p_brand as name", "'product' as type", "0.4D + (l_linenumber % 5) / 10D as salience", "l_linenumber as n")
+    stored = e.filter("n <= 2").groupBy("id", F.lower("name").alias("key"), "type").agg(F.max("salience").alias("salience"))
+    done = table(spark, d, "orders").filter("o_orderstatus = 'F'").selectExpr("o_orderkey as id")
+    return G.merge_links(stored, e.drop("n"), done).select("id", "key", F.round("salience", 6).alias("salience"), "new")
+
+
 @query("SELECT event_type, CASE WHEN e > 0 THEN 'error' WHEN r > 0 THEN 'residual' WHEN u > 0 THEN 'unverified' ELSE 'completed' END AS status FROM (SELECT event_type, count(*) FILTER (event_type = 'error') AS e, count(*) FILTER (value > 500) AS r, count(*) FILTER (value < 0) AS u FROM events GROUP BY 1)")
 def erase_receipts(spark, d):
     e = table(spark, d, "events").groupBy("event_type").agg(F.count_if(F.col("event_type") == "error").alias("e"), F.count_if(F.col("value") > 500).alias("r"), F.count_if(F.col("value") < 0).alias("u"))

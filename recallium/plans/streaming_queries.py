@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from recallium.plans.adapters import table
 from recallium.plans.catalog import query
+from recallium.session import shared_dir
 from recallium.streaming import streams as S
 
 
@@ -34,7 +35,7 @@ def outbox_replay(spark, d):
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def stream_counts(spark, d):
     """Events read as a stream of files to its end, counted by type in a table of the shared folder."""
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/") + f"/recallium/stream-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/recallium/stream-{uuid.uuid4().hex}"
     schema = table(spark, d, "events").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
     run = source.select("event_type").writeStream.format("parquet").option("checkpointLocation", f"{base}/check").option("path", f"{base}/out").trigger(availableNow=True).start()

@@ -23,3 +23,11 @@ def build_session(app: str = "recallium", cpus: str | None = None, shuffle: int
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share; a default only on one machine, where the session leaves it unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (found or "/tmp/checkpoints").rstrip("/")
