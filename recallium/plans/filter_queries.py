@@ -8,6 +8,7 @@ from recallium.functions import filters as L
 from recallium.functions import scoring as S
 from recallium.functions import text as T
 from recallium.operators import analytics as A
+from recallium.operators import relational as R
 from recallium.plans.adapters import MEM, STATE_SQL, VISIBLE_SQL, memories, table
 from recallium.plans.catalog import query
 
@@ -121,10 +122,10 @@ def json_salvage(spark, d):
 
 @query(r"SELECT item_id, doc_id FROM benchmark JOIN documents ON contains(trim(regexp_replace(lower(documents.text), '\s+', ' ', 'g')), trim(regexp_replace(lower(benchmark.text), '\s+', ' ', 'g')))")
 def benchmark_containment(spark, d):
-    """Documents that contain a benchmark item: the items are a stated, broadcast set, held against all documents."""
+    """Documents that contain a benchmark item, at any place."""
     b = table(spark, d, "benchmark").select("item_id", T.normalise(F.col("text")).alias("b"))
     t = table(spark, d, "documents").select("doc_id", T.normalise(F.col("text")).alias("t"))
-    return t.join(F.broadcast(b), F.contains("t", "b")).select("item_id", "doc_id")
+    return R.contained_items(t, b, "doc_id", "t", "item_id", "b")
 
 
 @query(r"SELECT doc_id, regexp_matches(text, '(?i)\[source\s*\d+\]|\(source:\s*[^)]+\)|source\s*:\s*\S+') AS cited FROM documents")
