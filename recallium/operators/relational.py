@@ -132,7 +132,7 @@ def sync_summary(actions: DataFrame, cursor: str) -> DataFrame:
     return actions.agg(n("added"), n("updated"), n("skipped"), F.max(cursor).alias("cursor"))
 
 
-PROBE_WORDS = 3
+RUNS = "(?<![^ ])(?=([^ ]+ [^ ]+ [^ ]+))"  # each word with the two after it
 
 
 def contained_items(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, item_id: str, item_text: str) -> DataFrame:
@@ -143,18 +143,15 @@ def contained_items(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: st
     the run are searched. Shorter items (none in most sets) are held against all texts. Null texts contain nothing and
     are contained in nothing; rows repeated on either side give repeated rows.
     """
-    run = lambda w, k: F.array_join(F.slice(w, k, F.lit(PROBE_WORDS)), " ")
-    runs = lambda w, first, last: F.when(last >= first, F.transform(F.sequence(first, last), lambda k: run(w, k))).otherwise(F.array().cast("array<string>"))
     d = docs.select(F.col(doc_id).alias("_d"), F.col(doc_text).alias("_t"))
-    i = items.select(F.col(item_id).alias("_i"), F.col(item_text).alias("_b")).withColumn("_w", F.split("_b", " "))
-    of_item = runs(F.col("_w"), F.lit(2), F.size("_w") - PROBE_WORDS)
-    longest = F.array_max(F.transform(of_item, lambda r: F.struct(F.length(r).alias("n"), r.alias("key"))))["key"]
-    probed = i.filter(F.size("_w") >= PROBE_WORDS + 2).select("_i", "_b", longest.alias("_k"))
-    words = F.split("_t", " ")
-    found = d.select("_d", F.explode(F.array_distinct(runs(words, F.lit(1), F.size(words) - PROBE_WORDS + 1))).alias("_k"))
+    i = items.select(F.col(item_id).alias("_i"), F.col(item_text).alias("_b"), F.regexp_extract_all(F.col(item_text), F.lit(RUNS), F.lit(1)).alias("_w"))
+    inner = F.expr("slice(_w, 2, greatest(size(_w) - 2, 0))")
+    longest = F.array_max(F.transform(inner, lambda r: F.struct(F.length(r).alias("n"), r.alias("key"))))["key"]
+    probed = i.filter("size(_w) > 2").select("_i", "_b", longest.alias("_k"))
+    found = d.select("_d", F.explode(F.regexp_extract_all("_t", F.lit(RUNS), F.lit(1))).alias("_k"))
     hits = found.join(probed.select("_k").distinct(), "_k").distinct()
     texts = d.join(hits.withColumnRenamed("_d", "_h"), F.col("_d").eqNullSafe(F.col("_h")))
     out = texts.join(probed, "_k").filter(F.contains("_t", "_b"))
-    short = i.filter(F.size("_w") < PROBE_WORDS + 2)
+    short = i.filter("size(_w) <= 2")
     few = d.join(short, F.contains("_t", "_b"))
     return out.select("_d", "_i").unionByName(few.select("_d", "_i")).toDF(doc_id, item_id)
