@@ -23,7 +23,7 @@ from .common import Scratch
 
 CAPACITY = 4096
 END_ID = 1
-CACHE_UNITS = 900_000
+CACHE_UNITS = 200_000  # about 40 MB in a worker that later stages use again
 CELL_ROWS = 200_000
 _STATE: dict = {}
 

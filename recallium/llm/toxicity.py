@@ -24,6 +24,7 @@ MAX_TOXIC, MAX_CLEAN = 3000, 6000  # the documented bound of the training sample
 ALPHA, BETA, L1, L2, EPOCHS = 0.15, 1.0, 1.0, 0.5, 3
 _WORD = re.compile(r"[^\W\d_]+")
 STEM = 4  # letters of a word's head, a coordinate of its own: it carries over to inflected forms that training lacks
+CACHE_WORDS = 100_000  # about 20 MB in a worker that later stages use again
 _CACHE: dict[str, int] = {}
 _DENSE: dict[str, object] = {}  # a worker's last model, by coordinate
 _TABLE = {"word": np.zeros(1 << 16, np.uint64), "stem": np.zeros(1 << 16, np.uint64)}
@@ -36,7 +37,7 @@ def _hashes(text: str) -> tuple[np.ndarray, np.ndarray]:
     try:
         ids = [cache[w] for w in words]
     except KeyError:
-        if len(cache) > 500_000:
+        if len(cache) > CACHE_WORDS:
             cache.clear()
         for w in words:
             if w not in cache:
