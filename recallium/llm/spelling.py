@@ -5,7 +5,8 @@ most 90 x 90 of them, by the alphabet). One edit touches at most two bigrams of
 their order in both words; so two words one edit apart share a bigram among the three rarest of each. Its position
 then decides more than a shift of at most one: the edit lies wholly behind the bigram or wholly before it, so the
 words agree in everything up to and with it, or in everything from it on, and their lengths differ by at most one.
-Those limits are the join key; what the join finds is verified by edit distance.
+Of what is left, one edit leaves the first two letters or the last two. Those limits are the join key; what the join
+finds is verified by edit distance.
 
 Forms have at least twice the count of their word, so chains of forms are short (a logarithm of the greatest count) and
 are followed by pointer doubling.
@@ -75,12 +76,15 @@ def rarest_positions(order: dict[str, int]) -> Callable:
 def near_pairs(words: DataFrame, order: dict[str, int]) -> DataFrame:
     """Pairs (a, an, b, bn) of words that differ by one inserted, deleted or replaced code point, each once."""
     at = words.select("word", "n", F.char_length("word").alias("l"), F.explode(rarest_positions(order)("word")).alias("p"))
-    sides = F.array(F.struct(F.lit("<").alias("side"), F.expr("substring(word, 1, p + 2)").alias("same")), F.struct(F.lit(">").alias("side"), F.expr("substring(word, p + 1)").alias("same")))
-    keys = at.select("word", "n", "l", F.explode(sides).alias("k")).select("word", "n", "l", "k.side", "k.same")
-    longer = keys.select(F.col("word").alias("b"), F.col("n").alias("bn"), "l", "side", "same")
-    shorter = keys.select(F.col("word").alias("a"), F.col("n").alias("an"), F.col("l").alias("al"), F.explode(F.array("l", F.col("l") + 1)).alias("l"), "side", "same")
+    side = lambda name, same, rest: F.struct(F.lit(name).alias("side"), F.expr(same).alias("same"), F.expr(rest).alias("rest"))
+    sides = F.array(side("<", "substring(word, 1, p + 2)", "substring(word, p + 3)"), side(">", "substring(word, p + 1)", "substring(word, 1, p)"))
+    keys = at.select("word", "n", "l", F.explode(sides).alias("k")).select("word", "n", "l", "k.*").withColumn("m", F.char_length("rest"))
+    # One edit of a rest of four letters or more leaves its first two or its last two as they are.
+    ends = "array(concat('+', left(rest, 2)), concat('-', right(rest, 2)))"
+    longer = keys.select(F.col("word").alias("b"), F.col("n").alias("bn"), "l", "side", "same", F.explode(F.expr(f"case when m > 4 then {ends} when m = 4 then array_append({ends}, '') else array('') end")).alias("end"))
+    shorter = keys.select(F.col("word").alias("a"), F.col("n").alias("an"), F.col("l").alias("al"), "side", "same", F.explode(F.expr(f"if(m >= 4, {ends}, array(''))")).alias("end")).withColumn("l", F.explode(F.array("al", F.col("al") + 1)))
     one = (F.col("al") < F.col("l")) | (F.col("a") < F.col("b"))
-    pairs = shorter.join(longer, ["l", "side", "same"]).filter(one & (F.levenshtein("a", "b", 1) == 1))
+    pairs = shorter.join(longer, ["l", "side", "same", "end"]).filter(one & (F.levenshtein("a", "b", 1) == 1))
     return pairs.select("a", "an", "b", "bn").distinct()
 
 
