@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,3 +76,22 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+_HELD: dict[str, Callable[[], bool]] = {}
+
+
+def holds(name: str, clear: Callable[[], bool]) -> None:
+    """An operator's caches in a worker; ``clear`` empties them and says whether there was anything."""
+    _HELD[name] = clear
+
+
+def free_caches() -> None:
+    """Give back what earlier stages keep in this worker, which Spark uses again for later ones."""
+    if any([clear() for clear in _HELD.values()]):
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass

@@ -8,11 +8,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, shuffle_width
+from .common import Scratch, free_caches, shuffle_width
+
+MOST_NODES = 400_000
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Union-find over one partition's edges: each node that is not its tree's least becomes one edge to the least."""
+    """Union-find over a partition's edges: each node that is not its tree's least becomes one edge to the least.
+
+    At ``MOST_NODES`` nodes the forest so far is given out and another is begun, so a task's memory does not grow with
+    the partition; both forests keep what their edges connect.
+    """
+    free_caches()
     parent: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -24,15 +31,21 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = p
         return root
 
+    def edges() -> pa.RecordBatch:
+        nodes = [x for x in parent if find(x) != x]
+        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], ["u", "v"])
+
     for b in batches:
         for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             a, c = find(u), find(v)
             if a != c:
                 parent[max(a, c)] = min(a, c)
                 parent.setdefault(min(a, c), min(a, c))
-    nodes = [x for x in parent if find(x) != x]
-    if nodes:
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], ["u", "v"])
+        if len(parent) > MOST_NODES:
+            yield edges()
+            parent.clear()
+    if parent:
+        yield edges()
 
 
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:

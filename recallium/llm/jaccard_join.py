@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, shuffle_width
+from .common import free_caches, shuffle_width, Scratch
 from .components import connected_components
 
 BIN_BITS = 18
@@ -48,6 +48,7 @@ LOT_BYTES = 2 << 20  # of text that is hashed in one go
 LONG_WORD = 512
 CELL = 2048  # sets of one list that meet in a task, twice as many where two cells meet
 LINK_SETS, LINK_SHINGLES = 512, 1 << 20  # of a block of whole sets, about
+TREE_NODES = 400_000  # in a task's union-find; it starts anew beyond that
 LINK_COLUMNS = 8192  # of the matrices, at once
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -199,6 +200,7 @@ def _keys(s: np.ndarray, x: int, weight: np.ndarray, num: int, den: int) -> tupl
 
 def _count_bins(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_caches()
         bins = np.zeros(1 << BIN_BITS, np.int64)
         sizes = np.zeros(LARGEST_LIGHT + 1, np.int64)
         for b in batches:
@@ -224,6 +226,7 @@ POS_BITS = 28  # sizes and positions travel as one number: size << POS_BITS | po
 
 def _sets(n: int, shared, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_caches()
         x, weight = shared.value
         seen: set[bytes] = set()  # classes this task has given the keys of; at most its rows
         for whole in batches:
@@ -304,8 +307,11 @@ def _candidates(num: int, den: int):
     one tree are passed over. ``side`` tells the two cells of a list apart where two meet (else null).
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_caches()
         trees = _Union()
         for cell, side, sp, node, bits in _runs(batches):
+            if len(trees.parent) > TREE_NODES:  # what is forgotten costs an edge that another already implies
+                trees = _Union()
             size, label = sp >> POS_BITS, np.array([trees.find(x) for x in node.tolist()], np.int64)
             us, vs = [], []
             i = np.arange(len(cell))
@@ -464,6 +470,7 @@ def _class_of(s: np.ndarray) -> tuple[int, int]:
 def _packed_classes(n: int):
     """The sets of texts, each with its class."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_caches()
         for whole in batches:
             for lot in range(0, whole.num_rows, 512):
                 sets = list(shingle_sets(whole.slice(lot, 512).column(1), n))
@@ -572,6 +579,7 @@ def _batched(rows: Iterator[tuple[np.ndarray, np.ndarray]], names: list[str]) ->
 def _count_links(num: int, den: int):
     """Numbers of links of the sets of blocks i and j with each other."""
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        free_caches()
         for t, sets, first in _met(batches):
             n = links_within(sets, first, num, den)
             yield t["node"].to_numpy()[n > 0], n[n > 0]
@@ -582,6 +590,7 @@ def _count_links(num: int, den: int):
 def _link_forest(num: int, den: int):
     """A forest of the links of the sets of blocks i and j with each other."""
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        free_caches()
         for t, sets, first in _met(batches):
             root = forest_within(sets, first, num, den)
             node, some = t["node"].to_numpy(), np.flatnonzero(root != np.arange(len(sets)))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, holds
 
 CAPACITY = 4096
 END_ID = 1
@@ -54,6 +54,15 @@ def _encoder(path: str):
     return _STATE["tok"], _STATE["cache"]
 
 
+def _clear() -> bool:
+    held = bool(_STATE)
+    _STATE.clear()
+    return held
+
+
+holds("packing", _clear)
+
+
 def _learn(units: list[str]) -> None:
     """Put units into the cache. Runs of letters are encoded together, one string for many: the last id of each is one
     that ends a word."""

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .common import holds
+
 BITS = 20
 MAX_TOXIC, MAX_CLEAN = 3000, 6000  # the documented bound of the training sample
 ALPHA, BETA, L1, L2, EPOCHS = 0.15, 1.0, 1.0, 0.5, 3
@@ -52,6 +54,16 @@ def _hashes(text: str) -> tuple[np.ndarray, np.ndarray]:
     return _TABLE["word"][at], _TABLE["stem"][at]
 
 
+def _clear() -> bool:
+    """Forget words and model. The table of hashes is addressed by the words' numbers and starts anew with them."""
+    held = bool(_CACHE or _DENSE)
+    _CACHE.clear()
+    _DENSE.clear()
+    return held
+
+
+holds("toxicity", _clear)
+
 Model = tuple[np.ndarray, np.ndarray, float]  # coordinates, their weights, the intercept
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
