@@ -25,6 +25,27 @@ def l2_normalise(a: Column) -> Column:
     return F.when(n > 0, F.transform(a, lambda v: v.cast("double") / n)).otherwise(F.transform(a, lambda v: v.cast("double")))
 
 
+def cls_pool(tokens: Column) -> Column:
+    """The first token's vector, at length 1."""
+    return _unit(F.transform(tokens[0], lambda v: v.cast("double")))
+
+
+def mean_pool(tokens: Column, mask: Column) -> Column:
+    """The mean of the vectors of unmasked tokens (mask above 0), at length 1; zeros where all are masked.
+
+    A fold over the tokens inside the row: no explode, no shuffle.
+    """
+    weighed = F.zip_with(tokens, mask, lambda t, m: F.transform(t, lambda v: v.cast("double") * m))
+    total = F.aggregate(F.slice(weighed, 2, 1 << 30), weighed[0], lambda s, t: F.zip_with(s, t, lambda x, y: x + y))
+    count = F.greatest(F.aggregate(mask, F.lit(0.0), lambda s, m: s + m), F.lit(1.0))
+    return _unit(F.transform(total, lambda v: v / count))
+
+
+def _unit(v: Column) -> Column:
+    n = F.greatest(norm(v), F.lit(1e-12))
+    return F.transform(v, lambda x: x / n)
+
+
 def age_days(captured_at: Column, now: Column) -> Column:
     return F.greatest(F.lit(0.0), F.timestamp_diff("MICROSECOND", captured_at, now) / F.lit(86400e6))
 

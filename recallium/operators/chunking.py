@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections import deque
 from collections.abc import Iterator
+from itertools import groupby, pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,34 +25,49 @@ def sections(text: str) -> list[str]:
     return [p.strip() for p in _SECTION.split(text) if re.match(r"#{2,4}\s", p.strip())]
 
 
-def _pieces(text: str, size: int, level: int = 0) -> list[str]:
-    """Pieces of at most ``size`` characters, cut at the coarsest separator that does."""
-    if len(text) <= size:
-        return [text]
-    if level == len(_STEPS):
-        return [text[k : k + size] for k in range(0, len(text), size)]
-    out, at = [], 0
-    for m in _STEPS[level].finditer(text):
-        if m.end() > at:
-            out += _pieces(text[at : m.end()], size, level + 1)
-            at = m.end()
-    return out + (_pieces(text[at:], size, level + 1) if at < len(text) else [])
+def _parts(text: str, level: int) -> tuple[list[str], int]:
+    """``text`` cut before each match of the first separator from ``level`` on that it has; else its characters."""
+    for k in range(level, len(_STEPS)):
+        starts = [m.start() for m in _STEPS[k].finditer(text)]
+        if starts:
+            edges = [0, *starts, len(text)]
+            return [text[i:j] for i, j in pairwise(edges) if i < j], k + 1
+    return list(text), len(_STEPS) + 1
+
+
+def _merged(parts: list[str], size: int, overlap: int) -> Iterator[str]:
+    """Neighbouring parts joined up to ``size``; the next chunk begins with the last parts that ``overlap`` holds."""
+    window: deque[str] = deque()
+    total = 0
+    for p in parts:
+        if window and total + len(p) > size:
+            yield "".join(window)
+            while window and (total > overlap or total + len(p) > size):
+                total -= len(window.popleft())
+        window.append(p)
+        total += len(p)
+    if window:
+        yield "".join(window)
+
+
+def _chunks(text: str, size: int, overlap: int, level: int = 0) -> Iterator[str]:
+    parts, deeper = _parts(text, level)
+    for short, run in groupby(parts, key=lambda p: len(p) < size or deeper > len(_STEPS)):
+        if short:
+            yield from _merged(list(run), size, overlap)
+        else:
+            for p in run:
+                yield from _chunks(p, size, overlap, deeper)
 
 
 def split_recursive(text: str, size: int, overlap: int) -> list[str]:
-    """Chunks of at most ``size`` characters that cover the text, each starting with up to ``overlap`` of the one before."""
-    out: list[str] = []
-    held: list[str] = []
-    length = 0
-    for p in _pieces(text, size):
-        if held and length + len(p) > size:
-            out.append("".join(held))
-            while held and (length > overlap or length + len(p) > size):
-                length -= len(held.pop(0))
-        held.append(p)
-        length += len(p)
-    out.append("".join(held))
-    return [c.strip() for c in out if c.strip()]
+    """Chunks of at most ``size`` characters, each beginning with up to ``overlap`` of the one before.
+
+    The coarsest separator that the text has cuts it, and stays with the piece behind it; pieces of ``size`` or more are cut
+    by the finer ones, down to single characters. Pieces of one level that stand together are merged, so a long piece
+    between them ends a chunk. Chunks are stripped, and blank ones left out.
+    """
+    return [c.strip() for c in _chunks(text, size, overlap) if c.strip()] if text else []
 
 
 def parents(text: str) -> list[str]:

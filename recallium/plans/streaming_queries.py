@@ -10,6 +10,7 @@ from recallium.plans.adapters import table
 from recallium.plans.catalog import query
 from recallium.session import shared_dir
 from recallium.streaming import streams as S
+from recallium.streaming.replay import run_to_end
 
 
 @query("SELECT event_id, count(*) OVER w AS in_window, count(*) OVER w > 3 AS limited FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 3600 SECOND PRECEDING AND CURRENT ROW)")
@@ -38,6 +39,5 @@ def stream_counts(spark, d):
     base = f"{shared_dir(spark)}/recallium/stream-{uuid.uuid4().hex}"
     schema = table(spark, d, "events").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
-    run = source.select("event_type").writeStream.format("parquet").option("checkpointLocation", f"{base}/check").option("path", f"{base}/out").trigger(availableNow=True).start()
-    run.awaitTermination(600)
+    run_to_end(source.select("event_type"), f"{base}/check", f"{base}/out")
     return spark.read.schema("event_type string").parquet(f"{base}/out").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))

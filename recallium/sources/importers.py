@@ -57,10 +57,15 @@ def _first(c: Column, *paths: str) -> Column:
     return F.coalesce(*[F.when(_j(c, f"$.{p}") != "", _j(c, f"$.{p}")) for p in paths])
 
 
+def _text_part(p: Column) -> Column:
+    """A part that is a string, stripped; images, files, numbers and nulls are no text."""
+    return F.when(F.schema_of_variant(p) == "STRING", F.regexp_replace(F.variant_get(p, "$", "string"), r"(?U)^\s+|\s+$", ""))
+
+
 def _chatgpt(e: Column) -> dict[str, Column]:
     nodes = F.map_values(F.from_json(_j(e, "$.mapping"), "map<string,string>"))
     turns = F.transform(nodes, lambda n, i: F.struct(F.coalesce(_j(n, "$.message.create_time").try_cast("double"), F.lit(0.0)).alias("ts"), i.alias("pos"), _j(n, "$.message.author.role").alias("role"),
-                        F.array_join(F.filter(F.transform(F.from_json(_j(n, "$.message.content.parts"), "array<string>"), lambda p: F.trim(p)), lambda p: p.isNotNull() & (p != "")), "\n").alias("text")))
+                        F.array_join(F.filter(F.transform(F.from_json(_j(n, "$.message.content.parts"), "array<variant>"), _text_part), lambda p: p.isNotNull() & (p != "")), "\n").alias("text")))
     kept = F.array_sort(F.filter(turns, lambda t: t["role"].isin("user", "assistant") & (F.coalesce(t["text"], F.lit("")) != "")))
     text = F.array_join(F.transform(kept, lambda t: F.concat(F.when(t["role"] == "user", "User: ").otherwise("Assistant: "), t["text"])), "\n\n")
     return {"title": F.coalesce(clip(_j(e, "$.title"), 500), F.lit("Untitled ChatGPT conversation")), "content": text, "source_ref": clip(_j(e, "$.id"), 500), "created": _j(e, "$.create_time"), "tags": F.array(F.lit("chatgpt"))}
