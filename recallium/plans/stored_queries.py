@@ -86,7 +86,7 @@ def bm25_indexed(spark, d):
     return index.search(spark.createDataFrame(_QUERIES, "query_id int, text string"), 20)
 
 
-_MENTIONS = ("m AS (SELECT CASE WHEN c_custkey % 3 = 0 THEN 'a' ELSE 'b' END AS user_id, o_orderkey AS memory_id, o_orderpriority AS name, lower(o_orderpriority) AS k, o_totalprice / 1e6 AS salience, o_orderdate AS at, o_orderstatus = 'F' AS one, c_mktsegment AS seg "
+_MENTIONS = ("m AS (SELECT CASE WHEN c_custkey % 3 = 0 THEN 'a' ELSE 'b' END AS user_id, o_orderkey AS memory_id, o_orderpriority AS name, lower(o_orderpriority) AS k, o_totalprice / 1e6 AS salience, o_orderdate AS seen, o_orderstatus = 'F' AS one, c_mktsegment AS seg "
              "FROM orders JOIN customer ON c_custkey = o_custkey)")
 
 
@@ -100,14 +100,14 @@ def _graph(spark, d):
     return store
 
 
-@query(f"WITH {_MENTIONS} SELECT user_id, k AS name, count(*) AS mention_count, min(at)::TIMESTAMP AS first_seen, max(at)::TIMESTAMP AS last_seen FROM m GROUP BY 1, 2")
+@query(f"WITH {_MENTIONS} SELECT user_id, k AS name, count(*) AS mention_count, min(seen)::TIMESTAMP AS first_seen, max(seen)::TIMESTAMP AS last_seen FROM m GROUP BY 1, 2")
 def graph_store_entities(spark, d):
     """Two batches of mentions, the second one given twice, merged into stored entities."""
     e = _graph(spark, d).entities.read()
     return e.select("user_id", "name", "mention_count", F.col("first_seen").cast("timestamp_ntz").alias("first_seen"), F.col("last_seen").cast("timestamp_ntz").alias("last_seen"))
 
 
-@query(f"WITH {_MENTIONS} SELECT user_id, k AS source, lower(seg) AS target, round(max(salience), 6) AS weight, count(*) AS evidence_count, arg_max(at, memory_id) FILTER (one = last2)::TIMESTAMP AS last_evidence FROM (SELECT *, bool_and(one) OVER (PARTITION BY user_id, k, seg) AS last2 FROM m) GROUP BY 1, 2, 3")
+@query(f"WITH {_MENTIONS} SELECT user_id, k AS source, lower(seg) AS target, round(max(salience), 6) AS weight, count(*) AS evidence_count, arg_max(seen, memory_id) FILTER (one = last2)::TIMESTAMP AS last_evidence FROM (SELECT *, bool_and(one) OVER (PARTITION BY user_id, k, seg) AS last2 FROM m) GROUP BY 1, 2, 3")
 def graph_store_relations(spark, d):
     """Relations over the same batches: the last evidence is that of the later batch's last memory."""
     r = _graph(spark, d).relations.read()
