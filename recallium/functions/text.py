@@ -182,6 +182,12 @@ def cache_key(*parts: str) -> str:
     return hashlib.sha256("".join(f"{len(p)}:{p}" for p in parts).encode()).hexdigest()
 
 
+def cache_key_of(*parts: Column) -> Column:
+    """``cache_key`` of each row; a null part is empty. Lengths are in characters."""
+    text = [F.coalesce(p.cast("string"), F.lit("")) for p in parts]
+    return F.sha2(F.concat(*[F.concat(F.length(t).cast("string"), F.lit(":"), t) for t in text]), 256)
+
+
 def benchmark_date(c: Column) -> Column:
     """Dates like ``2023/05/20 (Sat) 02:21``; malformed ones are null."""
     g = lambda k: F.regexp_extract(c, r"^(\d{4})[/-](\d{2})[/-](\d{2})(?:\s*\([A-Za-z]+\))?\s+(\d{2}):(\d{2})", k)

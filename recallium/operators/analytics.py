@@ -69,7 +69,7 @@ def budget_alert(costs: DataFrame, budget: float) -> DataFrame:
 
 
 def experiment_results(assignments: DataFrame, metrics: DataFrame) -> DataFrame:
-    """Per variant and metric: users, count, total, mean and 95th percentile."""
+    """Per variant and metric: users, count, total and mean."""
     users = assignments.groupBy("variant").agg(F.countDistinct("user_id").alias("users"))
     m = metrics.join(assignments, "user_id").groupBy("variant", "metric").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("total"), F.round(F.avg("value"), 6).alias("mean"))
     return m.join(users, "variant")
@@ -147,6 +147,11 @@ def graph_metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
                                          F.when(F.col("nodes") > 1, F.round(2 * F.col("edges") / (F.col("nodes") * (F.col("nodes") - 1)), 9)).otherwise(0.0).alias("density"))
 
 
+def edge_types(edges: DataFrame, kind: str = "relation") -> DataFrame:
+    """Edges and mean weight per type; edges without a type count as ``related``."""
+    return edges.groupBy(F.coalesce(kind, F.lit("related")).alias("relation")).agg(F.count(F.lit(1)).alias("edges"), F.round(F.avg("weight"), 6).alias("mean_weight"))
+
+
 def quota_replay(requests: DataFrame, limit: int, when: str = "ts", order: str = "event_id") -> DataFrame:
     """Requests in order against a daily limit per user: which are granted."""
     return requests.withColumn("granted", F.expr(f"row_number() over (partition by user_id, to_date({when}) order by {when}, {order}) <= {limit}"))

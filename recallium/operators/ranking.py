@@ -33,12 +33,14 @@ def vector_top_k_by_id(points: DataFrame, query_ids: list[int], k: int, id_col:
 
 
 def vector_top_k_where(points: DataFrame, wanted: Column, k: int, id_col: str, vector_col: str, label_col: str | None = None, block: int = 256) -> DataFrame:
-    """``vector_top_k_by_id`` for all rows that ``wanted`` holds for, however many, in blocks of about ``block`` queries."""
-    blocks = max(1, -(-points.filter(wanted).count() // block))
-    out = _nearest(points, wanted & (F.pmod(F.xxhash64(id_col), F.lit(blocks)) == 0), k, id_col, vector_col, label_col)
-    for b in range(1, blocks):
-        out = out.unionByName(_nearest(points, wanted & (F.pmod(F.xxhash64(id_col), F.lit(blocks)) == b), k, id_col, vector_col, label_col))
-    return out
+    """``vector_top_k_by_id`` for all rows that ``wanted`` holds for, however many: one plan, in which parts of the rows meet
+    blocks of about ``block`` queries by an equi-join."""
+    from recallium.operators.vector_index import exact_nearest
+
+    asked = points.filter(wanted)
+    best = exact_nearest(points.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector")), asked.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("q")), k, block=block)
+    out = points.drop(vector_col).join(best.withColumnRenamed("id", id_col), id_col)
+    return out.join(asked.select(F.col(id_col).alias("query_id"), F.col(label_col).alias("query_label")), "query_id") if label_col else out
 
 
 def _nearest(points: DataFrame, wanted: Column, k: int, id_col: str, vector_col: str, label_col: str | None) -> DataFrame:

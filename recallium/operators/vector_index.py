@@ -109,15 +109,15 @@ class VectorIndex:
         return nearest_by_cell(points.filter(where) if where is not None else points, asked, k, itself)
 
 
-def exact_nearest(points: DataFrame, asked: DataFrame, k: int, itself: bool = False) -> DataFrame:
+def exact_nearest(points: DataFrame, asked: DataFrame, k: int, itself: bool = False, block: int | None = None) -> DataFrame:
     """All rows (id, vector) against all queries (query_id, q), block by block: the brute-force search."""
-    return nearest_by_cell(points.withColumn("cell", F.lit(0)), asked.withColumn("cell", F.lit(0)), k, itself)
+    return nearest_by_cell(points.withColumn("cell", F.lit(0)), asked.withColumn("cell", F.lit(0)), k, itself, block)
 
 
-def nearest_by_cell(points: DataFrame, asked: DataFrame, k: int, itself: bool = False) -> DataFrame:
+def nearest_by_cell(points: DataFrame, asked: DataFrame, k: int, itself: bool = False, block: int | None = None) -> DataFrame:
     """Rows and queries of equal ``cell`` meet, a part of at most about PART_ROWS with a block of about BLOCK_QUERIES at a time."""
     sizes = points.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).selectExpr("cell", f"cast(ceil(n / {PART_ROWS}) as int) as parts")
-    loads = asked.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).selectExpr("cell", f"cast(ceil(n / {BLOCK_QUERIES}) as int) as blocks")
+    loads = asked.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).selectExpr("cell", f"cast(ceil(n / {block or BLOCK_QUERIES}) as int) as blocks")
     plan = sizes.join(loads, "cell")  # a row per cell
     p = points.select("id", "vector", "cell").join(plan, "cell").withColumn("part", F.expr("cast(pmod(xxhash64(id), parts) as int)")).withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)")))
     q = asked.select("query_id", "q", "cell").join(plan, "cell").withColumn("block", F.expr("cast(pmod(xxhash64(query_id), blocks) as int)")).withColumn("part", F.explode(F.expr("sequence(0, parts - 1)")))

@@ -22,4 +22,4 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
-from recallium.plans import aggregate_queries, filter_queries, further_queries, graph_queries, ranking_queries, relation_queries, source_queries, stored_queries, streaming_queries  # noqa: E402, F401
+from recallium.plans import aggregate_queries, filter_queries, further_queries, graph_queries, ranking_queries, relation_queries, source_queries, stored_queries, streaming_queries, whole_queries  # noqa: E402, F401

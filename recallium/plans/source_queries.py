@@ -130,8 +130,8 @@ def web_clips(spark, d):
 
 @query("SELECT regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1) AS host, least(count(DISTINCT url), 100) AS n FROM pages GROUP BY 1")
 def url_lists(spark, d):
-    p = table(spark, d, "pages").withColumn("host", C.page_host(F.col("url")))
-    g = p.groupBy("host").agg(F.collect_set("url").alias("u"))
+    first = table(spark, d, "pages").select(C.page_host(F.col("url")).alias("host"), "url").distinct().withColumn("_n", F.expr("row_number() over (partition by host order by url)")).filter("_n <= 100")
+    g = first.groupBy("host").agg(F.collect_set("url").alias("u"))  # 100 at most
     return g.select("host", F.size(C.clean_urls(F.concat("u", "u", F.array(F.lit("ftp://x"))))).cast("long").alias("n"))
 
 

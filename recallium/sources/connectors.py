@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import base64
+import io
 import json
 import re
+import zipfile
 from collections import Counter
 from html.parser import HTMLParser
 from typing import Any
 from urllib.parse import urlsplit
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +19,9 @@ from pyspark.sql import functions as F
 
 PAGE_CAP = 50_000
 FILE_CAP = 5 * 1024 * 1024
+#: Where pages state their date, in order.
+PUBLISHED = ("article:published_time", "og:published_time", "date", "DC.date.issued", "pubdate")
+FILE_MARK = "\n\n[... truncated: file exceeds 5MB]"
 _DROP = {"script", "style", "noscript", "nav", "header", "footer", "aside"}
 _BLOCKS = {"h1", "h2", "h3", "h4", "p", "li", "blockquote", "pre"}
 #: How a drive's own documents are exported.
@@ -40,12 +46,18 @@ class _Clip(HTMLParser):
         self.open: list[str] = []
         self.found: dict[str, list[str]] = {"article": [], "main": [], "body": []}
         self.whole: dict[str, list[str]] = {"article": [], "main": [], "body": []}
-        self.title, self.date = "", None
+        self.title = ""
+        self.dates: dict[str, str] = {}
+        self.seen: Counter[str] = Counter()  # of outermost articles and mains, of which only the first counts
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         a = dict(attrs)
-        if tag == "meta" and (a.get("property") or a.get("name")) in ("article:published_time", "date", "pubdate") and not self.date:
-            self.date = a.get("content")
+        if tag == "meta" and a.get("content"):
+            for name in (a.get("property"), a.get("name")):
+                if name in PUBLISHED:
+                    self.dates.setdefault(name, a["content"])
+        if tag in ("article", "main") and not self.count[tag]:
+            self.seen[tag] += 1
         if tag not in _VOID:
             self._mark(tag, 1)
             self.stack.append(tag)
@@ -68,7 +80,7 @@ class _Clip(HTMLParser):
                     self.whole[k].append(text)
 
     def _places(self) -> list[str]:
-        return [*(k for k in ("article", "main") if self.count[k]), "body"]
+        return [*(k for k in ("article", "main") if self.count[k] and self.seen[k] == 1), "body"]
 
     def _mark(self, tag: str, by: int) -> None:
         if tag in _BLOCKS or tag in ("article", "main"):
@@ -78,14 +90,17 @@ class _Clip(HTMLParser):
         self.blocks += by * (tag in _BLOCKS)
 
     def _flush(self) -> None:
-        if text := " ".join("".join(self.open).split()):
+        if text := " ".join(t for x in self.open if (t := " ".join(x.split()))):
             for k in self._places():
                 self.found[k].append(text)
         self.open = []
 
 
 def clip_page(html: str | None, url: str | None) -> tuple[str, str, str | None]:
-    """(title or host, text, date); a text of more than ``PAGE_CAP`` characters is cut and says so."""
+    """(title or host, text, date) of the first article, else the first main, else the body. A title is cut at 500
+    characters; a text of more than ``PAGE_CAP`` characters is cut and says so. Inline pieces of a block are joined by a
+    blank. The date is that of the first name of ``PUBLISHED`` that the page has; a page without text has an empty one.
+    """
     p = _Clip()
     p.feed(html or "")
     p.close()
@@ -93,7 +108,13 @@ def clip_page(html: str | None, url: str | None) -> tuple[str, str, str | None]:
     text = next((t for k in ("article", "main", "body") if (t := "\n\n".join(p.found[k]) or " ".join(p.whole[k]))), "")
     if len(text) > PAGE_CAP:
         text = text[:PAGE_CAP] + f"\n\n[truncated at {PAGE_CAP} chars]"
-    return " ".join(p.title.split()) or urlsplit(url or "").netloc, text, p.date
+    title = " ".join(p.title.split()) or urlsplit(url or "").netloc or url or ""
+    return title[:500], text, next((p.dates[n] for n in PUBLISHED if n in p.dates), None)
+
+
+def pages_without_text(clips: DataFrame) -> DataFrame:
+    """Clips that are errors of their own: nothing could be extracted. The others are not held up by them."""
+    return clips.filter(F.coalesce("content", F.lit("")) == "").withColumn("error", F.lit("No extractable text content on page"))
 
 
 def web_clips(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -229,6 +250,47 @@ def file_text(content: Column) -> Column:
     return F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(F.decode(content, "ISO-8859-1"))
 
 
+def capped_file_text(content: Column, cap: int = FILE_CAP) -> Column:
+    """``file_text`` of at most ``cap`` characters; a longer text is cut and says so."""
+    text = file_text(content)
+    return F.when(F.length(text) > cap, F.concat(F.left(text, F.lit(cap)), F.lit(FILE_MARK))).otherwise(text)
+
+
+_W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+#: The Markdown of a word processor's headings.
+_LEVELS = {"Heading 1": "## ", "Heading 2": "### ", "Heading 3": "#### "}
+
+
+def docx_markdown(data: bytes | None) -> str | None:
+    """Paragraphs of a word-processor file, headings as Markdown, blank ones left out; null for what is no such file."""
+    try:
+        with zipfile.ZipFile(io.BytesIO(data or b"")) as z:
+            body = ElementTree.fromstring(z.read("word/document.xml"))
+            styles = ElementTree.fromstring(z.read("word/styles.xml")) if "word/styles.xml" in z.namelist() else ElementTree.Element("none")
+    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
+        return None
+    names = {s.get(f"{_W}styleId"): n.get(f"{_W}val", "") for s in styles.iter(f"{_W}style") if (n := s.find(f"{_W}name")) is not None}
+    marks = {tag: mark for tag, mark in ((f"{_W}tab", "\t"), (f"{_W}br", "\n"), (f"{_W}cr", "\n"))}
+    out = []
+    for p in body.iter(f"{_W}p"):
+        text = "".join(x.text or "" if x.tag == f"{_W}t" else marks.get(x.tag, "") for r in p.iter(f"{_W}r") for x in r).strip()
+        style = p.find(f"{_W}pPr/{_W}pStyle")
+        name = names.get(style.get(f"{_W}val"), "") if style is not None else ""
+        if text:
+            out.append(next((m for k, m in _LEVELS.items() if k.lower() in name.lower()), "") + text)
+    return "\n\n".join(out)
+
+
+def document_text(files: DataFrame, content: str = "content", mime: str = "mime") -> DataFrame:
+    """``files`` with their ``text``: word-processor files parsed in Arrow batches, all others decoded where they are."""
+    @F.pandas_udf("string")
+    def parsed(data: pd.Series) -> pd.Series:
+        return data.map(docx_markdown)
+
+    word = F.lower(F.coalesce(mime, F.lit(""))).rlike("wordprocessingml|docx")
+    return files.withColumn("text", F.when(word, parsed(F.when(word, F.col(content)))).otherwise(file_text(F.col(content))))
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """Files of a folder with their text, time and first sixteen digits of their digest."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
@@ -274,7 +336,31 @@ def document_memories(docs: DataFrame, passages: DataFrame, suppressed: DataFram
 
 
 def write_report(df: DataFrame, path: str) -> None:
-    df.coalesce(1).write.mode("overwrite").json(path)
+    """One JSON object per row, written by all tasks."""
+    df.write.mode("overwrite").json(path)
+
+
+def evaluation_report(cases: DataFrame, generated_at: str) -> DataFrame:
+    """The Markdown report of an evaluation as lines (part, id, line): order by part, then id, to read it.
+
+    ``cases`` has id, category, passed, source_hit, keyword_coverage, has_citation, fallback_accuracy, hallucination,
+    corrected, latency_ms, sources. The summary is one aggregate; each case gives its own line where it is, and cases that
+    did not pass are listed again at the end.
+    """
+    pct = lambda c: F.concat(F.format_string("%.1f", c.cast("double") * 100), F.lit("%"))
+    ms = lambda c: F.concat(F.format_string("%.1f", c.cast("double")), F.lit(" ms"))
+    mean = lambda c: F.coalesce(F.avg(F.col(c).cast("double")), F.lit(0.0))
+    s = cases.agg(F.count(F.lit(1)).alias("n"), F.count_if("passed").alias("ok"), *[mean(c).alias(c) for c in ("source_hit", "keyword_coverage", "has_citation", "fallback_accuracy", "hallucination", "corrected", "latency_ms")])
+    rows = [("Total cases", F.col("n").cast("string")), ("Passed cases", F.col("ok").cast("string")), ("Failed cases", (F.col("n") - F.col("ok")).cast("string")), ("Source hit rate", pct(F.col("source_hit"))), ("Keyword coverage", pct(F.col("keyword_coverage"))), ("Citation rate", pct(F.col("has_citation"))),
+            ("Fallback accuracy", pct(F.col("fallback_accuracy"))), ("Hallucination flag rate", pct(F.col("hallucination"))), ("Correction rate", pct(F.col("corrected"))), ("Average latency", ms(F.col("latency_ms")))]
+    head = [F.lit("# Evaluation Report"), F.lit(""), F.lit(f"Generated at: `{generated_at}`"), F.lit(""), F.lit("## Summary"), F.lit(""), F.lit("| Metric | Value |"), F.lit("|---|---:|"), *[F.concat(F.lit(f"| {k} | "), v, F.lit(" |")) for k, v in rows],
+            F.lit(""), F.lit("## Per-case Results"), F.lit(""), F.lit("| Status | ID | Category | Source hit | Keyword coverage | Citation | Fallback OK | Latency | Sources |"), F.lit("|---|---|---|---:|---:|---|---|---:|---|")]
+    top = s.select(F.posexplode(F.array(*head)).alias("id", "line")).select(F.lit(0).alias("part"), F.col("id").cast("long").alias("id"), "line")
+    yes = lambda c: F.when(c, "yes").otherwise("no")
+    sources = F.coalesce(F.nullif(F.array_join("sources", ", "), F.lit("")), F.lit("—"))
+    each = cases.select(F.lit(1).alias("part"), F.col("id").cast("long").alias("id"), F.concat(F.lit("| "), F.concat_ws(" | ", F.when(F.col("passed"), "✅").otherwise("⚠️"), "id", "category", pct(F.col("source_hit")), pct(F.col("keyword_coverage")), yes(F.col("has_citation")), yes(F.col("fallback_accuracy") == 1.0), ms(F.col("latency_ms")), sources), F.lit(" |")).alias("line"))
+    failed = cases.filter(~F.col("passed")).select(F.lit(2).alias("part"), F.col("id").cast("long").alias("id"), F.concat(F.lit("- "), "id", F.lit(" ("), "category", F.lit(")")).alias("line"))
+    return top.unionByName(each).unionByName(failed)
 
 
 def markdown_report(df: DataFrame) -> Column:
