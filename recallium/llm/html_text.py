@@ -26,6 +26,10 @@ el los las y del se por con una su para es al lo como más pero sus o este sí p
 """.split())
 LENGTH_LOW, LENGTH_HIGH = 70, 200
 STOP_LOW, LINKS_MOST = 0.2, 0.3
+LINKS_MOST_MAIN = 0.65  # inside an article, whose paragraphs may cite
+STOP_KNOWN = 0.05  # below this share over the page's text, its language is none that the stop words know
+_WORD = re.compile(r"[^\W\d_]+")
+_RIGHTS = re.compile(r"(?:©|\(c\)|copyright\b)", re.I)
 RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "title", "object", "math", "audio", "video", "canvas", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr", "param"}
 BLOCK = {"address", "article", "aside", "blockquote", "body", "button", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "option", "p", "pre", "search", "section", "select", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
@@ -33,12 +37,20 @@ PLAIN_BAD = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "sele
 ROLE_BAD = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form"}
 NAME_BAD = {"ad", "ads", "adv", "nav", "menu", "footer", "header", "masthead", "topbar", "toolbar", "share", "sharing", "social", "related", "widget", "pager", "login", "search", "copyright", "legal", "hidden", "popup", "modal", "overlay", "gdpr", "notice", "notices", "alert", "reply", "replies", "respond", "disqus", "tags", "meta", "skip", "signup", "subscribe", "outbrain", "taboola", "recommended"}
 NAME_BAD_HEADS = ("advert", "sponsor", "promo", "banner", "cookie", "consent", "newsletter", "comment", "sidebar", "breadcrumb", "navbar", "navigation", "pagination", "subnav", "disclaimer", "subscri")
+#: What stands beside such a word when the name is of a part of the page, not of a subject (``social-history``).
+NAME_PLAIN = {"area", "bar", "block", "body", "bottom", "box", "btn", "button", "buttons", "container", "group", "icons", "inner", "item", "items", "left", "link", "links", "list", "main", "nav", "outer", "page", "panel", "posts", "right", "row", "section", "site", "slot", "top", "unit", "wrap", "wrapper", "zone"}
 NAME_MAIN = {"article", "main", "content", "post", "story", "entry"}
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:"[^"]*"|'[^']*'|[^>"'])*+)(?:>|\Z)|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""(class|id|role|style|aria-hidden|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?(?=[\s/>]|\Z)""", re.I)
 
 
+def _names_bad(words: list[str]) -> bool:
+    """Whether one class or id names a part beside the text: its last word does, or its words do but for plain ones."""
+    bad = [w in NAME_BAD or w.startswith(NAME_BAD_HEADS) for w in words]
+    return any(bad) and (bad[-1] or all(b or w in NAME_PLAIN for b, w in zip(bad, words, strict=True)) or any(w.startswith(NAME_BAD_HEADS) for w in words))
+
+
 def _hint(name: str, attrs: str, in_main: bool) -> tuple[str, str]:
     """What an element says of itself, and ``article``, ``main`` or ``form`` if it is one. The first is ``bad``; ``soft`` (bad by a
     name or as a form, unless what it holds says otherwise); ``main``; ``header`` (of an article: only its headings
@@ -59,12 +71,13 @@ def _hint(name: str, attrs: str, in_main: bool) -> tuple[str, str]:
             form = form or value == "form"
             region = value if value in ("main", "article") else region
         elif key in ("class", "id") and name not in ("html", "body"):
-            words = re.findall(r"[a-z]+", value)
-            named = named or any(w in NAME_BAD or w.startswith(NAME_BAD_HEADS) for w in words)
-            named_main = named_main or any(w in NAME_MAIN for w in words)
+            for token in value.split():
+                words = re.findall(r"[a-z]+", token)
+                named = named or _names_bad(words)
+                named_main = named_main or any(w in NAME_MAIN for w in words)
     if region == "main" or (region and (named_main or not named)):
         return "main", region
-    if named or form:
+    if (named and not (in_main and name in TEXT_LEVEL)) or form:
         return "soft", region or ("form" if form else "")
     return ("main" if named_main and name in ("div", "section", "td") else ""), ""
 
@@ -156,6 +169,7 @@ class _Open:
         self.pop()
 
 
+TEXT_LEVEL = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "td", "th", "dd", "dt", "span", "em", "strong", "b", "i", "a", "table", "figure", "figcaption"}  # an article's own text, whatever its class
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 
 
@@ -163,6 +177,7 @@ def blocks(html: str) -> list[dict]:
     """Blocks in page order: text, characters in links, hint, container, heading; in time linear in the page."""
     out: list[dict] = []
     up = _Open()
+    ends: dict[str, re.Match | None] = {}  # the next end tag of each raw element, looked for once
     text: list[str] = []
     link_chars = n_containers = at = 0
 
@@ -195,7 +210,9 @@ def blocks(html: str) -> list[dict]:
         end, attrs = m["end"] or m["end2"], m["attrs"] or m["attrs2"] or ""
         if name in RAW:
             if not end and not attrs.endswith("/"):
-                close = _closing(name).search(html, at)
+                if name not in ends or ((found := ends[name]) is not None and found.start() < at):
+                    ends[name] = _closing(name).search(html, at)
+                close = ends[name]
                 at = close.end() if close else (len(html) if name in ("script", "style") else at)
             continue
         if name == "br":
@@ -260,20 +277,23 @@ def _nearest(found: list[dict], first: list[str], step: int) -> list[tuple[int,
 
 def classify_blocks(found: list[dict]) -> list[bool]:
     """Pass one: ``good``, ``bad`` or undecided (``near`` for plain, ``short`` for short). Pass two: neighbours decide."""
+    counted = [_WORD.findall(b["text"].lower()) for b in found]
+    stops = [sum(w in STOP_WORDS for w in words) for words in counted]
+    held = [k for k, b in enumerate(found) if not b["bad"]]
+    known = sum(stops[k] for k in held) >= STOP_KNOWN * sum(len(counted[k]) for k in held)
     first = []
-    for b in found:
+    for b, words, n in zip(found, counted, stops, strict=True):
         size = len(b["text"])
         density = b["links"] / max(1, size)
-        words = b["text"].lower().split()
-        stops = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
-        if b["bad"] or density > LINKS_MOST:
+        dense = n >= STOP_LOW * max(1, len(words)) if known else size > LENGTH_HIGH
+        if b["bad"] or density > (LINKS_MOST_MAIN if b["in"] else LINKS_MOST) or (not b["in"] and size < LENGTH_LOW and _RIGHTS.match(b["text"])):
             first.append("bad")
         elif b["heading"] or size < LENGTH_LOW:
             first.append("short")
-        elif stops >= STOP_LOW:
+        elif dense:
             first.append("good" if size > LENGTH_HIGH or b["in"] else "near")
         else:
-            first.append("near" if b["in"] or size > LENGTH_HIGH else "bad")
+            first.append("near")
     has_main = any(b["in"] and f in ("good", "near") for b, f in zip(found, first, strict=True))
     good, some_good = [f == "good" for f in first], "good" in first
     before, after = _nearest(found, first, -1), _nearest(found, first, 1)
