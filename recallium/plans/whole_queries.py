@@ -61,7 +61,7 @@ def url_list_items(spark, d):
     return p.withColumn("_n", F.expr("row_number() over (partition by host order by url)")).filter("_n <= 100").drop("_n")
 
 
-@query("SELECT doc_id::VARCHAR AS source_ref, left(trim('[' || lang || '] ' || left(trim(text, ' '), 120), ' '), 500) AS title FROM documents")
+@query("SELECT doc_id::VARCHAR AS source_ref, left(trim('[' || lang || '] ' || left(trim(text, ' '), 120), ' ' || chr(9) || chr(10) || chr(13)), 500) AS title FROM documents")
 def import_pam_titles(spark, d):
     """The operator's own titles."""
     f = table(spark, d, "documents").selectExpr("""concat('{"schema":"portable-ai-memory","memories":[', to_json(named_struct('id', cast(doc_id as string), 'type', lang, 'content', text, 'provenance', 'text')), ']}') as value""")
