@@ -1,8 +1,9 @@
 """Language-model scoring over a subword lattice (op 2).
 
-The vocabulary is that of an existing tokenizer. It holds merge ranks, no log-probabilities, so a piece's score is its
-add-one share of all pieces of the training texts, words counted as often as they occur, with the end of a text as one
-more piece. A word's probability is summed over all its segmentations into pieces, by a forward recursion in log space;
+The vocabulary is that of an existing tokenizer. It holds merge ranks, no log-probabilities, so the scores are fitted
+here, on the lattice: beginning with the counts of the tokenizer's own pieces, a round sums over all training words how
+often each piece is expected to occur in them (forward and backward sums over all segmentations, times the word's
+count), and a piece's score is its add-one share of those, with the end of a text as one more piece. A word's probability is summed over all its segmentations into pieces, by a forward recursion in log space;
 no piece spans two words, so a document's lattice is the chain of its words' lattices and an end, and its marginal
 probability, ``score``, is their product. ``mixed_score`` is another model beside it: words seen in training have their
 counts, and the lattice spells the others (Witten-Bell weights).
@@ -24,8 +25,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, shuffle_width
 
+ROUNDS = 3  # of expected counts
+GRAIN = 1 << 20  # expected counts are summed as whole multiples of this part, so that no order of summation shows
+WORDS_A_TASK = 100_000
+PLAIN_LETTERS = 24  # words up to this length are summed as they are, longer ones as logarithms
 BLOCK_BYTES = 24 << 20  # of text behind one block's dictionary
 _STATE: dict = {}
 
@@ -108,7 +113,7 @@ def _count_pieces(path: str):
     return run
 
 
-def piece_weights(path: str, counts: dict[int, int], ends: int) -> tuple[dict[str, float], list[float], int]:
+def piece_weights(path: str, counts: dict[int, float], ends: int) -> tuple[dict[str, float], list[float], int]:
     """Natural-log weights of all ordinary pieces and of the byte pieces, add-one smoothed beside ``ends`` ends of texts;
     the longest piece."""
     sp = _processor(path)
@@ -123,41 +128,144 @@ def piece_weights(path: str, counts: dict[int, int], ends: int) -> tuple[dict[st
     return pieces, of_byte, max(map(len, pieces))
 
 
-def _mass(sp, counts: dict[int, int], ends: int) -> int:
+def _mass(sp, counts: dict[int, float], ends: int) -> float:
     return sum(counts.values()) + sp.get_piece_size() + ends + 1
 
 
-def end_weight(path: str, counts: dict[int, int], ends: int) -> float:
+def end_weight(path: str, counts: dict[int, float], ends: int) -> float:
     return log((ends + 1) / _mass(_processor(path), counts, ends))
 
 
-def word_log_probability(word: str, pieces: dict[str, float], of_byte: list[float], longest: int) -> float:
-    """Forward recursion: the log of the summed weights of all segmentations of the word, begun by the word mark."""
-    s = "▁" + word
-    n = len(s)
-    alpha: list[float | None] = [None] * (n + 1)
-    alpha[0] = 0.0
-    get = pieces.get
-    for i in range(n):
-        here = alpha[i]
-        for j in range(i + 1, min(n, i + longest) + 1):
-            w = get(s[i:j])
-            if w is None:
-                if j > i + 1:
-                    continue
-                w = sum(of_byte[x] for x in s[i].encode("utf-8", "surrogatepass"))  # a character outside the vocabulary
-            w += here
+class Lattice:
+    """Sums over all segmentations of words, for one set of weights."""
+
+    def __init__(self, pieces: dict[str, float], of_byte: list[float], longest: int):
+        self.log, self.of_byte, self.longest = pieces, of_byte, longest
+        self.plain = {k: exp(v) for k, v in pieces.items()}
+
+    def edges(self, s: str, weight: dict[str, float]) -> list[list[tuple[int, str, float | None]]]:
+        """Per place, (end, piece, weight) of the pieces that begin there; a character outside the vocabulary has no weight yet."""
+        n, get = len(s), weight.get
+        out = []
+        for i in range(n):
+            here = []
+            for j in range(i + 1, min(n, i + self.longest) + 1):
+                w = get(s[i:j])
+                if w is not None or j == i + 1:
+                    here.append((j, s[i:j], w))
+            out.append(here)
+        return out
+
+    def spelled(self, char: str) -> float:
+        return sum(self.of_byte[x] for x in char.encode("utf-8", "surrogatepass"))
+
+    def log_probability(self, word: str) -> float:
+        """The log of the summed weights of all segmentations of the word, begun by the word mark."""
+        s = "▁" + word
+        if len(s) <= PLAIN_LETTERS:
+            total = self._forward(self._weighed(s))[-1]
+            if total > 1e-280:
+                return log(total)
+        return _log_sums([[(j, w if w is not None else self.spelled(p)) for j, p, w in here] for here in self.edges(s, self.log)])[-1]
+
+    def _weighed(self, s: str) -> list[list[tuple[int, str, float]]]:
+        return [[(j, p, w if w is not None else exp(self.spelled(p))) for j, p, w in here] for here in self.edges(s, self.plain)]
+
+    @staticmethod
+    def _forward(edges: list[list[tuple[int, str, float]]]) -> list[float]:
+        alpha = [1.0] + [0.0] * len(edges)
+        for a, here in zip(alpha, edges, strict=False):  # grows as it is read
+            for j, _, w in here:
+                alpha[j] += a * w
+        return alpha
+
+    def expected(self, word: str) -> list[tuple[str, float]]:
+        """(piece, how often it is expected in the word); a piece may come more than once."""
+        s = "▁" + word
+        n = len(s)
+        if n <= PLAIN_LETTERS:
+            edges = self._weighed(s)
+            alpha = self._forward(edges)
+            if alpha[n] > 1e-280:
+                beta = [0.0] * n + [1.0]
+                out = []
+                for i in range(n - 1, -1, -1):
+                    b, front = 0.0, alpha[i] / alpha[n]
+                    for j, p, w in edges[i]:
+                        wb = w * beta[j]
+                        b += wb
+                        out.append((p, front * wb))
+                    beta[i] = b
+                return out
+        logs = [[(j, p, w if w is not None else self.spelled(p)) for j, p, w in here] for here in self.edges(s, self.log)]
+        alpha = _log_sums([[(j, w) for j, _, w in here] for here in logs])
+        back: list[list[tuple[int, float]]] = [[] for _ in range(n)]
+        for i, here in enumerate(logs):
+            for j, _, w in here:
+                back[n - j].append((n - i, w))
+        beta = _log_sums(back)[::-1]
+        return [(p, exp(alpha[i] + w + beta[j] - alpha[n])) for i, here in enumerate(logs) for j, p, w in here]
+
+
+def _log_sums(edges: list[list[tuple[int, float]]]) -> list[float]:
+    """Forward recursion in log space; every place can be reached, since each has an edge to the next."""
+    alpha: list[float | None] = [0.0] + [None] * len(edges)
+    for i, here in enumerate(edges):
+        for j, w in here:
+            w += alpha[i]
             a = alpha[j]
             alpha[j] = w if a is None else (a + log1p(exp(w - a)) if a > w else w + log1p(exp(a - w)))
-    return alpha[n]
+    return alpha
+
+
+def word_log_probability(word: str, pieces: dict[str, float], of_byte: list[float], longest: int) -> float:
+    return Lattice(pieces, of_byte, longest).log_probability(word)
+
+
+def _expected_pieces(path: str, shared):
+    """Expected counts of pieces over (word, c), in parts of ``GRAIN``: (piece, n). Characters outside the vocabulary are
+    counted by their bytes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sp = _processor(path)
+        lattice = Lattice(*piece_weights(path, *shared.value))
+        number = {p: sp.piece_to_id(p) for p in lattice.log}
+        of_byte = {int(sp.id_to_piece(k)[1:-1], 16): k for k in range(sp.get_piece_size()) if sp.is_byte(k)}
+        total: dict[int, int] = {}
+        for b in batches:
+            for w, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                scale = c * GRAIN
+                for p, e in lattice.expected(w.decode("utf-8", "replace")):
+                    n = round(e * scale)
+                    k = number.get(p)
+                    if k is not None:
+                        total[k] = total.get(k, 0) + n
+                    else:
+                        for x in p.encode("utf-8", "surrogatepass"):
+                            if x in of_byte:
+                                total[of_byte[x]] = total.get(of_byte[x], 0) + n
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["piece", "n"])
+
+    return run
+
+
+def fit_pieces(seen: DataFrame, path: str, ends: int, rounds: int = ROUNDS) -> dict[int, float]:
+    """Counts per piece over ``seen`` (word, c): the tokenizer's own, then ``rounds`` times the expected ones. The driver
+    gets a row per piece of the vocabulary."""
+    counts: dict[int, float] = {int(r.piece): int(r.n) for r in seen.mapInArrow(_count_pieces(path), "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()}
+    for _ in range(rounds):
+        shared = seen.sparkSession.sparkContext.broadcast((counts, ends))
+        rows = seen.mapInArrow(_expected_pieces(path, shared), "piece long, n long").groupBy("piece").agg(F.sum(F.col("n").cast("decimal(38,0)")).alias("n")).collect()
+        counts = {int(r.piece): int(r.n) / GRAIN for r in rows}
+        shared.destroy()
+    return counts
 
 
 def _score_words(path: str, shared):
     """(word, c) of distinct words, with the log of their marginal probability."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, of_byte, longest = piece_weights(path, *shared.value)
+        lattice = Lattice(*piece_weights(path, *shared.value))
         for b in batches:
-            lp = [word_log_probability(w.decode("utf-8", "replace"), pieces, of_byte, longest) for w in b.column(0).to_pylist()]
+            lp = [lattice.log_probability(w.decode("utf-8", "replace")) for w in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lp, pa.float64())], ["word", "c", "lp"])
 
     return run
@@ -188,7 +296,7 @@ def _score_block(total: int, distinct: int, ends: int, end: float):
     return run
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held: int = 2, vocabulary: str | None = None) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held: int = 2, vocabulary: str | None = None, rounds: int = ROUNDS) -> DataFrame:
     """Per row: doc_id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score`` (the
     lattice's marginal), ``mixed_score``; all log10.
 
@@ -204,11 +312,13 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         _blocks, f"kind int, block long, id {id_type}, held boolean, ids binary, reps binary, n_tokens long, local int, word binary, c long"), "kind")
     rows = made.filter("kind = 0")
     words = made.filter("kind = 1").select("word", "block", "local", "c")
+    # Lattices cost a task's time by words, not bytes: the distinct words are dealt out evenly and evened out for every round.
     distinct = scratch.cut(words.groupBy("word").agg(F.sum("c").alias("c")))
+    distinct = scratch.cut(distinct.repartition(max(shuffle_width(spark), -(-distinct.count() // WORDS_A_TASK))))
     total, known = distinct.filter("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     ends = rows.filter("not held").count()
     total, known = int(total) + ends, int(known) + (ends > 0)
-    counts = {int(r.piece): int(r.n) for r in distinct.filter("c > 0").mapInArrow(_count_pieces(path), "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()}  # at most the vocabulary
+    counts = fit_pieces(distinct.filter("c > 0"), path, ends, rounds)
     shared = spark.sparkContext.broadcast((counts, ends))
     lattices = distinct.mapInArrow(_score_words(path, shared), "word binary, c long, lp double")
     scored = words.drop("c").join(lattices, "word").select(F.col("block").alias("of_block"), "local", "c", "lp")
