@@ -271,16 +271,21 @@ def _written(rng: np.random.Generator) -> tuple[str, int]:
         w = "".join(rng.choice(list("abcdefghilmnoprst"), rng.integers(3, 9)))
         return f"{w}.{d(2)}@{w[:4]}{d(1)}.example.{rng.choice(['com', 'org', 'net'])}", 1
     if kind in (9, 10):
-        s = "4" + d(14)
+        long = rng.random() < 0.75
+        s = str(rng.choice(["4", "5", "6011"] if long else ["34", "37"]))
+        s += d((15 if long else 14) - len(s))
         s += next(str(k) for k in range(10) if luhn(s + str(k)))
-        return [".", "_", "/", "  ", " - "][rng.integers(0, 5)].join(s[j : j + 4] for j in range(0, 16, 4)), 3
+        cuts = [0, 4, 8, 12, 16] if long else [0, 4, 10, 15]
+        return [".", "_", "/", "  ", " - "][rng.integers(0, 5)].join(s[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)), 3
     if kind in (11, 12):
-        w = "".join(rng.choice(list("abcdefghilmnoprst"), rng.integers(3, 9)))
-        at, dot = [(" (at) ", " (dot) "), (" [at] ", " [dot] "), ("(at)", "."), ("[at]", "."), (" AT ", " DOT "), ("(at)", "(dot)")][rng.integers(0, 6)]
-        return f"{w}.{d(2)}{at}{w[:4]}{d(1)}{dot}{rng.choice(['com', 'org', 'net'])}", 1
+        w = lambda: "".join(rng.choice(list("abcdefghijklmnoprstuvwz"), rng.integers(2, 9)))
+        at, dot = [(" (at) ", " (dot) "), (" [at] ", " [dot] "), ("(at)", "."), ("[at]", "."), (" AT ", " DOT "), ("(at)", "(dot)"), ("(at)", "."), (" at ", " dot ")][rng.integers(0, 8)]
+        local = [f"{w()}.{d(2)}", w(), f"{w()}.{w()}", f"{w()}_{w()}", f"{w()}{d(2)}", f"{w()[0]}.{w()}", f"{w()}-{w()}"][rng.integers(0, 7)]
+        return dot.join([f"{local}{at}{[w(), f'{w()}-{w()}', f'{w()}{d(1)}'][rng.integers(0, 3)]}", *[w()] * int(rng.random() < 0.2), str(rng.choice(["com", "org", "net", "de", "fr", "es", "info", "example"]))]), 1
     if kind in (13, 14):
         return ["[.]", "(.)", " . ", "[dot]"][rng.integers(0, 4)].join(str(x) for x in rng.integers(0, 256, 4)), 2
-    none = ["(at) noon", "[dot]", f"{d(1)} . {d(1)} . {d(2)}", f"{d(4)}.{d(4)}", f"at {d(2)} dot {d(2)}", d(4), f"{d(2)}.{d(2)}", "".join(rng.choice(list("0123456789abcdef"), 40)), f"{d(4)}-{d(2)}-{d(2)}", f"{d(1)}.{d(1)}.{d(2)}", f"{d(3)},{d(3)},{d(3)}", "sk-" + "".join(rng.choice(list("0123456789abcdefABCDEF"), 24)), f"{d(2)}:{d(2)}:{d(2)}", f"{d(8)}", f"v{d(1)}.{d(2)} ({d(4)})", f"| {d(3)} | {d(4)} | {d(2)} |"]
+    w = "".join(rng.choice(list("abcdefghilmnoprst"), rng.integers(2, 7)))
+    none = [f"{w} at {w[::-1]} in", f"at {w} (at {w[:3]})", f"dot the {w} at the", "(at) noon", "[dot]", f"{d(1)} . {d(1)} . {d(2)}", f"{d(4)}.{d(4)}", f"at {d(2)} dot {d(2)}", d(4), f"{d(2)}.{d(2)}", "".join(rng.choice(list("0123456789abcdef"), 40)), f"{d(4)}-{d(2)}-{d(2)}", f"{d(1)}.{d(1)}.{d(2)}", f"{d(3)},{d(3)},{d(3)}", "sk-" + "".join(rng.choice(list("0123456789abcdefABCDEF"), 24)), f"{d(2)}:{d(2)}:{d(2)}", f"{d(8)}", f"v{d(1)}.{d(2)} ({d(4)})", f"| {d(3)} | {d(4)} | {d(2)} |"]
     return none[rng.integers(0, len(none))], 0
 
 
@@ -446,7 +451,7 @@ def tag_texts(p: dict[str, np.ndarray], texts: list[str]) -> list[tuple[np.ndarr
 _DOT, _AT = r" ?(?:\.|\[\.\]|\(\.\)|\(dot\)|\[dot\]|\{dot\}| DOT ) ?", r" ?(?:@|\(at\)|\[at\]|\{at\}| AT ) ?"
 #: What a span of the model's own must look like, by kind; telephone numbers are cut out of what was tagged instead.
 _FORMS = (
-    re.compile(rf"[A-Za-z0-9._%+-]+{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+"),
+    re.compile(rf"[A-Za-z0-9._%+-]+{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+|[A-Za-z0-9_%+-]+(?: dot [A-Za-z0-9_%+-]+)* at [A-Za-z0-9-]+(?: dot [A-Za-z0-9-]+)+"),
     re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}(?![0-9])"),
     re.compile(r"(?<![0-9])(?<![0-9][ ._/-])[0-9](?:[ ._/-]{0,3}[0-9]){11,18}(?![ ._/-]?[0-9])"),
 )
