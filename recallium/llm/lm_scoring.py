@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, shuffle_width
 
-ROUNDS = 3  # of expected counts
+ROUNDS = 1  # of expected counts; each costs about as much as all else (README has what more are worth)
 GRAIN = 1 << 20  # expected counts are summed as whole multiples of this part, so that no order of summation shows
 WORDS_A_TASK = 100_000
 PLAIN_LETTERS = 24  # words up to this length are summed as they are, longer ones as logarithms
@@ -141,18 +141,28 @@ class Lattice:
 
     def __init__(self, pieces: dict[str, float], of_byte: list[float], longest: int):
         self.log, self.of_byte, self.longest = pieces, of_byte, longest
-        self.plain = {k: exp(v) for k, v in pieces.items()}
-
-    def edges(self, s: str, weight: dict[str, float]) -> list[list[tuple[int, str, float | None]]]:
-        """Per place, (end, piece, weight) of the pieces that begin there; a character outside the vocabulary has no weight yet."""
-        n, get = len(s), weight.get
+        # Beginnings of pieces that are none themselves weigh nothing; what is no beginning of a piece ends the look ahead.
+        self.plain: dict[str, float] = {}
+        for k in pieces:
+            for j in range(1, len(k)):
+                self.plain.setdefault(k[:j], 0.0)
+        self.plain.update({k: exp(v) for k, v in pieces.items()})
+        self.ahead = {k: pieces.get(k) for k in self.plain}
+
+    def edges(self, s: str) -> list[list[tuple[int, str, float]]]:
+        """Per place, (end, piece, log of its weight) of the pieces that begin there, or of the character's bytes."""
+        n, ahead = len(s), self.ahead
         out = []
         for i in range(n):
             here = []
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                w = get(s[i:j])
-                if w is not None or j == i + 1:
-                    here.append((j, s[i:j], w))
+            for j in range(i + 1, n + 1):
+                p = s[i:j]
+                if p not in ahead:
+                    break
+                if (w := ahead[p]) is not None:
+                    here.append((j, p, w))
+            if not here or here[0][0] > i + 1:
+                here.insert(0, (i + 1, s[i], self.spelled(s[i])))
             out.append(here)
         return out
 
@@ -166,10 +176,24 @@ class Lattice:
             total = self._forward(self._weighed(s))[-1]
             if total > 1e-280:
                 return log(total)
-        return _log_sums([[(j, w if w is not None else self.spelled(p)) for j, p, w in here] for here in self.edges(s, self.log)])[-1]
+        return _log_sums([[(j, w) for j, _, w in here] for here in self.edges(s)])[-1]
 
     def _weighed(self, s: str) -> list[list[tuple[int, str, float]]]:
-        return [[(j, p, w if w is not None else exp(self.spelled(p))) for j, p, w in here] for here in self.edges(s, self.plain)]
+        n, get = len(s), self.plain.get
+        out = []
+        for i in range(n):
+            here = []
+            for j in range(i + 1, n + 1):
+                p = s[i:j]
+                w = get(p)
+                if w is None:
+                    break
+                if w:
+                    here.append((j, p, w))
+            if not here or here[0][0] > i + 1:
+                here.insert(0, (i + 1, s[i], exp(self.spelled(s[i]))))
+            out.append(here)
+        return out
 
     @staticmethod
     def _forward(edges: list[list[tuple[int, str, float]]]) -> list[float]:
@@ -197,7 +221,7 @@ class Lattice:
                         out.append((p, front * wb))
                     beta[i] = b
                 return out
-        logs = [[(j, p, w if w is not None else self.spelled(p)) for j, p, w in here] for here in self.edges(s, self.log)]
+        logs = self.edges(s)
         alpha = _log_sums([[(j, w) for j, _, w in here] for here in logs])
         back: list[list[tuple[int, float]]] = [[] for _ in range(n)]
         for i, here in enumerate(logs):

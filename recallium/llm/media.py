@@ -17,8 +17,9 @@ from collections.abc import Iterator
 from math import isqrt
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RESTART = 4  # blocks of a restart interval
@@ -576,3 +577,20 @@ def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     extra = ", media binary, rgb binary, width int, height int" if keep else ""
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string{extra}")
+
+
+def store_media(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Write each row's file and full-resolution RGB tensor (three bytes a pixel, row by row, about twice the payload) as a
+    table under ``path``; the query's digests need no such table, ``read_media`` computes them from it again."""
+    media_column(docs, id_col, text_col, keep=True).select(id_col, "media", "rgb", "width", "height").write.parquet(path)
+
+
+def read_media(spark: SparkSession, path: str) -> DataFrame:
+    """The stored columns, with ``media_bytes``, ``media_sha256`` and ``feature`` of what was read."""
+    t = spark.read.parquet(path)
+
+    @F.pandas_udf("string")
+    def feature(rgb: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
+        return pd.Series([feature_of(np.frombuffer(x, np.uint8).reshape(h, w, 3)) for x, w, h in zip(rgb, width, height, strict=True)], dtype=object)
+
+    return t.select("*", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature("rgb", "width", "height").alias("feature"))
