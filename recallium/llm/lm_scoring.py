@@ -16,7 +16,9 @@ counts and probabilities back to the blocks. Word counts cover all training text
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 from math import exp, log, log1p, log10
 
 import numpy as np
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, shuffle_width
 
-ROUNDS = 1  # of expected counts; each costs about as much as all else (README has what more are worth)
+ROUNDS = 3  # of expected counts
 GRAIN = 1 << 20  # expected counts are summed as whole multiples of this part, so that no order of summation shows
 WORDS_A_TASK = 100_000
 PLAIN_LETTERS = 24  # words up to this length are summed as they are, longer ones as logarithms
@@ -148,6 +150,9 @@ class Lattice:
                 self.plain.setdefault(k[:j], 0.0)
         self.plain.update({k: exp(v) for k, v in pieces.items()})
         self.ahead = {k: pieces.get(k) for k in self.plain}
+        self.names = list(pieces)
+        self.weights = np.array([exp(pieces[k]) for k in self.names] + [0.0])
+        self.keys, self.slots = _hash_table(self.names)
 
     def edges(self, s: str) -> list[list[tuple[int, str, float]]]:
         """Per place, (end, piece, log of its weight) of the pieces that begin there, or of the character's bytes."""
@@ -195,6 +200,107 @@ class Lattice:
             out.append(here)
         return out
 
+    def _grids(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]]:
+        """Words of one length at a time: which they are, their letters, and per length of piece, at each place, the piece's
+        number (the last number for none) and weight."""
+        marked = ["▁" + w for w in words]
+        size = np.array([len(w) for w in marked])
+        letters = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32)
+        start = np.concatenate([[0], np.cumsum(size)[:-1]]) if len(size) else size
+        for n in np.unique(size[size <= PLAIN_LETTERS]).tolist():
+            rows = np.flatnonzero(size == n)
+            c = letters[start[rows][:, None] + np.arange(n)]
+            front = np.zeros((len(rows), n + 1), np.uint64)
+            for k in range(n):
+                front[:, k + 1] = front[:, k] * _BASE + c[:, k] + np.uint64(1)
+            ids, weights = [], []
+            for k in range(1, min(n, self.longest) + 1):
+                power = np.uint64(pow(int(_BASE), k, 1 << 64))
+                found = self._numbers(front[:, k:] - front[:, : n - k + 1] * power, k)
+                ids.append(found)
+                weights.append(self.weights[found])
+            none = ids[0] == len(self.names)
+            if none.any():
+                odd, at = np.unique(c[none], return_inverse=True)
+                weights[0][none] = np.array([exp(self.spelled(chr(x))) for x in odd])[at]
+            yield rows, c, ids, weights
+
+    def _numbers(self, h: np.ndarray, length: int) -> np.ndarray:
+        """Numbers of the pieces with these hashes, or the last number."""
+        key = _spread(h, length).ravel()
+        last = np.uint64(len(self.keys) - 1)
+        at = key & last
+        there = self.keys[at]
+        out = np.where(there == key, self.slots[at], len(self.names))
+        more = np.flatnonzero((there != key) & (there != 0))  # another piece's slot: look at the next one
+        at = at[more]
+        while len(more):
+            at = (at + np.uint64(1)) & last
+            there, wanted = self.keys[at], key[more]
+            hit = there == wanted
+            out[more[hit]] = self.slots[at[hit]]
+            go = ~hit & (there != 0)
+            more, at = more[go], at[go]
+        return out.reshape(h.shape)
+
+    @staticmethod
+    def _forwards(weights: list[np.ndarray]) -> np.ndarray:
+        m, n = weights[0].shape
+        alpha = np.zeros((m, n + 1))
+        alpha[:, 0] = 1
+        for j in range(1, n + 1):
+            for k in range(1, min(j, len(weights)) + 1):
+                alpha[:, j] += alpha[:, j - k] * weights[k - 1][:, j - k]
+        return alpha
+
+    def log_probabilities(self, words: list[str]) -> np.ndarray:
+        """``log_probability`` of many words; those of one length are summed together."""
+        out = np.full(len(words), np.nan)
+        for rows, _, _, weights in self._grids(words):
+            total = self._forwards(weights)[:, -1]
+            fine = total > 1e-280
+            out[rows[fine]] = np.log(total[fine])
+        for k in np.flatnonzero(np.isnan(out)):
+            out[k] = self.log_probability(words[k])
+        return out
+
+    def expected_counts(self, words: list[str], times: np.ndarray) -> tuple[np.ndarray, dict[str, int]]:
+        """Expected counts of all words, each as often as ``times`` says, in parts of ``GRAIN``: per piece, and of the
+        characters that are no piece."""
+        total, odd = np.zeros(len(self.names) + 1, np.int64), Counter()
+        left = np.ones(len(words), bool)
+        for rows, c, ids, weights in self._grids(words):
+            alpha = self._forwards(weights)
+            fine = alpha[:, -1] > 1e-280
+            left[rows[fine]] = False
+            n = c.shape[1]
+            beta = np.zeros_like(alpha)
+            beta[:, n] = 1
+            for i in range(n - 1, -1, -1):
+                for k in range(1, min(n - i, len(weights)) + 1):
+                    beta[:, i] += weights[k - 1][:, i] * beta[:, i + k]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                scale = np.where(fine, times[rows] * GRAIN / alpha[:, -1], 0.0)[:, None]
+            for k, w in enumerate(weights, 1):
+                e = np.rint(alpha[:, : n - k + 1] * w * beta[:, k:] * scale).astype(np.int64)
+                hit = e > 0
+                np.add.at(total, ids[k - 1][hit], e[hit])
+                if k == 1 and (none := hit & (ids[0] == len(self.names))).any():
+                    for x, v in zip(c[none].tolist(), e[none].tolist(), strict=True):
+                        odd[chr(x)] += v
+        for k in np.flatnonzero(left):
+            for p, e in self.expected(words[k]):
+                v = round(e * int(times[k]) * GRAIN)
+                if (at := self.number.get(p)) is not None:
+                    total[at] += v
+                else:
+                    odd[p] += v
+        return total[:-1], odd
+
+    @cached_property
+    def number(self) -> dict[str, int]:
+        return {p: k for k, p in enumerate(self.names)}
+
     @staticmethod
     def _forward(edges: list[list[tuple[int, str, float]]]) -> list[float]:
         alpha = [1.0] + [0.0] * len(edges)
@@ -231,6 +337,38 @@ class Lattice:
         return [(p, exp(alpha[i] + w + beta[j] - alpha[n])) for i, here in enumerate(logs) for j, p, w in here]
 
 
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _spread(h: np.ndarray, length: int) -> np.ndarray:
+    """A key from a substring's hash and length; never 0. Pieces have some letters at most, so that equal keys of unequal
+    substrings are left to chance (one in 10**14 for a word)."""
+    k = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(length)
+    return (k ^ (k >> np.uint64(32))) | np.uint64(1)
+
+
+def _hash_table(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Open addressing: keys (0 for an empty slot) and the numbers of the pieces."""
+    size = 1 << max(4, (8 * len(names)).bit_length())
+    keys, slots = np.zeros(size, np.uint64), np.zeros(size, np.int64)
+    by_length: dict[int, list[int]] = {}
+    for k, p in enumerate(names):
+        by_length.setdefault(len(p), []).append(k)
+    for n, some in by_length.items():
+        c = np.frombuffer("".join(names[k] for k in some).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(some), n)
+        h = np.zeros(len(some), np.uint64)
+        for j in range(n):
+            h = h * _BASE + c[:, j] + np.uint64(1)
+        for k, key in zip(some, _spread(h, n).tolist(), strict=True):
+            at = key & (size - 1)
+            while keys[at]:
+                if int(keys[at]) == key:
+                    raise ValueError("two pieces share a key")
+                at = (at + 1) & (size - 1)
+            keys[at], slots[at] = key, k
+    return keys, slots
+
+
 def _log_sums(edges: list[list[tuple[int, float]]]) -> list[float]:
     """Forward recursion in log space; every place can be reached, since each has an edge to the next."""
     alpha: list[float | None] = [0.0] + [None] * len(edges)
@@ -252,21 +390,17 @@ def _expected_pieces(path: str, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = _processor(path)
         lattice = Lattice(*piece_weights(path, *shared.value))
-        number = {p: sp.piece_to_id(p) for p in lattice.log}
+        ids = [sp.piece_to_id(p) for p in lattice.names]
         of_byte = {int(sp.id_to_piece(k)[1:-1], 16): k for k in range(sp.get_piece_size()) if sp.is_byte(k)}
         total: dict[int, int] = {}
         for b in batches:
-            for w, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                scale = c * GRAIN
-                for p, e in lattice.expected(w.decode("utf-8", "replace")):
-                    n = round(e * scale)
-                    k = number.get(p)
-                    if k is not None:
-                        total[k] = total.get(k, 0) + n
-                    else:
-                        for x in p.encode("utf-8", "surrogatepass"):
-                            if x in of_byte:
-                                total[of_byte[x]] = total.get(of_byte[x], 0) + n
+            got, odd = lattice.expected_counts([w.decode("utf-8", "replace") for w in b.column(0).to_pylist()], b.column(1).to_numpy())
+            for k in np.flatnonzero(got).tolist():
+                total[ids[k]] = total.get(ids[k], 0) + int(got[k])
+            for char, n in odd.items():
+                for x in char.encode("utf-8", "surrogatepass"):
+                    if x in of_byte:
+                        total[of_byte[x]] = total.get(of_byte[x], 0) + n
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["piece", "n"])
 
     return run
@@ -289,7 +423,7 @@ def _score_words(path: str, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(*piece_weights(path, *shared.value))
         for b in batches:
-            lp = [lattice.log_probability(w.decode("utf-8", "replace")) for w in b.column(0).to_pylist()]
+            lp = lattice.log_probabilities([w.decode("utf-8", "replace") for w in b.column(0).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lp, pa.float64())], ["word", "c", "lp"])
 
     return run

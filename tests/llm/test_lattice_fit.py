@@ -55,6 +55,25 @@ def test_expected_counts_are_those_of_all_segmentations(monkeypatch, letters):
         assert sum(len(p) * e for p, e in got.items()) == pytest.approx(len(word) + 1)
 
 
+def test_many_words_together_equal_each_alone():
+    """Sums over words of one length at a time, against the plain recursion, with the real vocabulary and odd letters."""
+    import numpy as np
+
+    lattice = L.Lattice(*L.piece_weights(L.default_vocabulary(), {}, 5))
+    r = random.Random(6)
+    words = ["", "the", "▁▁", "é" * 30, "世界", "\x00", "a" * 5000, *("".join(r.choice("etaoin shrdlué世-#0▁") for _ in range(r.randint(1, 40))) for _ in range(500))]
+    times = np.array([r.randint(1, 9) for _ in words])
+    assert lattice.log_probabilities(words) == pytest.approx([lattice.log_probability(w) for w in words])
+    got, odd = lattice.expected_counts(words, times)
+    want = {}
+    for w, c in zip(words, times.tolist(), strict=True):
+        for p, e in lattice.expected(w):
+            want[p] = want.get(p, 0) + round(e * c * L.GRAIN)
+    mine = {lattice.names[k]: int(n) for k, n in enumerate(got) if n} | {k: n for k, n in odd.items() if n}
+    assert mine == pytest.approx({k: n for k, n in want.items() if n}, abs=2 * len(words))
+    assert lattice.log_probabilities([]).shape == (0,) and not lattice.expected_counts([], times[:0])[0].any()
+
+
 def test_long_words_do_not_underflow():
     lattice = L.Lattice(TOY, BYTES, 3)
     word = "xy" * 5000
