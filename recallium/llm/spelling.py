@@ -8,6 +8,9 @@ words agree in everything up to and with it, or in everything from it on, and th
 Of what is left, one edit leaves the first two letters or the last two. Those limits are the join key; what the join
 finds is verified by edit distance.
 
+All joins are by sort and merge: the cut tables are compressed, and the planner takes their size in files for that of
+their rows (exploded ones too), so it would broadcast tables that grow with the vocabulary through the driver.
+
 Forms have at least twice the count of their word, so chains of forms are short (a logarithm of the greatest count) and
 are followed by pointer doubling.
 
@@ -84,7 +87,7 @@ def near_pairs(words: DataFrame, order: dict[str, int]) -> DataFrame:
     longer = keys.select(F.col("word").alias("b"), F.col("n").alias("bn"), "l", "side", "same", F.explode(F.expr(f"case when m > 4 then {ends} when m = 4 then array_append({ends}, '') else array('') end")).alias("end"))
     shorter = keys.select(F.col("word").alias("a"), F.col("n").alias("an"), F.col("l").alias("al"), "side", "same", F.explode(F.expr(f"if(m >= 4, {ends}, array(''))")).alias("end")).withColumn("l", F.explode(F.array("al", F.col("al") + 1)))
     one = (F.col("al") < F.col("l")) | (F.col("a") < F.col("b"))
-    pairs = shorter.join(longer, ["l", "side", "same", "end"]).filter(one & (F.levenshtein("a", "b", 1) == 1))
+    pairs = shorter.hint("merge").join(longer, ["l", "side", "same", "end"]).filter(one & (F.levenshtein("a", "b", 1) == 1))
     return pairs.select("a", "an", "b", "bn").distinct()
 
 
@@ -92,7 +95,7 @@ def best_forms(words: DataFrame, pairs: DataFrame) -> DataFrame:
     """(word, n, n_near, form, form_n) of every word."""
     both = pairs.selectExpr("inline(array(struct(a as word, b as o, bn as c), struct(b as word, a as o, an as c)))")
     near = both.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("c")).alias("c"), F.col("o").alias("o"))).alias("m"))
-    rows = words.join(near, "word", "left")
+    rows = words.hint("merge").join(near, "word", "left")
     better = -F.col("m.c") >= 2 * F.col("n")
     return rows.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(better, F.col("m.o")).alias("form"), F.when(better, -F.col("m.c")).alias("form_n"))
 
@@ -102,7 +105,7 @@ def last_forms(forms: DataFrame, scratch: Scratch) -> DataFrame:
     now = scratch.cut(forms.filter("form is not null").select("word", F.col("form").alias("root")))
     while True:
         ahead = now.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        new = scratch.cut(now.join(ahead, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
+        new = scratch.cut(now.hint("merge").join(ahead, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
         scratch.drop(now)
         now = new
         if now.filter("moved").isEmpty():
@@ -115,4 +118,4 @@ def spelling_variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     words = scratch.cut(word_counts(docs, id_col, text_col))
     forms = scratch.cut(best_forms(words, near_pairs(words, bigram_order(words))))
     roots = last_forms(forms, scratch)
-    return forms.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return forms.hint("merge").join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

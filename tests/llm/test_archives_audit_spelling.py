@@ -240,6 +240,18 @@ def test_every_near_pair_is_found(spark):
     assert got == {(a, b) for k, a in enumerate(words) for b in words[k + 1 :] if near(a, b)}
 
 
+def test_spelling_broadcasts_no_vocabulary(spark):
+    from recallium.llm.spelling import best_forms
+
+    scratch = Scratch(spark, "t")
+    words = scratch.cut(spark.createDataFrame([("garden", 9), ("gardens", 3), ("warden", 4)], "word string, n long"))
+    pairs = scratch.cut(near_pairs(words, bigram_order(words)))
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("bB")) > 1 << 20
+    for df in (near_pairs(words, bigram_order(words)), best_forms(words, pairs)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 @pytest.mark.parametrize("name", ["op11_warc", "op12_filter_audit", "op13_spelling"])
 def test_queries_against_sql(spark, sf_dir, name):
     from test_queries import TABLES, rows
