@@ -1,6 +1,6 @@
 """Inverted-file index of vectors: cells round centroids, probed by need, scored exactly; and the exact search beside it.
 
-Centroids are fitted on a bounded sample; every row is then put into its nearest cell and the rows are written by
+Centroids are fitted on a bounded sample, and so is the number of cells that a search probes; every row is then put into its nearest cell and the rows are written by
 cell, so that a search reads only the cells that it probes. Queries and rows meet cell by cell in tasks of bounded
 size: a cell that holds a third of all rows is dealt in parts, and many queries in blocks. Each meeting gives at most
 k rows a query, which are ranked once more over all meetings.
@@ -66,6 +66,25 @@ def _nearest_cells(centroids: np.ndarray, probes: int):
     return F.pandas_udf(cells, "array<int>")
 
 
+def fit_probes(vectors: np.ndarray, centroids: np.ndarray, k: int = 10) -> int:
+    """The least number of probed cells by which the sample's own rows find ``FIT_RECALL`` of their k nearest in it.
+
+    In all rows the nearest are nearer than in a sample, so fewer cells hold them: the number errs to the safe side.
+    """
+    x = unit(vectors.astype(np.float64))
+    if len(x) < 2:
+        return len(centroids)
+    own = np.concatenate([(x[at : at + FIT_QUERIES] @ centroids.T).argmax(1) for at in range(0, len(x), FIT_QUERIES)])
+    asked = np.arange(min(FIT_QUERIES, len(x)))
+    s = x[asked] @ x.T
+    s[asked, asked] = -np.inf
+    near = np.argsort(-s, axis=1, kind="stable")[:, : min(k, len(x) - 1)]
+    order = np.argsort(-(x[asked] @ centroids.T), axis=1, kind="stable")
+    place = np.argsort(order, axis=1)
+    needed = np.sort(np.take_along_axis(place, own[near], 1).ravel()) + 1
+    return int(needed[min(len(needed) - 1, int(np.ceil(FIT_RECALL * len(needed))) - 1)])
+
+
 class VectorIndex:
     """An index in a folder. Rows without a vector, or with one of another length than most, are refused by ``build``."""
 
@@ -79,10 +98,12 @@ class VectorIndex:
         many = points.count()
         cells = min(cells or max(1, round(many**0.5)), MOST_CELLS)
         sample = points.select(id_col, vector_col).orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE_ROWS).select(vector_col).collect()
-        c = fit_centroids(np.array([r[0] for r in sample], np.float64) if sample else np.zeros((0, 1)), cells)
+        rows = np.array([r[0] for r in sample], np.float64) if sample else np.zeros((0, 1))
+        c = fit_centroids(rows, cells)
         self.spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(c)], "cell int, centroid array<double>").coalesce(1).write.parquet(f"{self.path}/centroids")  # bounded: MOST_CELLS rows
         placed = points.withColumn("cell", _nearest_cells(c, 1)(vector_col)[0]).withColumnsRenamed({id_col: "id", vector_col: "vector"})
         Folder(self.spark, self.path).create("schema.json", placed.schema.json())
+        Folder(self.spark, self.path).create("probes.json", json.dumps(fit_probes(rows, c)))
         placed.repartition("cell", F.pmod(F.xxhash64("id"), F.lit(max(1, many // (PART_ROWS * 64))))).write.partitionBy("cell").parquet(f"{self.path}/rows")
         return self
 
@@ -94,13 +115,15 @@ class VectorIndex:
         schema = StructType.fromJson(json.loads(Folder(self.spark, self.path).read("schema.json")))
         return self.spark.read.schema(schema).parquet(f"{self.path}/rows")
 
-    def search(self, queries: DataFrame, k: int, probes: int | None = 16, where: Column | None = None, id_col: str = "id", vector_col: str = "vector", itself: bool = False) -> DataFrame:
+    def search(self, queries: DataFrame, k: int, probes: int | None = FITTED, where: Column | None = None, id_col: str = "id", vector_col: str = "vector", itself: bool = False) -> DataFrame:
         """The k nearest rows by cosine of each query row: query_id, id, score, rank (from 1; ties by id).
 
-        ``where`` filters the indexed rows inside the probed cells, before they are scored. ``probes`` of None, or of all
-        cells, is exact. A row is not its own neighbour unless ``itself``.
+        ``where`` filters the indexed rows inside the probed cells, before they are scored. ``probes`` is the number that
+        the build measured on its sample, unless it is given; None, or all cells, is exact. A row is not its own neighbour unless ``itself``.
         """
         c = self.centroids()
+        if probes == FITTED:
+            probes = json.loads(Folder(self.spark, self.path).read("probes.json"))
         exact = probes is None or probes >= len(c)
         points = self.rows()
         # Of few queries, the cells to be read are known before the scan and prune it.
