@@ -56,7 +56,7 @@ def trace_quality(traces: DataFrame, col: str = "trace") -> DataFrame:
 def call_costs(calls: DataFrame, prices: DataFrame, places: int = 6) -> DataFrame:
     """tokens / 1e6 x price in and out; an unknown model costs 0. ``prices`` is a dimension of some hundred rows."""
     c = F.coalesce(F.col("tokens_in") / 1e6 * F.col("price_in") + F.col("tokens_out") / 1e6 * F.col("price_out"), F.lit(0.0))
-    return calls.join(prices, "model", "left").withColumn("cost", F.round(c, places)).drop("price_in", "price_out")
+    return calls.join(F.broadcast(prices), "model", "left").withColumn("cost", F.round(c, places)).drop("price_in", "price_out")
 
 
 def cost_by_agent(costs: DataFrame) -> DataFrame:

@@ -124,3 +124,28 @@ def test_rrf_and_bm25(spark):
     idf = math.log(n - df + 0.5) - math.log(df + 0.5)
     assert out[0].score == pytest.approx(idf * 2.5 / (1 + 1.5 * (0.25 + 0.75 * 3 / avgdl)), abs=1e-6)
     assert R.vector_top_k(spark.createDataFrame([(1, [1.0, 0.0])], "id long, embedding array<double>"), [1.0, 0.0], 0).count() == 0
+
+
+def test_tasks_grow_with_the_rows(spark, sf_dir):
+    from recallium.operators import graph as G
+    from recallium.plans.adapters import tasks_for
+
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    assert tasks_for(lines, 100) == -(-lines.count() // 100) and tasks_for(lines) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ment = spark.createDataFrame([(k % 9, f"N{k % 5}", "t", k / 10) for k in range(60)], "id long, name string, type string, salience double")
+    stored = ment.filter("id < 4").selectExpr("id", "lower(name) as key", "type", "0.2D as salience")
+    done = spark.createDataFrame([(1,), (5,)], "id long")
+    one, wide = (G.merge_links(stored, ment, done, parts=p) for p in (None, 37))
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, wide.collect())) and wide.count() > 9
+
+
+def test_bm25_counts_only_the_terms_asked_for(spark, sf_dir):
+    docs = spark.createDataFrame([(1, "a b c"), (2, "b c d d"), (3, "x"), (4, None)], "doc_id long, text string")
+    assert {(r.term, r.n) for r in R.bm25_frequencies(docs, "text", ["d", "c"]).collect()} == {("c", 2), ("d", 1), (None, 13)}
+
+
+def test_costs_are_not_shuffled_by_model(spark, sf_dir):
+    from recallium.plans.aggregate_queries import cost_per_call
+
+    plan = cost_per_call(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
