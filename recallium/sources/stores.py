@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 BUCKET = "_bucket"
+TASK_ROWS = 500_000  # rows of a bucket that one task writes, about
 
 
 class Conflict(RuntimeError):
@@ -63,7 +64,8 @@ class Folder:
 
 
 class BucketStore:
-    """A table keyed by ``key`` under ``path``. ``buckets`` is fixed when the store is made; a bucket should fit a task."""
+    """A table keyed by ``key`` under ``path``. ``buckets`` is fixed when the store is made; a bucket may
+    be larger than a task and is then written as several files."""
 
     def __init__(self, spark: SparkSession, path: str, key: list[str], schema: StructType | str, buckets: int = 16):
         self.spark, self.path, self.key = spark, path.rstrip("/"), key
@@ -121,12 +123,17 @@ class BucketStore:
             raise Conflict(f"the writer of epoch {epoch} was replaced by {now['epoch']}")
         if stream is not None and batch is not None and now["done"].get(stream, -1) >= batch:
             return False
-        touched = sorted(r[0] for r in changes.select(self.bucket()).distinct().collect())  # at most as many as buckets
+        added = {r[0]: r[1] for r in changes.groupBy(self.bucket()).agg(F.count(F.lit(1))).collect()}  # at most as many as buckets
+        touched = sorted(added)
         new = dict(now)
         if touched:
             part = f"data/{uuid.uuid4().hex}"
-            rows = combine(self.read(touched), changes).select(*self.schema.names).withColumn(BUCKET, self.bucket())
-            rows.repartition(len(touched), BUCKET).write.partitionBy(BUCKET).parquet(f"{self.path}/{part}")
+            stored = self.read(touched)
+            rows = combine(stored, changes).select(*self.schema.names).withColumn(BUCKET, self.bucket())
+            # A large bucket is written by several tasks, by another hash of the key, so that a task's share does not grow.
+            parts = max(1, -(-(stored.count() + sum(added.values())) // (TASK_ROWS * len(touched))))
+            place = [F.col(BUCKET), F.pmod(F.hash(*self.key), F.lit(parts))] if parts > 1 else [F.col(BUCKET)]
+            rows.repartition(len(touched) * parts, *place).write.partitionBy(BUCKET).parquet(f"{self.path}/{part}")
             made = {n.split("=")[1] for n in Folder(self.spark, f"{self.path}/{part}").names() if n.startswith(f"{BUCKET}=")}
             kept = {b: p for b, p in now["files"].items() if int(b) not in touched}
             new["files"] = kept | {b: f"{part}/{BUCKET}={b}" for b in made}

@@ -134,6 +134,27 @@ def test_time_slices_cover_all_rows_once(spark):
     assert len(in_time_slices(df.limit(0), "ts", 3)) == 1
 
 
+def test_a_state_holds_a_group_of_users(spark, tmp_path):
+    start = datetime(2024, 1, 1)
+    events = spark.createDataFrame([(k, k * 7 % 40, start + timedelta(seconds=k * 3)) for k in range(400)], "event_id long, user_id long, ts timestamp_ntz")
+    with settings(spark, **STATE):
+        in_legs(spark, in_time_slices(events, "ts", 2), str(tmp_path), lambda s: run_to_end(rate_limited_stream(s, 300, 2, groups=3), f"{tmp_path}/check", f"{tmp_path}/out"))
+    got = spark.read.parquet(f"{tmp_path}/out").select("event_id", "in_window", "limited")
+    assert rows_of(got) == rows_of(rate_limited(events, 300, 2).select("event_id", "in_window", "limited"))
+
+
+def test_large_buckets_are_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    from recallium.sources import stores
+
+    monkeypatch.setattr(stores, "TASK_ROWS", 20)
+    s = store_of(spark, tmp_path, 2)
+    for v in ("a", "b"):
+        s.merge(spark.createDataFrame([(k, ord(v), k, v) for k in range(300)], PAIR), newest(["k"], ["revision", "seq"]))
+    assert rows_of(s.read()) == sorted([(k, ord("b"), k, "b") for k in range(300)], key=str)
+    for folder in s.manifest()["files"].values():
+        assert len([n for n in os.listdir(f"{s.path}/{folder}") if n.endswith(".parquet")]) > 3
+
+
 # Graph
 
 
