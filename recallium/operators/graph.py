@@ -51,11 +51,15 @@ def upsert_graph(mentions: DataFrame, pairs: DataFrame) -> tuple[DataFrame, Data
     return ent, rel
 
 
-def merge_links(stored: DataFrame, mentions: DataFrame, processed: DataFrame, force: bool = False) -> DataFrame:
+def merge_links(stored: DataFrame, mentions: DataFrame, processed: DataFrame, force: bool = False, parts: int | None = None) -> DataFrame:
     """Links (id, key, type, salience) after a batch of mentions (id, name, type, salience): the greater salience, and
-    ``new`` where none was stored. Memories in ``processed`` (id) are passed over unless ``force``."""
+    ``new`` where none was stored. Memories in ``processed`` (id) are passed over unless ``force``.
+    ``parts`` is the number of tasks that all rows are dealt to by their id; it should grow with them."""
+    if parts:
+        mentions, processed = mentions.repartition(parts, "id"), processed.repartition(parts, "id")
     fresh = mentions if force else mentions.join(processed.select("id").distinct(), "id", "left_anti")
     rows = stored.select("id", "key", "type", "salience", F.lit(True).alias("_s")).unionByName(fresh.select("id", F.lower("name").alias("key"), "type", "salience", F.lit(False).alias("_s")))
+    rows = rows.repartition(parts, "id") if parts else rows
     return rows.groupBy("id", "key", "type").agg(F.max(F.coalesce("salience", F.lit(0.0))).alias("salience"), (~F.max("_s")).alias("new"))
 
 

@@ -18,6 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tasks_for(df: DataFrame, rows: int = 500_000) -> int:
+    """The number of tasks for a shuffle of a stored table, by its rows (from the files' footers); the session's at least."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows))
+
+
 def _markers(i: str) -> list[str]:
     return [
         f"((({i} * 37) % 101) / 100D) as salience", f"{i} % 11 = 0 as pinned", f"timestampadd(SECOND, ({i} * 7919) % 2500000, TIMESTAMP_NTZ'2024-01-01 00:00:00') as captured_at",

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from recallium.operators import chunking as K
 from recallium.operators import graph as G
-from recallium.plans.adapters import GRAPH, MEM, graph, memories, table
+from recallium.plans.adapters import GRAPH, MEM, graph, memories, table, tasks_for
 from recallium.plans.catalog import query
 
 _DATE = r"\b(?:20\d{2}[-/][01]?\d[-/][0-3]?\d|[0-3]?\d[-/][01]?\d[-/]20\d{2})\b"
@@ -94,10 +94,12 @@ _BRANDS = "e AS (SELECT l_orderkey AS id, lower(p_brand) AS key, 0.4 + (l_linenu
 @query(f"WITH {_BRANDS}, o AS (SELECT id, key, max(salience) AS s FROM e WHERE n <= 2 GROUP BY 1, 2), b AS (SELECT id, key, max(salience) AS s FROM e WHERE id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY 1, 2) SELECT coalesce(o.id, b.id) AS id, coalesce(o.key, b.key) AS key, round(greatest(coalesce(o.s, 0), coalesce(b.s, 0)), 6) AS salience, o.id IS NULL AS new FROM o FULL JOIN b ON o.id = b.id AND o.key = b.key")
 def graph_links(spark, d):
     """The first two lines of each order are linked already; finished orders have been processed."""
-    e = table(spark, d, "lineitem").join(table(spark, d, "part"), F.expr("p_partkey = l_partkey")).selectExpr("l_orderkey as id", "p_brand as name", "'product' as type", "0.4D + (l_linenumber % 5) / 10D as salience", "l_linenumber as n")
+    lines = table(spark, d, "lineitem")
+    parts = tasks_for(lines)
+    e = lines.repartition(parts, "l_partkey").join(table(spark, d, "part"), F.expr("p_partkey = l_partkey")).selectExpr("l_orderkey as id", "p_brand as name", "'product' as type", "0.4D + (l_linenumber % 5) / 10D as salience", "l_linenumber as n")
     stored = e.filter("n <= 2").groupBy("id", F.lower("name").alias("key"), "type").agg(F.max("salience").alias("salience"))
     done = table(spark, d, "orders").filter("o_orderstatus = 'F'").selectExpr("o_orderkey as id")
-    return G.merge_links(stored, e.drop("n"), done).select("id", "key", F.round("salience", 6).alias("salience"), "new")
+    return G.merge_links(stored, e.drop("n"), done, parts=parts).select("id", "key", F.round("salience", 6).alias("salience"), "new")
 
 
 @query("SELECT event_type, CASE WHEN e > 0 THEN 'error' WHEN r > 0 THEN 'residual' WHEN u > 0 THEN 'unverified' ELSE 'completed' END AS status FROM (SELECT event_type, count(*) FILTER (event_type = 'error') AS e, count(*) FILTER (value > 500) AS r, count(*) FILTER (value < 0) AS u FROM events GROUP BY 1)")
