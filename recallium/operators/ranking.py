@@ -75,11 +75,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def bm25_frequencies(docs: DataFrame, text_col: str) -> DataFrame:
-    """(term, n): documents per term, and under a null term the number of all tokens. Counts are summed before the
-    shuffle, and no id goes with them. Searches can share it, written as a table."""
+def bm25_frequencies(docs: DataFrame, text_col: str, terms: list[str] | None = None) -> DataFrame:
+    """(term, n): documents per term (of ``terms`` only, if they are given), and under a null term the number of all
+    tokens. Counts are summed before the shuffle, and no id goes with them. Searches can share it, written as a table."""
     t = with_tokens(docs.select(text_col), text_col)
-    one = F.transform(F.array_distinct("t"), lambda x: F.struct(x.alias("term"), F.lit(1).cast("long").alias("n")))
+    one = F.transform(F.array_distinct("t" if terms is None else F.filter("t", lambda x: x.isin(terms))), lambda x: F.struct(x.alias("term"), F.lit(1).cast("long").alias("n")))
     rows = t.select(F.explode(F.concat(one, F.array(F.struct(F.lit(None).cast("string").alias("term"), F.size("t").cast("long").alias("n"))))).alias("x"))
     return rows.groupBy("x.term").agg(F.sum("x.n").alias("n"))
 
@@ -88,7 +88,7 @@ def bm25_search(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str,
     """``queries`` (query_id, text; a stated set). Top k per query: query_id, id, ``score`` above 0, ``rank`` from 0.
 
     A negative idf becomes ``eps`` times the mean idf over all terms. Statistics are over all documents (given as
-    ``frequencies``, or counted here); the driver gets one row of them, with the queries' own terms. Each document's
+    ``frequencies``, or counted here: of the queries' terms, and of all terms only where that mean is asked for); the driver gets one row of them, with the queries' own terms. Each document's
     words are then cut down to those terms and counted inside its row, so only hits leave it.
     """
     wanted = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
@@ -96,8 +96,11 @@ def bm25_search(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str,
     n = docs.count()
     idf = F.when(F.col("term").isNotNull(), F.log(n - F.col("n") + 0.5) - F.log(F.col("n") + 0.5))
     chosen = F.when(F.col("term").isin(terms), F.struct("term", idf.alias("idf"))) if terms else F.lit(None).cast("struct<term:string,idf:double>")
-    s = (bm25_frequencies(docs, text_col) if frequencies is None else frequencies).agg(F.avg(idf).alias("mean"), F.sum(F.when(F.col("term").isNull(), F.col("n"))).alias("all"), F.collect_list(chosen).alias("of")).first()
-    weights = [(r.term, r.idf if r.idf >= 0 else eps * s.mean) for r in s.of]
+    s = (bm25_frequencies(docs, text_col, terms) if frequencies is None else frequencies).agg(F.avg(idf).alias("mean"), F.sum(F.when(F.col("term").isNull(), F.col("n"))).alias("all"), F.collect_list(chosen).alias("of")).first()
+    mean = s.mean
+    if frequencies is None and any(r.idf < 0 for r in s.of):
+        mean = bm25_frequencies(docs, text_col).agg(F.avg(idf)).first()[0]
+    weights = [(r.term, r.idf if r.idf >= 0 else eps * mean) for r in s.of]
     avgdl = (s.all or 0) / n if n else 0.0
     known = F.broadcast(wanted.join(docs.sparkSession.createDataFrame(weights, "term string, w double"), "term"))
     t = with_tokens(docs.select(id_col, text_col), text_col, F.col(id_col).alias("id"))
