@@ -53,7 +53,7 @@ class TextIndex:
         t = with_tokens(docs.select(id_col, text_col), text_col, F.col(id_col).alias("id"))
         raw = t.select("id", "t").mapInArrow(_counted(), f"term string, id {kind.simpleString()}, tf int, dl int")
         place = [F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket"), "term", "id", "tf", "dl"]
-        raw.select(*place).write.parquet(f"{self.path}/counted")
+        raw.select(*place).write.option("compression", "zstd").parquet(f"{self.path}/counted")
         posts = self.spark.read.parquet(f"{self.path}/counted")
         n = docs.count()
         total = posts.agg(F.sum(F.col("tf").cast("long"))).first()[0] or 0
@@ -65,9 +65,10 @@ class TextIndex:
         groups = max(1, -(-n // group_docs))
         impact = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
         rows = posts.select("bucket", "term", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("g"), "id", impact.alias("impact"))
-        blocks = rows.groupBy("bucket", "term", "g").agg(F.max("impact").alias("most"), F.collect_list(F.struct("id", "impact")).alias("posts"))  # a group's documents at most
-        spread = F.pmod("g", F.lit(max(1, groups // 64)))
-        blocks.repartition("bucket", spread).sortWithinPartitions("bucket", "term", "g").write.partitionBy("bucket").parquet(f"{self.path}/blocks")
+        # Postings are shuffled once, to where their blocks are written.
+        placed = rows.withColumn("spread", F.pmod("g", F.lit(max(1, groups // 64)))).repartition("bucket", "spread")
+        blocks = placed.groupBy("bucket", "spread", "term", "g").agg(F.max("impact").alias("most"), F.collect_list(F.struct("id", "impact")).alias("posts"))  # a group's documents at most
+        blocks.drop("spread").sortWithinPartitions("bucket", "term", "g").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/blocks")
         self.spark.createDataFrame([(n, float(avgdl), float(mean), eps, buckets, groups, kind.simpleString())], "n long, avgdl double, mean double, eps double, buckets int, groups int, kind string").coalesce(1).write.parquet(f"{self.path}/meta")
         return self
 
