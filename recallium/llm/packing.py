@@ -25,6 +25,7 @@ CAPACITY = 4096
 END_ID = 1
 CACHE_UNITS = 200_000  # about 40 MB in a worker that later stages use again
 CELL_ROWS = 200_000
+LOT_CHARS = 1 << 22  # of text that is split together
 _STATE: dict = {}
 
 
@@ -34,23 +35,30 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-#: Texts of these characters split into the tokenizer's units by ``_UNIT``; others go to the tokenizer whole.
+#: Texts of these characters split into the tokenizer's units by ``_split``; others go to the tokenizer whole.
 _PLAIN = re.compile(r"[ -~\n\tÀ-ÖØ-öø-ÿ–—“”‘’…¿¡«»]*+")
-#: Fixed by the tokenizer: its own pattern, for lower-case text of those characters.
-_UNIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
+_WHITE, _LETTER, _DIGIT, _OTHER = range(4)
+#: By byte of lower-case UTF-8 text of those characters; a byte behind 0xC3 is a letter's second one.
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[list(b" \n\t")] = _WHITE
+_KIND[[*range(ord("a"), ord("z") + 1), 0xC3]] = _LETTER
+_KIND[list(b"0123456789")] = _DIGIT
 
 
 def _encoder(path: str):
     """The tokenizer and this worker's cache of units; a unit's ids do not depend on its neighbours."""
     if _STATE.get("path") != path:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         tok = Tokenizer.from_file(path)
+        # For lower-case runs of letters with spaces between, the same model without the normaliser's regular expressions.
+        lean = Tokenizer(tok.model)
+        lean.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False), pre_tokenizers.CharDelimiterSplit("Ġ")])
         ends = np.zeros(tok.get_vocab_size(), bool)
         for piece, k in tok.get_vocab().items():
             ends[k] = piece.endswith("</w>")
-        _STATE.update(path=path, tok=tok, ends=ends, cache={})
+        _STATE.update(path=path, tok=tok, lean=lean, ends=ends, cache={}, old={})
     return _STATE["tok"], _STATE["cache"]
 
 
@@ -63,14 +71,16 @@ def _clear() -> bool:
 holds("packing", _clear)
 
 
-def _learn(units: list[str]) -> None:
+def _learn(units: list[bytes]) -> None:
     """Put units into the cache. Runs of letters are encoded together, one string for many: the last id of each is one
     that ends a word."""
     tok, cache = _STATE["tok"], _STATE["cache"]
-    runs = [u for u in units if u.isalpha()]
-    single = [u for u in units if not u.isalpha()]
-    for lot in batched(runs, 200):
-        ids = np.array(tok.encode(" ".join(lot), add_special_tokens=False).ids, "<u4")
+    runs, single = [], []
+    for u in units:
+        (runs if _KIND[u[0]] == _LETTER else single).append(u)
+    lots = list(batched(runs, 200))
+    for lot, got in zip(lots, _STATE["lean"].encode_batch_fast([b" ".join(lot).decode() for lot in lots], add_special_tokens=False), strict=True):
+        ids = np.array(got.ids, "<u4")
         cuts = np.flatnonzero(_STATE["ends"][ids]) + 1
         if len(cuts) != len(lot) or cuts[-1] != len(ids):
             single += lot
@@ -81,21 +91,90 @@ def _learn(units: list[str]) -> None:
             cache[u] = raw[at:c]
             at = c
     for u in single:
-        cache[u] = np.array(tok.encode(u, add_special_tokens=False).ids, "<u4").tobytes()
+        cache[u] = np.array(tok.encode(u.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def _ids_of(units: list[bytes]) -> list[bytes]:
+    """Ids of distinct units. The cache has two halves: a full one becomes the old one, from which units that are met
+    again are taken over, so frequent units are not learned twice."""
+    cache = _STATE["cache"]
+    missing = [u for u in units if u not in cache]
+    if cache and len(cache) + len(missing) > CACHE_UNITS // 2:
+        _STATE["old"], _STATE["cache"] = cache, (cache := {})
+        missing = units
+    old = _STATE["old"]
+    unknown = []
+    for u in missing:
+        raw = old.get(u)
+        if raw is None:
+            unknown.append(u)
+        else:
+            cache[u] = raw
+    _learn(unknown)
+    return [cache[u] for u in units]
+
+
+def _split(texts: list[bytes]) -> tuple[pa.LargeBinaryArray, np.ndarray]:
+    """The tokenizer's own pattern, for lower-case texts of plain characters: units, each text's first unit (with the end).
+    A unit is a run of letters, a digit, a run of other characters, or one of 's 't 're 've 'm 'll 'd."""
+    b = np.frombuffer(b"\n".join(texts) + b"\n\n\n", np.uint8)
+    kind = _KIND[b]
+    kind[np.flatnonzero(b == 0xC3) + 1] = _LETTER
+    start = np.ones(len(b), bool)
+    np.not_equal(kind[1:], kind[:-1], out=start[1:])
+    start |= kind == _DIGIT
+    q = np.flatnonzero((b == ord("'")) & start)
+    one, two = b[q + 1], b[q + 2]
+    short = np.isin(one, list(b"stmd"))
+    long = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+    q, size = q[short | long], np.where(short, 1, 2)[short | long]
+    start[q + 1] = False
+    start[q + 1 + size] = True
+    keep = kind != _WHITE
+    start &= keep
+    at = np.flatnonzero(start)
+    data = b[keep]
+    offsets = np.append((np.cumsum(keep) - 1)[at], len(data)).astype(np.int64)
+    begin = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data)]), np.searchsorted(at, begin)
 
 
 def encode_texts(texts: list[str], path: str) -> list[bytes]:
     """Ids of each whole text as little-endian unsigned 32-bit bytes, without the end id."""
-    tok, cache = _encoder(path)
-    units = [_UNIT.findall(t.lower()) if "<|" not in t and _PLAIN.fullmatch(t) else None for t in texts]
-    met: set[str] = set()
-    met.update(*(u for u in units if u is not None))
-    if len(cache) + len(missing := met.difference(cache)) > CACHE_UNITS:
-        cache.clear()
-        missing = met
-    _learn(sorted(missing))
-    get = cache.__getitem__
-    return [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if u is None else b"".join(map(get, u)) for t, u in zip(texts, units, strict=True)]
+    tok, _ = _encoder(path)
+    plain = ["<|" not in t and _PLAIN.fullmatch(t) is not None for t in texts]
+    units, first = _split([t.lower().encode() for t, p in zip(texts, plain, strict=True) if p])
+    coded = units.dictionary_encode()
+    known = _ids_of(coded.dictionary.to_pylist())
+    code = coded.indices.to_numpy()
+    ids = np.frombuffer(b"".join(known), "<u4")
+    n = np.array([len(k) // 4 for k in known], np.int64)
+    from_ = np.cumsum(n) - n
+    count = n[code]
+    ends = np.concatenate([[0], np.cumsum(count)])
+    raw = ids[np.arange(ends[-1]) + np.repeat(from_[code] - ends[:-1], count)].tobytes()
+    cuts = iter((4 * ends[first]).tolist())
+    out, lo = [], next(cuts)
+    for t, p in zip(texts, plain, strict=True):
+        if p:
+            hi = next(cuts)
+            out.append(raw[lo:hi])
+            lo = hi
+        else:
+            out.append(np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes())
+    return out
+
+
+def _lots(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Bounds of lots of at most 1,024 texts and about ``LOT_CHARS`` characters."""
+    lo, size = 0, 0
+    for k, t in enumerate(texts):
+        if k > lo and (k - lo == 1024 or size + len(t) > LOT_CHARS):
+            yield lo, k
+            lo, size = k, 0
+        size += len(t)
+    if texts:
+        yield lo, len(texts)
 
 
 def token_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
@@ -105,9 +184,10 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, ca
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for lot in range(0, whole.num_rows, 1024):
-                b = whole.slice(lot, 1024)
-                ids = encode_texts([t or "" for t in b.column(1).to_pylist()], tokenizer)
+            texts = [t or "" for t in whole.column(1).to_pylist()]
+            for lo, hi in _lots(texts):
+                b = whole.slice(lo, hi - lo)
+                ids = encode_texts(texts[lo:hi], tokenizer)
                 rows, piece, start, length, crc = [], [], [], [], []
                 for k, raw in enumerate(ids):
                     raw += end
