@@ -12,8 +12,10 @@ lane of every image of the batch. Arithmetic on samples is in whole numbers, so
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from math import isqrt
 
 import numpy as np
@@ -55,6 +57,11 @@ def _lookup(lengths: dict[int, list[int]]) -> np.ndarray:
     return out
 
 
+def _ragged(n: np.ndarray) -> np.ndarray:
+    """0 to n[i] - 1 for each i, one behind the other."""
+    return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+
+
 def _segment(marker: int, body: bytes) -> bytes:
     return bytes([0xFF, marker]) + (len(body) + 2).to_bytes(2, "big") + body
 
@@ -76,24 +83,27 @@ def geometry(blocks: int) -> tuple[int, int]:
 # --- writing
 
 def _pack(lane: np.ndarray, code: np.ndarray, bits: np.ndarray, lanes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Concatenate codes (sorted by lane, at most 24 bits each) into bytes; each lane is filled up with ones.
+    """Concatenate codes (sorted by lane, at most 32 bits each) into bytes; each lane is filled up with ones.
     Returns the bytes and each lane's first byte (with the end)."""
-    size = np.bincount(lane, bits, lanes).astype(np.int64)
+    total_bits = np.cumsum(bits)
+    stop = np.cumsum(np.bincount(lane, minlength=lanes))
+    size = np.diff(np.concatenate([[0], total_bits])[stop], prepend=0)
     first = np.concatenate([[0], np.cumsum(-(-size // 8))])
-    inside = np.cumsum(bits) - bits
-    begin = np.concatenate([[0], np.cumsum(size)])[:-1]
-    at = first[lane] * 8 + inside - begin[lane]
-    word = code << (32 - bits - (at & 7))
-    byte = at >> 3
+    at = total_bits - bits + (first[:-1] * 8 - np.cumsum(size) + size)[lane]
     total = int(first[-1])
-    out = np.zeros(total + 4)
-    for k in range(4):
-        out += np.bincount(byte + k, (word >> (24 - 8 * k)) & 255, total + 4)
+    # Codes that begin in the same 32 bits are put together in 63 bits, which reach into the next 32.
+    word = at >> 5
+    begin = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.empty(0, int)
+    both = np.bitwise_or.reduceat(code << (63 - bits - (at & 31)), begin) if len(word) else np.empty(0, int)
+    words = np.zeros(total // 4 + 2, np.int64)
+    words[word[begin]] = both >> 31
+    words[word[begin] + 1] |= (both & (1 << 31) - 1) << 1
+    out = words.astype(">u4").view(np.uint8)[:total]
     rest = -size % 8
     last = first[1:] - 1
     fill = size > 0
-    out[last[fill]] += (1 << rest[fill]) - 1
-    return out[:total].astype(np.uint8), first
+    out[last[fill]] |= ((1 << rest[fill]) - 1).astype(np.uint8)
+    return out, first
 
 
 def _frame(raw: np.ndarray, first: np.ndarray, number: np.ndarray, final: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -116,82 +126,106 @@ def _size_of(v: np.ndarray) -> np.ndarray:
     return np.frexp(np.abs(v).astype(np.float64))[1].astype(np.int64)
 
 
+def _value_codes() -> np.ndarray:
+    """By run of zeros (0 to 15) and value + 128: code << 5 | bits of an AC symbol with its value's bits."""
+    code, bits = _codes(AC_LENGTHS)
+    val = np.arange(-128, 129)
+    s = _size_of(val)
+    sym = np.arange(16)[:, None] << 4 | s
+    return (code[sym] << s | np.where(val < 0, val + (1 << s) - 1, val)) << 5 | bits[sym] + s
+
+
+_VALUE_CODES = _value_codes()
+_EOB, _ZRL = (tuple(int(t[sym]) for t in _codes(AC_LENGTHS)) for sym in (0x00, 0xF0))
+
+
+def _fold(known: np.ndarray, bit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per row the bits of its known columns (at most 32) as one code, and their number."""
+    code = np.zeros(len(known), np.int64)
+    mask, bit = np.ascontiguousarray(known.T), np.ascontiguousarray(bit.T)
+    for m, x in zip(mask, bit, strict=True):
+        code <<= m
+        code |= x & m
+    return code, known.sum(1)
+
+
 def _code_scan(c: np.ndarray, lane: np.ndarray, ss: int, se: int, ah: int, al: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes of one kind of scan over blocks c (n, 64 in zigzag order), as (lane, code, bits) in stream order."""
+    """Codes of one kind of scan over blocks c (n, 64 in zigzag order, values of -128 to 127), as (lane, code, bits) in
+    stream order."""
     n = len(c)
-    ac_code, ac_bits = _codes(AC_LENGTHS)
     if ss == 0 and ah:
-        return lane, (c[:, 0] >> al) & 1, np.ones(n, np.int64)
+        return lane, (c[:, 0] >> al).astype(np.int64) & 1, np.ones(n, np.int64)
     if ss == 0:
-        v = c[:, 0] >> al
+        v = c[:, 0].astype(np.int64) >> al
         diff = v - np.where(np.concatenate([[True], lane[1:] != lane[:-1]]), 0, np.concatenate([[0], v[:-1]]))
         s = _size_of(diff)
         dc_code, dc_bits = _codes(DC_LENGTHS)
         return lane, dc_code[s] << s | np.where(diff < 0, diff + (1 << s) - 1, diff), dc_bits[s] + s
     band = c[:, ss : se + 1]
-    v = np.sign(band) * (np.abs(band) >> al)
+    width = se - ss + 1
+    size = np.abs(band) >> al
     if not ah:
-        where = np.flatnonzero(v.ravel())
-        row, col = np.divmod(where, band.shape[1])
-        val = v.ravel()[where]
-        before = np.where(np.concatenate([[True], row[1:] != row[:-1]]) if len(row) else np.empty(0, bool), -1, np.concatenate([[0], col[:-1]])[: len(col)])
-        run = col - before - 1
-        zrl = run >> 4
-        s = _size_of(val)
-        sym = (run & 15) << 4 | s
-        code, bits = ac_code[sym] << s | np.where(val < 0, val + (1 << s) - 1, val), ac_bits[sym] + s
+        v = (np.sign(band) * size).ravel()
+        where = np.flatnonzero(v)
+        row = where // width
+        # Zeros before a value: up to the value before it, or to its block's begin.
+        before = np.maximum(np.concatenate([[-1], where[:-1]])[: len(where)], row * width - 1)
+        run = where - before - 1
+        entry = _VALUE_CODES[run & 15, v[where] + 128]
         last = np.full(n, -1)
-        last[row] = col
-        eob = np.flatnonzero(last < band.shape[1] - 1)
-        longs = np.repeat(np.arange(len(row)), zrl)
-        pos = np.concatenate([where * 4 + 2, where[longs] * 4 + 1, eob * band.shape[1] * 4 + (band.shape[1] * 4 - 1)])
+        last[row] = where - row * width
+        eob = np.flatnonzero(last < width - 1)
+        if not len(eob) and not run.any():
+            return lane[row], entry >> 5, entry & 31
+        longs = np.repeat(np.arange(len(row)), run >> 4)
+        pos = np.concatenate([where * 4 + 2, where[longs] * 4 + 1, eob * width * 4 + (width * 4 - 1)])
         rows = np.concatenate([row, row[longs], eob])
-        code = np.concatenate([code, np.full(len(longs), ac_code[0xF0]), np.full(len(eob), ac_code[0])])
-        bits = np.concatenate([bits, np.full(len(longs), ac_bits[0xF0]), np.full(len(eob), ac_bits[0])])
+        code = np.concatenate([entry >> 5, np.full(len(longs), _ZRL[0]), np.full(len(eob), _EOB[0])])
+        bits = np.concatenate([entry & 31, np.full(len(longs), _ZRL[1]), np.full(len(eob), _EOB[1])])
         order = np.argsort(pos, kind="stable")
         return lane[rows[order]], code[order], bits[order]
-    old = (np.abs(band) >> al) > 1
-    new = (np.abs(band) >> al) == 1
-    plain = ~new.any(1)
-    rows, codes, lens, keys = [], [], [], []
+    plain = ~(size == 1).any(1)
     # Blocks without new coefficients: one end-of-band symbol, then a bit of each known coefficient.
     p = np.flatnonzero(plain)
-    rows.append(p)
-    codes.append(np.full(len(p), ac_code[0]))
-    lens.append(np.full(len(p), ac_bits[0]))
-    keys.append(p * 256)
-    r, k = np.nonzero(old & plain[:, None])
-    rows.append(r)
-    codes.append((np.abs(band[r, k]) >> al) & 1)
-    lens.append(np.ones(len(r), np.int64))
-    keys.append(r * 256 + 1 + k)
-    for b in np.flatnonzero(~plain):
-        got: list[tuple[int, int]] = []
-        run, held = 0, []
-        end = int(np.flatnonzero(new[b])[-1])
-        for k in range(band.shape[1]):
-            if old[b, k]:
-                held.append(int(abs(band[b, k]) >> al) & 1)
-            elif new[b, k]:
-                got.append((int(ac_code[run << 4 | 1]) << 1 | int(band[b, k] > 0), int(ac_bits[run << 4 | 1]) + 1))
-                got += [(x, 1) for x in held]
-                run, held = 0, []
-            else:
-                run += 1
-                if run == 16 and k < end:
-                    got.append((int(ac_code[0xF0]), int(ac_bits[0xF0])))
-                    got += [(x, 1) for x in held]
-                    run, held = 0, []
-        if held or run:
-            got.append((int(ac_code[0]), int(ac_bits[0])))
-            got += [(x, 1) for x in held]
-        rows.append(np.full(len(got), b))
-        codes.append(np.array([g[0] for g in got], np.int64))
-        lens.append(np.array([g[1] for g in got], np.int64))
-        keys.append(b * 256 + np.arange(len(got)))
-    key = np.concatenate(keys)
-    order = np.argsort(key, kind="stable")
-    return lane[np.concatenate(rows)[order]], np.concatenate(codes)[order], np.concatenate(lens)[order]
+    known, bit = size[p] > 1, size[p] & 1
+    parts = [(np.full(len(p), _EOB[0]), np.full(len(p), _EOB[1]))] + [_fold(known[:, k : k + 32], bit[:, k : k + 32]) for k in range(0, width, 32)]
+    row = np.repeat(p, len(parts))
+    code, bits = (np.stack([x[k] for x in parts], 1).ravel() for k in (0, 1))
+    q = np.flatnonzero(~plain)
+    if not len(q):
+        return lane[row], code, bits
+    q_row, q_code, q_bits = _code_new(band[q], size[q])
+    row = np.concatenate([row, q[q_row]])
+    order = np.argsort(row, kind="stable")
+    return lane[row[order]], np.concatenate([code, q_code])[order], np.concatenate([bits, q_bits])[order]
+
+
+def _code_new(band: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Refinement of blocks with new coefficients, as (row, code, bits) in stream order. A symbol stands at each new
+    coefficient, at each sixteenth zero since the one before, and behind the last if the band goes on; bits of known
+    coefficients follow the next symbol."""
+    n, width = band.shape
+    known, new, zero = size > 1, size == 1, size == 0
+    end = width - 1 - new[:, ::-1].argmax(1)
+    zeros = np.cumsum(zero, 1)
+    since = zeros - np.maximum.accumulate(np.where(new, zeros, 0), 1)
+    run = np.zeros((n, width), np.int64)
+    run[:, 1:] = since[:, :-1]
+    zrl = zero & (since % 16 == 0) & (np.arange(width) < end[:, None])
+    symbol = np.concatenate([new | zrl, (end < width - 1)[:, None]], 1)
+    turn = np.cumsum(symbol, 1) - symbol
+    code, bits = _codes(AC_LENGTHS)
+    r1, k1 = np.nonzero(new)
+    s1 = run[r1, k1] % 16 << 4 | 1
+    r2, k2 = np.nonzero(zrl)
+    r3 = np.flatnonzero(symbol[:, -1])
+    r4, k4 = np.nonzero(known)
+    key = np.concatenate([turn[r1, k1] * 128, turn[r2, k2] * 128, turn[r3, -1] * 128, turn[r4, k4] * 128 + 1 + k4])
+    row = np.concatenate([r1, r2, r3, r4])
+    codes = np.concatenate([code[s1] << 1 | (band[r1, k1] > 0), np.full(len(r2), _ZRL[0]), np.full(len(r3), _EOB[0]), size[r4, k4] & 1])
+    lens = np.concatenate([bits[s1] + 1, np.full(len(r2), _ZRL[1]), np.full(len(r3), _EOB[1]), np.ones(len(r4), np.int64)])
+    order = np.argsort(row * (1 << 14) + key, kind="stable")
+    return row[order], codes[order], lens[order]
 
 
 def encode_payloads(payloads: list[bytes]) -> list[bytes]:
@@ -200,25 +234,23 @@ def encode_payloads(payloads: list[bytes]) -> list[bytes]:
     shapes = [geometry(n) for n in sizes]
     per = np.array([[4 * w * h, w * h, w * h] for w, h in shapes])
     total = np.concatenate([[0], np.cumsum(per.sum(1))])
-    coef = np.zeros((int(total[-1]), 64), np.int64)
-    flat = np.frombuffer(b"".join(payloads), np.uint8).astype(np.int64).reshape(-1, 64) - 128
-    at = 0
-    for k, n in enumerate(sizes):
-        coef[total[k] : total[k] + n] = flat[at : at + n]
-        at += n
+    coef = np.zeros((int(total[-1]), 64), np.int32)
+    n = np.array(sizes)
+    coef[np.repeat(total[:-1], n) + _ragged(n)] = np.frombuffer(b"".join(payloads), np.uint8).astype(np.int32).reshape(-1, 64) - 128
     begin = total[:-1, None] + np.concatenate([np.zeros((len(per), 1), np.int64), np.cumsum(per, 1)[:, :2]], 1)
     scans: list[list[bytes]] = [[] for _ in payloads]
-    for comp, *band in SCRIPT:
+    layouts = []
+    for comp in range(3):
         lens = per[:, comp]
-        rows = np.concatenate([np.arange(b, b + n) for b, n in zip(begin[:, comp], lens, strict=True)])
-        place = np.concatenate([np.arange(n) for n in lens])
+        place = _ragged(lens)
         lanes = -(-lens // RESTART)
         base = np.concatenate([[0], np.cumsum(lanes)])
-        lane = np.repeat(base[:-1], lens) + place // RESTART
-        number = np.concatenate([np.arange(n) for n in lanes])
         final = np.zeros(base[-1], bool)
         final[base[1:] - 1] = True
-        ln, code, bits = _code_scan(coef[rows], lane, *band)
+        layouts.append((coef[np.repeat(begin[:, comp], lens) + place], np.repeat(base[:-1], lens) + place // RESTART, base, _ragged(lanes), final))
+    for comp, *band in SCRIPT:
+        part, lane, base, number, final = layouts[comp]
+        ln, code, bits = _code_scan(part, lane, *band)
         raw, first = _pack(ln, code, bits, int(base[-1]))
         out, ends = _frame(raw, first, number, final)
         stop = ends[base[1:] - 1]
@@ -237,6 +269,18 @@ def encode_payloads(payloads: list[bytes]) -> list[bytes]:
 
 # --- reading
 
+@lru_cache(1024)
+def _scan_head(body: bytes, ids: tuple[int, ...]) -> tuple:
+    """Of a scan's header: components, first and last coefficient, high and low bit, the components' tables."""
+    n = body[0]
+    ss, se, a = body[1 + 2 * n : 4 + 2 * n]
+    sel = [body[2 + 2 * k] for k in range(n)]
+    return tuple(ids.index(body[1 + 2 * k]) for k in range(n)), ss, se, a >> 4, a & 15, tuple(0x10 | s & 15 if ss else s >> 4 for s in sel)
+
+
+_MARKER = re.compile(rb"\xff[^\x00\xff\xd0-\xd7]")
+
+
 class _Image:
     """What the headers of a file say, and its scans' bytes."""
 
@@ -245,10 +289,6 @@ class _Image:
         self.comment, self.restart = b"", 0
         self.quant: dict[int, np.ndarray] = {}
         tables: dict[int, bytes] = {}
-        arr = np.frombuffer(data, np.uint8)
-        ff = np.flatnonzero(arr[:-1] == 255)
-        nxt = arr[ff + 1]
-        stops = ff[(nxt != 0) & (nxt != 255) & ((nxt < 0xD0) | (nxt > 0xD7))]
         at = 2
         while at < len(data) - 1:
             if data[at] != 0xFF:
@@ -280,14 +320,13 @@ class _Image:
             elif m in (0xC0, 0xC1, 0xC3, *range(0xC5, 0xD0)):
                 raise ValueError("not a progressive Huffman-coded file")
             elif m == 0xDA:
-                n = body[0]
-                ids = [p[0] for p in self.parts]
-                comps = tuple(ids.index(body[1 + 2 * k]) for k in range(n))
-                sel = [body[2 + 2 * k] for k in range(n)]
-                ss, se, a = body[1 + 2 * n : 4 + 2 * n]
-                used = tuple(tables.get((0x10 if ss else 0) | (s & 15 if ss else s >> 4), b"") for s in sel)
-                end = int(stops[np.searchsorted(stops, at)])
-                self.scans.append((comps, ss, se, a >> 4, a & 15, used, self.restart, data[at:end]))
+                comps, ss, se, ah, al, sel = _scan_head(body, tuple([p[0] for p in self.parts]))
+                used = tuple([tables.get(s, b"") for s in sel])
+                stop = _MARKER.search(data, at)
+                if stop is None:
+                    raise ValueError("a scan has no end")
+                end = stop.start()
+                self.scans.append((comps, ss, se, ah, al, used, self.restart, data[at:end]))
                 at = end
         hm, vm = max(p[1] for p in self.parts), max(p[2] for p in self.parts)
         self.units = (-(-self.width // (8 * hm)), -(-self.height // (8 * vm)))
@@ -325,7 +364,7 @@ def _dht(body: bytes) -> dict[int, list[int]]:
 
 
 class _Bits:
-    """The scan bytes of many lanes, unstuffed; 32 bits from any bit on."""
+    """The scan bytes of many lanes, unstuffed; 24 bits from any byte on."""
 
     def __init__(self, data: bytes, bounds: np.ndarray, lanes_of: np.ndarray):
         raw = np.frombuffer(data, np.uint8)
@@ -339,12 +378,12 @@ class _Bits:
         if len(starts) != lanes_of.sum():
             raise ValueError("restart markers do not match the restart interval")
         self.first = np.where(starts > 0, kept[starts - 1], 0).astype(np.int64) * 8
-        b = np.concatenate([raw[~drop], np.full(8, 255, np.uint8)]).astype(np.uint32)
-        self.word = (b[:-3] << np.uint32(24) | b[1:-2] << np.uint32(16) | b[2:-1] << np.uint32(8) | b[3:]).astype(np.int64)
+        b = np.concatenate([raw[~drop], np.full(8, 255, np.uint8)]).astype(np.int32)
+        self.word = b[:-2] << 16 | b[1:-1] << 8 | b[2:]
 
     def peek(self, at: np.ndarray, n) -> np.ndarray:
-        """The next n bits (at most 24)."""
-        return (self.word[at >> 3] >> (32 - n - (at & 7))) & ((1 << n) - 1)
+        """The next n bits (at most 17)."""
+        return (self.word[at >> 3] >> (24 - n - (at & 7))) & ((1 << n) - 1)
 
 
 def _extend(v: np.ndarray, s: np.ndarray) -> np.ndarray:
@@ -366,32 +405,45 @@ def _read_dc(bits: _Bits, tables: list[np.ndarray], blocks: np.ndarray, which: n
         coef[blocks[b], 0] = pred[lane, c] << al
 
 
-def _read_ac(bits: _Bits, table: np.ndarray, blocks: np.ndarray, first: np.ndarray, count: np.ndarray, coef: np.ndarray, ss: int, se: int, al: int) -> None:
+def _read_ac(bits: _Bits, body: bytes, blocks: np.ndarray, first: np.ndarray, count: np.ndarray, coef: np.ndarray, ss: int, se: int, al: int) -> None:
     at, b, end = bits.first.copy(), first.copy(), first + count
     k = np.full(len(at), ss)
     out = coef.reshape(-1)
-    while True:
-        live = b < end
-        if not live.all():
-            at, b, end, k = at[live], b[live], end[live], k[live]
-        if not len(at):
-            return
-        entry = table[bits.peek(at, 16)]
+    table, direct = _cached(body), _cached_values(body)
+    begin = blocks * 64
+    into = begin[b] if len(b) else b
+    while len(at):
+        ahead = bits.peek(at, 16)
+        entry = direct[ahead]
         at += entry & 31
-        s, r = (entry >> 5) & 15, entry >> 9
-        more = np.where(s > 0, s, np.where(r < 15, r, 0))
-        v = bits.peek(at, more)
-        at += more
-        k += np.where(s > 0, r, np.where(r == 15, 16, 64))
-        put = s > 0
-        out[blocks[b[put]] * 64 + k[put]] = _extend(v[put], s[put]) << al if al else _extend(v[put], s[put])
-        ended = ~put & (r < 15)
-        k += put
-        if ended.any():
-            b += np.where(ended, (1 << np.where(ended, r, 0)) + v, 0)
-        over = (k > se) & ~ended
-        b += over
-        k[over | ended] = ss
+        k += (entry >> 5) & 127
+        v = entry >> 12
+        skip = None
+        if not v.all():
+            odd = np.flatnonzero(entry == 0)
+            if len(odd):  # values and runs of ended blocks whose bits lie beyond the 16
+                entry = table[ahead[odd]]
+                a = at[odd] + (entry & 31)
+                s, r = (entry >> 5) & 15, entry >> 9
+                more = np.where(s > 0, s, np.where(r < 15, r, 0))
+                x = bits.peek(a, more)
+                at[odd] = a + more
+                k[odd] += np.where(s > 0, r + 1, np.where(r == 15, 16, 64))
+                v[odd] = np.where(s > 0, _extend(x, s), 0)
+                skip = np.zeros(len(at), np.int64)
+                skip[odd] = np.where((s == 0) & (r < 15), (1 << r) - 1 + x, 0)
+            put = np.flatnonzero(v)
+            out[into[put] + k[put] - 1] = v[put] << al
+        else:
+            out[into + k - 1] = v << al
+        over = np.flatnonzero(k > se)
+        if len(over):
+            b[over] += 1 if skip is None else 1 + skip[over]
+            k[over] = ss
+            live = b < end
+            if not live.all():
+                at, b, end, k = at[live], b[live], end[live], k[live]
+            into = begin[b]
 
 
 def _refine_ac(bits: _Bits, table: np.ndarray, blocks: np.ndarray, first: np.ndarray, count: np.ndarray, coef: np.ndarray, ss: int, se: int, al: int) -> None:
@@ -417,13 +469,13 @@ def _refine_ac(bits: _Bits, table: np.ndarray, blocks: np.ndarray, first: np.nda
         known = band != 0
         ahead = cols >= k[:, None]
         # The symbol's own place: the coefficient after r others that are still zero; past the band if there is none.
-        zeros = np.cumsum(~known & ahead, 1)
+        zeros = np.cumsum(~known & ahead, 1, dtype=np.int16)
         need = np.where(eob > 0, 1 << 20, np.where((s == 0) & (r == 15), 16, r + 1))
         target = np.where(zeros[:, -1] >= need, (zeros < need[:, None]).sum(1) + ss, se + 1)
         fix = known & ahead & (cols < target[:, None])
-        rank = np.cumsum(fix, 1)
+        rank = np.cumsum(fix, 1, dtype=np.int16)
         where = (at[:, None] + rank - 1)[fix]
-        got = (bits.word[where >> 3] >> (31 - (where & 7))) & 1
+        got = (bits.word[where >> 3] >> (23 - (where & 7))) & 1
         val = band[fix]
         band[fix] = val + np.where(got == 1, np.sign(val) << al, 0)
         at += rank[:, -1]
@@ -441,7 +493,31 @@ def decode_coefficients(files: list[bytes]) -> tuple[list[_Image], np.ndarray, n
     """Accumulate all scans of all files: headers, coefficients (blocks, 64 in zigzag order), each file's first block."""
     images = [_Image(f) for f in files]
     base = np.concatenate([[0], np.cumsum([im.starts[-1] for im in images])]).astype(np.int64)
-    coef = np.zeros((int(base[-1]), 64), np.int64)
+    coef = np.zeros((int(base[-1]), 64), np.int32)
+    orders: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+    layouts: dict[tuple, tuple] = {}
+
+    def order(k: int, comps: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+        key = (images[k].width, images[k].height, *images[k].parts, comps)
+        if key not in orders:
+            orders[key] = images[k].order(comps)
+        return orders[key]
+
+    def layout(comps: tuple[int, ...], restart: int, per: int, members: list[int]) -> tuple:
+        """Blocks in stream order, the component of each, and the lanes: how many a member has, first block, count."""
+        key = (comps, restart, per, *members)
+        if key not in layouts:
+            found = [order(k, comps) for k in members]
+            n = np.array([len(o) for o, _ in found])
+            blocks = np.concatenate([o for o, _ in found]) + np.repeat(base[members], n)
+            step = np.full(len(n), restart * per) if restart else n
+            lanes = -(-n // step)
+            begin = np.cumsum(n) - n
+            first = np.repeat(begin, lanes) + _ragged(lanes) * np.repeat(step, lanes)
+            count = np.minimum(np.repeat(step, lanes), np.repeat(begin + n, lanes) - first)
+            layouts[key] = (blocks, np.concatenate([w for _, w in found]), lanes, first, count)
+        return layouts[key]
+
     for turn in range(max((len(im.scans) for im in images), default=0)):
         groups: dict[tuple, list[int]] = {}
         for k, im in enumerate(images):
@@ -449,23 +525,14 @@ def decode_coefficients(files: list[bytes]) -> tuple[list[_Image], np.ndarray, n
                 comps, ss, se, ah, al, used, restart, _ = im.scans[turn]
                 groups.setdefault((comps, ss, se, ah, al, used, restart), []).append(k)
         for (comps, ss, se, ah, al, used, restart), members in groups.items():
-            orders = [images[k].order(comps) for k in members]
             per = 1 if len(comps) == 1 else sum(images[members[0]].parts[c][1] * images[members[0]].parts[c][2] for c in comps)
-            blocks = np.concatenate([o + base[k] for k, (o, _) in zip(members, orders, strict=True)])
-            which = np.concatenate([w for _, w in orders])
-            n = np.array([len(o) for o, _ in orders])
-            step = np.where(restart > 0, restart * per, n) if restart else n
-            lanes = -(-n // step)
-            begin = np.concatenate([[0], np.cumsum(n)[:-1]])
-            place = np.concatenate([np.arange(x) for x in lanes])
-            first = np.repeat(begin, lanes) + place * np.repeat(step, lanes)
-            count = np.minimum(np.repeat(step, lanes), np.repeat(begin + n, lanes) - first)
+            blocks, which, lanes, first, count = layout(comps, restart, per, members)
             data = [images[k].scans[turn][7] for k in members]
             bounds = np.concatenate([[0], np.cumsum([len(d) for d in data])[:-1]]).astype(np.int64)
             bits = _Bits(b"".join(data), bounds, lanes)
             if ss == 0 and ah:
                 lane = np.repeat(np.arange(len(first)), count)
-                at = bits.first[lane] + np.concatenate([np.arange(c) for c in count]) if len(count) else np.empty(0, int)
+                at = bits.first[lane] + _ragged(count)
                 rows = blocks[np.repeat(first, count) + (at - bits.first[lane])]
                 coef[rows, 0] |= bits.peek(at, 1) << al
             elif ss == 0:
@@ -473,11 +540,12 @@ def decode_coefficients(files: list[bytes]) -> tuple[list[_Image], np.ndarray, n
             elif ah:
                 _refine_ac(bits, _cached(used[0]), blocks, first, count, coef, ss, se, al)
             else:
-                _read_ac(bits, _cached(used[0]), blocks, first, count, coef, ss, se, al)
+                _read_ac(bits, used[0], blocks, first, count, coef, ss, se, al)
     return images, coef, base
 
 
 _LOOKUPS: dict[bytes, np.ndarray] = {}
+_VALUES: dict[bytes, np.ndarray] = {}
 
 
 def _cached(body: bytes) -> np.ndarray:
@@ -486,6 +554,21 @@ def _cached(body: bytes) -> np.ndarray:
     return _LOOKUPS[body]
 
 
+def _cached_values(body: bytes) -> np.ndarray:
+    """By the next 16 bits, where they hold a whole AC symbol: value << 12 | advance << 5 | bits (an ended block advances
+    by 64); else 0."""
+    if body not in _VALUES:
+        ahead = np.arange(1 << 16)
+        entry = _cached(body).astype(np.int64)
+        s, r = (entry >> 5) & 15, entry >> 9
+        size = (entry & 31) + s
+        left = np.maximum(16 - size, 0)
+        value = np.where(s > 0, _extend((ahead >> left) & ((1 << s) - 1), s), 0)
+        whole = (entry & 31 > 0) & (size <= 16) & ((s > 0) | (r == 0) | (r == 15))
+        _VALUES[body] = np.where(whole, value << 12 | np.where(s > 0, r + 1, np.where(r == 15, 16, 64)) << 5 | size, 0)
+    return _VALUES[body]
+
+
 def _basis() -> np.ndarray:
     """Inverse transform of a zigzag block to 64 samples, times 2**13, rounded to whole numbers."""
     x = np.arange(8)
@@ -507,7 +590,12 @@ def rgb_tensors(images: list[_Image], coef: np.ndarray, base: np.ndarray) -> lis
             if (q != 1).any():
                 scaled[base[k] + im.starts[c] : base[k] + im.starts[c + 1]] *= q
     # Products and sums are whole numbers below 2**53, so the result does not depend on the order of summation.
-    samples = np.clip((np.rint(scaled @ _BASIS).astype(np.int64) + (1 << 12) >> 13) + 128, 0, 255).astype(np.int32)
+    samples = scaled @ _BASIS
+    samples += 1 << 12
+    samples /= 1 << 13
+    np.floor(samples, out=samples)
+    samples += 128
+    samples = np.clip(samples, 0, 255, out=samples).astype(np.int32)
     for k, im in enumerate(images):
         planes = []
         for c, p in enumerate(im.parts):
