@@ -69,6 +69,11 @@ def with_tokens(docs: DataFrame, text_col: str, *keep: Column) -> DataFrame:
     return spread(docs).select(*keep, _words(F.col(text_col)).alias("_w")).select("*", _with_pairs(F.col("_w")).alias("t")).drop("_w")
 
 
+def with_words(docs: DataFrame, text_col: str, *keep: Column) -> DataFrame:
+    """``keep`` and ``w``, the words joined by blanks, which no word holds: what ``with_tokens`` joins in pairs."""
+    return spread(docs).select(*keep, F.array_join(_words(F.col(text_col)), " ").alias("w"))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores where its files give fewer tasks than there are cores (a small input); else as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
