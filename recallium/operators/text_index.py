@@ -10,6 +10,7 @@ takes the k-th best score as the threshold, and scores of the other groups only
 from __future__ import annotations
 
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +29,19 @@ OUT_ROWS = 1 << 15
 PACKED_TERMS = 1 << 19
 FIRST_GROUPS = 4
 DOCS_BUCKET = -1  # the folder of the runs' documents
+#: Terms are no dictionary, since each comes once a run; this version stores what a term has beyond the one before.
+_WRITTEN = {"compression": "zstd", "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary#term": "false"}
 _STORED = "term string, run long, n int, docs array<int>, tfs array<int>"
 
 
 def _bucket(term: Column, buckets: int) -> Column:
     """By the first word, so that terms that begin alike stand together and are stored in little space."""
-    return F.when(term.isNull(), DOCS_BUCKET).otherwise(F.pmod(F.xxhash64(F.substring_index(term, "_", 1)), F.lit(buckets)).cast("int"))
+    return F.pmod(F.crc32(F.substring_index(term, "_", 1).cast("binary")), F.lit(buckets)).cast("int")
+
+
+def _buckets(words: pa.Array, buckets: int) -> np.ndarray:
+    """``_bucket`` of the terms that begin with these words."""
+    return np.fromiter((crc32(w.partition("_")[0].encode()) % buckets for w in words.to_pylist()), np.int32, len(words))
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.ListArray]]:
@@ -122,19 +130,20 @@ def _named(words: pa.Array, key: np.ndarray) -> pa.Array:
     return pc.if_else(pa.array(second == 0), left, pc.binary_join_element_wise(left, words.take(pa.array(np.maximum(second - 1, 0))), "_"))
 
 
-def _blocks():
+def _blocks(buckets: int):
     """(id, words) to rows of terms, nearly in order, and, under a null term, a row of each run's documents and their lengths."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 20
-        names = ["term", "run", "n", "docs", "tfs", "ids", "dls"]
+        names = ["term", "run", "n", "docs", "tfs", "ids", "dls", "bucket"]
         none = lambda n, kind: pa.nulls(n, pa.list_(kind))
         one = lambda x: pa.ListArray.from_arrays([0, len(x)], x)
         for ids, lists in _runs(batches):
             number += 1
             dls = np.maximum(2 * pc.list_value_length(lists).to_numpy() - 1, 0)
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.array([number]), pa.array([len(ids)], pa.int32()), none(1, pa.int32()), none(1, pa.int32()), one(ids), one(pa.array(dls, pa.int32()))], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.array([number]), pa.array([len(ids)], pa.int32()), none(1, pa.int32()), none(1, pa.int32()), one(ids), one(pa.array(dls, pa.int32())), pa.array([DOCS_BUCKET], pa.int32())], names)
             words, key, at, doc, tf = _inverted(lists)
             del lists
+            of_word = _buckets(words, buckets)
             ends = np.append(at, len(doc))
             for k in range(0, len(at), OUT_ROWS):
                 e = ends[k : k + OUT_ROWS + 1]
@@ -142,7 +151,7 @@ def _blocks():
                 once = np.maximum.reduceat(f, e[:-1] - e[0]) == 1  # in each document: not stored
                 docs = pa.ListArray.from_arrays(pa.array(e - e[0], pa.int32()), pa.array(d, pa.int32()))
                 tfs = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n * ~once)), pa.int32()), pa.array(f[np.repeat(~once, n)], pa.int32()), mask=pa.array(once))
-                yield pa.RecordBatch.from_arrays([_named(words, key[k : k + OUT_ROWS]), pa.array(np.full(len(n), number)), pa.array(n, pa.int32()), docs, tfs, none(len(n), ids.type), none(len(n), pa.int32())], names)
+                yield pa.RecordBatch.from_arrays([_named(words, key[k : k + OUT_ROWS]), pa.array(np.full(len(n), number)), pa.array(n, pa.int32()), docs, tfs, none(len(n), ids.type), none(len(n), pa.int32()), pa.array(of_word[key[k : k + OUT_ROWS] // (len(words) + 1)])], names)
 
     return run
 
@@ -178,7 +187,7 @@ def _idf_sums(docs: int):
     def run(t: pa.Table) -> pa.Table:
         text = [pa.decompress(x.as_buffer(), n, "zstd").to_pybytes().decode() for x, n in zip(t["terms"], t["size"].to_pylist(), strict=True)]
         terms = pc.list_flatten(pc.split_pattern(pa.array(text, pa.large_string()), "\n"))
-        n = pa.table({"t": terms, "n": pc.list_flatten(t["ns"])}).group_by("t").aggregate([("n", "sum")])["n_sum"].to_numpy()
+        n = pa.table({"t": terms, "n": pc.list_flatten(t["ns"])}).group_by("t", use_threads=False).aggregate([("n", "sum")])["n_sum"].to_numpy()
         return pa.table({"terms": pa.array([len(n)]), "idf": pa.array([float((np.log(docs - n + 0.5) - np.log(n + 0.5)).sum())])})
 
     return run
@@ -194,10 +203,10 @@ class TextIndex:
         """Index all documents; a null text is empty. Ids should be unique (rows of one id are documents of their own in
         the counts and add up in a search, as in ``bm25_search``; then all groups are scored)."""
         kind = docs.schema[id_col].dataType.simpleString()
-        rows = with_words(docs.select(id_col, text_col), text_col, F.col(id_col).alias("id")).mapInArrow(_blocks(), f"{_STORED}, ids array<{kind}>, dls array<int>")
+        rows = with_words(docs.select(id_col, text_col), text_col, F.col(id_col).alias("id")).mapInArrow(_blocks(buckets), f"{_STORED}, ids array<{kind}>, dls array<int>, bucket int")
         # Each folder's rows stay in their order, without a sort.
         with settings(self.spark, spark__sql__maxConcurrentOutputFileWriters=str(buckets + 2), spark__sql__execution__arrow__maxRecordsPerBatch="1024"):
-            rows.withColumn("bucket", _bucket(F.col("term"), buckets)).write.option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/blocks")
+            rows.write.options(**_WRITTEN).partitionBy("bucket").parquet(f"{self.path}/blocks")
         runs = self._stored(kind).filter(F.col("bucket") == DOCS_BUCKET)
         n, total, groups = runs.agg(F.sum(F.size("ids").cast("long")), F.sum(F.expr("aggregate(dls, 0L, (s, x) -> s + x)")), F.sum(F.ceil(F.size("ids") / group_docs))).first()
         n = n or 0
